@@ -7,14 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contigua.llm import bpe, decontaminate, quality, secret_scan, simhash
+from contigua.llm import bpe, decontaminate, langid, quality, secret_scan, simhash, suffix_tree, token_counts
 from contigua.llm.common import table
-from contigua.runtime import ship
+from contigua.runtime import scratch_path, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that every distinct text is encoded."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), scratch_path(spark, "token-cache"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -31,10 +36,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -42,7 +56,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op2_quality_rules, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op9_decontamination, pipeline]
+    named = [
+        op1_token_counts, op2_quality_rules, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op8_language_id, op9_decontamination, op10_lm_scoring, pipeline,
+    ]
     return {f.__name__: _shipped(f) for f in named}
 
 
