@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contigua.llm import bpe, decontaminate, langid, quality, secret_scan, simhash, suffix_tree, token_counts
+from contigua.llm import bpe, decontaminate, langid, quality, secret_scan, simhash, suffix_tree, token_counts, toxicity, training_order
 from contigua.llm.common import table
 from contigua.runtime import scratch_path, ship
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +25,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards go to a new folder of the shared one; the rows say where every packed sequence is."""
+    docs = table(spark, sf_dir, "documents")
+    return training_order.materialise(docs, scratch_path(spark, "training-order"), public_tokenizers.path(RANKS))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        op1_token_counts, op2_quality_rules, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op8_language_id, op9_decontamination, op10_lm_scoring, pipeline,
+        op1_token_counts, op2_quality_rules, op3_toxicity, op4_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op8_language_id, op9_decontamination, op10_lm_scoring, pipeline,
     ]
     return {f.__name__: _shipped(f) for f in named}
 
