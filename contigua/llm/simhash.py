@@ -147,7 +147,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """
     found = near_duplicates(docs, id_col, text_col, max_diff, width)
     roots = materialize(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__root")).agg(F.count("*").alias("__n")), "simhash-kept")
-    kept = docs.join(roots, docs[id_col] == roots["__root"], "left_semi")
+    # a merge join at every size: the ids kept grow with the documents
+    kept = docs.join(roots.hint("merge"), docs[id_col] == roots["__root"], "left_semi")
     if not roots.filter("__n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
     nameless = docs.filter(F.col(f"`{id_col}`").isNull())
