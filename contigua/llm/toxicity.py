@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from contigua.llm.common import fold_of, id_and_text
 
 #: Labelled texts of each label that training takes at most.
-PER_LABEL = 5000
+PER_LABEL = 3000
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
 _KNOWN = 300_000
@@ -45,18 +46,21 @@ def of_word(w: str) -> list[str]:
     return ["=" + w, *(w[:n] + "*" for n in _STEMS if len(w) > n or len(w) == n)]
 
 
-def without_copies(rows: list[tuple[set[str], str, int | None]]) -> list[tuple[set[str], str, int | None]]:
-    """One of the rows whose two smallest feature hashes are the same, as those of copies and near-copies are.
+def without_copies(rows: Iterable[tuple[str, int | None]]) -> Iterator[tuple[set[str], str, int | None]]:
+    """Features, text and label of one of the rows whose two smallest feature hashes are the same, as those of copies and
+    near-copies are.
 
     What copies share by chance would otherwise look like a mark of their label.
     """
     import xxhash
 
-    out = {}
-    for x, t, y in rows:
-        keys = sorted(map(xxhash.xxh64_intdigest, x))[:2]
-        out.setdefault((*keys, y), (x, t, y))
-    return list(out.values())
+    seen = set()
+    for t, y in rows:
+        x = features(t)
+        key = (*heapq.nsmallest(2, map(xxhash.xxh64_intdigest, x)), y)
+        if key not in seen:
+            seen.add(key)
+            yield x, t, y
 
 
 def least_support(n_features: int, share: float) -> int:
@@ -64,14 +68,13 @@ def least_support(n_features: int, share: float) -> int:
     return max(3, math.ceil((math.log(max(2, n_features)) + math.log(100)) / -math.log(min(0.5, max(1e-3, share)))))
 
 
-def mine_voters(toxic: list[set[str]], clean: list[set[str]], most: int = 80, cover: int = 3, precision: float = 0.9) -> list[str]:
-    """Words and stems that few clean texts have, chosen until each toxic text has ``cover`` of them where it can.
+def mine_voters(toxic: list[set[str]], clean: list[set[str]], least: int = 3, most: int = 80, cover: int = 3, precision: float = 0.9) -> list[str]:
+    """Words and stems that ``least`` toxic texts and few clean ones have, chosen until each toxic text has ``cover`` of
+    them where it can.
 
     Greedy by the toxic texts newly covered, longer ones first among equals.
     """
-    df = Counter(f for x in toxic for f in x)
-    least = least_support(len(df), len(toxic) / max(1, len(toxic) + len(clean)))
-    df = {f: n for f, n in df.items() if n >= least}
+    df = {f: n for f, n in Counter(f for x in toxic for f in x).items() if n >= least}
     bad = Counter(f for x in clean for f in x if f in df)
     weight = len(toxic) / max(1, len(clean))
     good = {f for f, n in df.items() if n / (n + weight * bad[f] + 0.5) >= precision and bad[f] <= 0.02 * n}
@@ -142,8 +145,8 @@ class Classifier:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, rows: list[set[str]], p, most: int = 3000, steps: int = 300, ridge: float = 3e-4) -> Classifier:
-        """Gradient descent with momentum on soft labels; features are those most tied to them."""
+    def fit(cls, rows: list[set[str]], p, least: int = 3, most: int = 3000, steps: int = 600, ridge: float = 1e-4) -> Classifier:
+        """Gradient descent on soft labels; features are those most tied to them."""
         import numpy as np
 
         soft: dict[str, float] = {}
@@ -156,20 +159,20 @@ class Classifier:
             df.update(f for f in x if f in soft)
         total, hot = len(rows), float(np.sum(p))
         tie = lambda f: (math.log((soft[f] + 0.5) / (df[f] - soft[f] + 0.5)) - math.log((hot + 1) / (total - hot + 1))) * math.sqrt(soft[f])
-        least = least_support(len(soft), hot / max(1, total))
         names = sorted((f for f in soft if soft[f] >= least and soft[f] >= 0.8 * df[f]), key=lambda f: (-tie(f), f))[:most]
         at = {f: i for i, f in enumerate(names)}
         where = [[at[f] for f in x if f in at] for x in rows]
         row = np.repeat(np.arange(len(rows)), [len(x) for x in where])
         col = np.array([c for x in where for c in x], int)
-        w, b, mw, mb = np.zeros(len(names)), math.log((hot + 1) / (total - hot + 1)), np.zeros(len(names)), 0.0
+        w, b = np.zeros(len(names)), math.log((hot + 1) / (total - hot + 1))
         p = np.asarray(p, float)
+        # each weight moves by its own curvature, shared with the stems that come with it
+        curve = 2 * np.bincount(col, minlength=len(names)) / max(total, 1) + ridge
         for _ in range(steps):
             z = np.bincount(row, w[col], len(rows)) + b
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) / max(total, 1)
-            mw = 0.9 * mw - 4 * (np.bincount(col, err[row], len(names)) + ridge / 10 * w)
-            mb = 0.9 * mb - 1 * err.sum()
-            w, b = w + mw, b + mb
+            w = w - (np.bincount(col, err[row], len(names)) + ridge * w) / curve
+            b = b - err.sum()
         return cls({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
 
     def scorer(self) -> Callable[[str | None], float]:
@@ -213,20 +216,30 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return [(t, None if y < 0 else y) for _, t, y in sorted((r["_id"], r["_text"], r["_y"]) for r in rows.toLocalIterator())]
 
 
-def learn(rows: list[tuple[str, int | None]]) -> Classifier:
+def learn(rows_of: list[tuple[str, int | None]]) -> Classifier:
     """Mine voters, fit the label model on their votes, fit the classifier on its posteriors.
 
     Labels choose voters and anchor the label model; the classifier sees posteriors only.
     """
     import numpy as np
 
-    held = without_copies([(features(t), t, y) for t, y in rows])
-    cast = voters(mine_voters([x for x, _, y in held if y == 1], [x for x, _, y in held if y == 0]))
-    votes = np.array([[fires(t, x) for _, fires in cast] for x, t, _ in held], float).reshape(len(held), len(cast))
-    known = np.array([np.nan if y is None else float(y) for *_, y in held], float)
-    share = float(np.nanmean(known)) if (~np.isnan(known)).any() else 0.1
-    model = LabelModel(share, [(0.2, 0.01)] * len(cast)).fit(votes, known)
-    return Classifier.fit([x for x, *_ in held], model.posterior(votes))
+    rows, df, by = [], Counter(), Counter()
+    for x, t, y in without_copies(rows_of):
+        rows.append((t, y))
+        by[y] += 1
+        if y == 1:
+            df.update(x)
+    share = by[1] / max(1, by[0] + by[1])
+    least = least_support(len(df), share)
+    # only features of toxic texts that can't be there by chance are kept of any text: what is held stays small
+    able = {f for f, n in df.items() if n >= least} | {"=" + w for w in LEXICON}
+    df.clear()
+    held = [features(t) & able for t, _ in rows]
+    cast = voters(mine_voters([x for x, (_, y) in zip(held, rows, strict=True) if y == 1], [x for x, (_, y) in zip(held, rows, strict=True) if y == 0], least))
+    votes = np.array([[fires(t, x) for _, fires in cast] for x, (t, _) in zip(held, rows, strict=True)], float).reshape(len(held), len(cast))
+    known = np.array([np.nan if y is None else float(y) for _, y in rows], float)
+    model = LabelModel(share if by[1] else 0.1, [(0.2, 0.01)] * len(cast)).fit(votes, known)
+    return Classifier.fit(held, model.posterior(votes), least)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL, folds: int = 4, held_fold: int = 2) -> Classifier:
