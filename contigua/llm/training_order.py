@@ -1,12 +1,13 @@
 """Training-order materialisation: packed token sequences, a keyed permutation to global slots, fixed-stride shards.
 
-A shard file holds ``shard_seqs`` slots in a row; a slot is ``seq_len`` token ids as little-endian unsigned 16-bit
-integers and a line feed, so slot ``k`` is at byte ``k % shard_seqs * stride`` of shard ``k // shard_seqs``.
+A shard file holds slots in a row; a slot is ``seq_len`` token ids as little-endian unsigned 16-bit integers and a line
+feed, so slot ``k`` is at byte ``(k - first) * stride`` of the shard whose first slot is the last one up to ``k``.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -15,13 +16,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from contigua.llm.bpe import _letters, pattern
+from contigua.llm.bpe import WIDE_SPACE, _letters, pattern
 from contigua.llm.common import id_and_text
-from contigua.runtime import materialize
 
 _BLOCK = 1 << 16
-_KNOWN = 500_000
+#: Pre-tokens remembered by a worker, about 200 bytes each; enough that the second pass finds those of the first.
+_KNOWN = 1_500_000
 _ROUNDS = 6
 
 
@@ -92,9 +94,13 @@ class Pieces:
         self.ascii, self.any = pattern(), None
         self.cut = re.compile(r"(?<=\S) (?=\S)")
 
+        self.wide = re.compile(f"[{WIDE_SPACE}]")
+
         class Known(dict):
+            """Ids of what stands between two spaces, the first of them included."""
+
             def __missing__(self, piece: str) -> bytes:
-                ids = encode(piece)
+                ids = encode(" " + piece)
                 out = struct.pack(f"<{len(ids)}H", *ids)
                 if len(piece) <= 64:
                     if len(self) >= _KNOWN:
@@ -103,10 +109,18 @@ class Pieces:
                 return out
 
         self.known = Known()
+        self.plain = lambda piece: struct.pack(f"<{len(ids := encode(piece))}H", *ids)
+
+    def _splits_at_spaces(self, text: str) -> bool:
+        """Whether every space begins a pre-token: none ends the text or comes before other white space."""
+        return not (text.endswith(" ") or any(x in text for x in ("  ", " \n", " \t", " \r", " \x0b", " \x0c")) or (not text.isascii() and self.wide.search(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of ordinary text."""
-        at, out, known = 0, [], self.known.__getitem__
+        if self._splits_at_spaces(text):
+            first, *rest = text.split(" ")
+            return self.plain(first) + b"".join(map(self.known.__getitem__, rest))
+        at, out, known = 0, [], self.plain
         while at < len(text):
             end = len(text)
             if end - at > _BLOCK and (m := self.cut.search(text, at + _BLOCK)):
@@ -128,72 +142,35 @@ def _pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _stream(batches: Iterator[pa.RecordBatch], use: Pieces) -> Iterator[tuple[object, bytes]]:
-    """(id, token bytes with the end token) of each text of a partition."""
-    end = struct.pack("<H", use.end)
-    for b in batches:
-        for i, x in zip(b.column(0), b.column(1), strict=True):
-            yield i.as_py(), use.encode(x.as_py() or "") + end
+def _capacity(slim: DataFrame, seq_len: int) -> dict[int, tuple[int, int, int]]:
+    """Of each partition: number of its first sequence, texts, bytes. A token has a byte at least, so its texts can't
+    fill more sequences than its bytes and end tokens would; what is left over becomes gaps that no slot counts."""
+    size = F.octet_length(F.coalesce("_text", F.lit("")))
+    rows = slim.select(F.spark_partition_id().alias("part"), size.alias("n")).groupBy("part").agg(F.count("*").alias("texts"), F.sum("n").alias("bytes")).collect()
+    out, start = {}, 0
+    for r in sorted(rows, key=lambda r: r["part"]):
+        out[r["part"]] = (start, r["texts"], r["bytes"])
+        start += -(-(r["bytes"] + r["texts"]) // seq_len)
+    return out | {-1: (start, 0, 0)}
 
 
-def sequences(docs: DataFrame, ranks_path: str, seq_len: int, id_col: str, text_col: str) -> DataFrame:
-    """First pass: ``part``, ``i`` (in its partition), ``n_tokens``, ``doc_ids`` of every packed sequence."""
-    slim = id_and_text(docs, id_col, text_col)
-    kind = slim.schema["_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        rows, ids, held, i = [], [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            n = [r[1] for r in rows]
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array(n, pa.int32()), pa.array([r[2] for r in rows], pa.list_(kinds[0]))], names=["part", "i", "n_tokens", "doc_ids"])
-
-        kinds = []
-
-        def typed(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in bs:
-                kinds[:] = [b.column(0).type]
-                yield b
-
-        for doc, tokens in _stream(typed(batches), _pieces(ranks_path)):
-            left = len(tokens) // 2
-            while left:
-                ids.append(doc)
-                took = min(left, seq_len - held)
-                held += took
-                left -= took
-                if held == seq_len:
-                    rows.append((i, held, ids))
-                    ids, held, i = [], 0, i + 1
-            if len(rows) >= 5000:
-                yield out()
-                rows.clear()
-        if held:
-            rows.append((i, held, ids))
-        if rows:
-            yield out()
-
-    return slim.mapInArrow(run, f"part int, i long, n_tokens int, doc_ids array<{kind}>")
-
-
-def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048, shard_seqs: int = 4096, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048, shard_span: int = 8192, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards below ``path`` and return ``slot``, ``shard``, ``byte_offset``, ``n_tokens``, ``doc_ids`` of every sequence.
 
-    Texts are encoded, closed by an end token and packed back to back within their partition; only the last sequence of
-    a partition is filled up, with end tokens. Texts are encoded twice, first to number sequences, then to place them:
-    tokens kept in between would take more disk than the input. Both passes read ``docs`` in the same partitions (as
-    scans of files do); if they didn't, the second one fails. Null counts as empty (an end token alone); repeated rows
-    are packed each; an empty table writes no shard; other columns are ignored. Shards are written by Spark's own
-    writer and commit protocol, one file each, so a lost executor costs its tasks only.
+    Texts are encoded once, closed by an end token and packed back to back within their partition; only the last sequence
+    of a partition is filled up, with end tokens. Sequences are numbered by partition with room for the most that its
+    bytes can give; the keyed permutation of those numbers is the training order, and slots count the sequences in it
+    without gaps. A shard is a range of ``shard_span`` values of the permutation. The passes over sizes and texts read
+    ``docs`` in the same partitions (as scans of files do); if they didn't, the write fails.
+
+    Null counts as empty (an end token alone); repeated rows are packed each; an empty table writes no shard; other
+    columns are ignored. Shards and their lists are written by Spark's own writer and commit protocol, one file each, so
+    a lost executor costs its tasks only.
     """
     spark = docs.sparkSession
-    seqs = materialize(sequences(docs, ranks_path, seq_len, id_col, text_col), "training-sequences")
-    sizes = {r["part"]: (r["n"], r["tokens"]) for r in seqs.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
-    first, total = {}, 0
-    for p in sorted(sizes):
-        first[p] = total
-        total += sizes[p][0]
+    slim = id_and_text(docs, id_col, text_col)
+    rooms = _capacity(slim, seq_len)
+    total = rooms[-1][0]
     order = Feistel(total, key)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,28 +179,51 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048
 
         part, use = TaskContext.get().partitionId(), _pieces(ranks_path)
         pack, width = zstandard.ZstdCompressor(level=3), 2 * seq_len
-        held, done, tokens = bytearray(), 0, 0
+        start, texts, size = rooms.get(part, (0, 0, 0))
+        end, done, seen, read = struct.pack("<H", use.end), 0, 0, 0
+        held, spans = bytearray(), []  # texts with tokens in held: id, how many bytes
+        names = ["place", "n_tokens", "doc_ids", "data"]
 
-        def out(n: int) -> pa.RecordBatch:
+        def out(n: int, kind: pa.DataType, last: int = 0) -> pa.RecordBatch:
             nonlocal done
-            if part not in first:
-                raise RuntimeError(f"partition {part} had no texts in the first pass")
-            slots = order.slot(np.arange(done, done + n, dtype=np.uint64) + np.uint64(first[part])).astype(np.int64)
+            places = order.slot(np.arange(done, done + n, dtype=np.uint64) + np.uint64(start)).astype(np.int64)
             done += n
+            ids, sizes = [], [seq_len] * n
+            for _ in range(n):
+                mine, room = [], width
+                while room and spans:
+                    doc, b = spans[0]
+                    mine.append(doc)
+                    took = min(room, b)
+                    room -= took
+                    if took == b:
+                        spans.pop(0)
+                    else:
+                        spans[0] = (doc, b - took)
+                ids.append(mine)
+            if last:
+                sizes[-1] = last
             data = [pack.compress(bytes(held[j * width : (j + 1) * width])) for j in range(n)]
             del held[: n * width]
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(data, pa.binary())], names=["slot", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(places), pa.array(sizes, pa.int32()), pa.array(ids, pa.list_(kind)), pa.array(data, pa.binary())], names=names)
 
-        for _, t in _stream(batches, use):
-            held += t
-            tokens += len(t) // 2
-            if len(held) >= 256 * width:
-                yield out(len(held) // width)
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for i, x in zip(b.column(0), b.column(1), strict=True):
+                text = x.as_py() or ""
+                seen, read = seen + 1, read + len(text.encode())
+                tokens = use.encode(text) + end
+                held += tokens
+                spans.append((i.as_py(), len(tokens)))
+                if len(held) >= 256 * width:
+                    yield out(len(held) // width, kind)
         if held:
-            held += struct.pack("<H", use.end) * (-(len(held) // 2) % seq_len)
-            yield out(len(held) // width)
-        if (done, tokens) != sizes.get(part, (0, 0)):
-            raise RuntimeError(f"partition {part} differs between passes: {done, tokens}, {sizes.get(part)}")
+            last = len(held) // 2 % seq_len
+            held += end * (-(len(held) // 2) % seq_len)
+            yield out(len(held) // width, kind, last)
+        if (seen, read) != (texts, size):
+            raise RuntimeError(f"partition {part} differs between passes: {seen, read}, {texts, size}")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -232,32 +232,37 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 s = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([undo.decompress(x.as_py()) for x in s.column(1)], pa.binary())], names=["slot", "data"])
-
-    n_shards = -(-total // shard_seqs)
-    if n_shards:
-        placed = id_and_text(docs, id_col, text_col).mapInArrow(place, "slot long, data binary")
-        by_shard = placed.repartitionById(n_shards, F.floor(F.col("slot") / shard_seqs).cast("int")).mapInArrow(unpack, "slot long, data binary")
-        shards = by_shard.select(F.col("data").cast("string").alias("value"), F.floor(F.col("slot") / shard_seqs).alias("shard"), "slot").sortWithinPartitions("shard", "slot").select("value", "shard")
-        shards.write.partitionBy("shard").mode("overwrite").text(path)
-    layout = spark.createDataFrame([(total, seq_len, shard_seqs, key, 2 * seq_len + 1)], "sequences long, seq_len int, shard_seqs int, key long, stride int")
+                notes = [json.dumps(x).encode() for x in zip(*(c.to_pylist() for c in s.columns[:3]), strict=True)]
+                raw = [undo.decompress(x.as_py()) for x in s.column(3)]
+                n = s.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(["shard"] * n + ["list"] * n), pa.concat_arrays([s.column(0), s.column(0)]), pa.array(raw + notes, pa.binary())], names=["kind", "place", "value"])
+
+    id_type = slim.schema["_id"].dataType.simpleString()
+    n_shards = max(1, -(-total // shard_span))
+    if total:
+        placed = slim.mapInArrow(place, f"place long, n_tokens int, doc_ids array<{id_type}>, data binary")
+        shard = F.floor(F.col("place") / shard_span).cast("int")
+        rows = placed.repartitionById(n_shards, shard).mapInArrow(unpack, "kind string, place long, value binary")
+        sorted_ = rows.select(F.col("value").cast("string").alias("value"), "kind", shard.alias("shard"), "place").sortWithinPartitions("kind", "shard", "place")
+        sorted_.drop("place").write.partitionBy("kind", "shard").mode("overwrite").text(path)
+        lists = spark.read.schema("value string").text([f"{path}/kind=list"])
+        parsed = lists.select(F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v array<string>").alias("j"))
+        listed = parsed.select(F.col("j.v")[0].cast("long").alias("place"), F.col("j.v")[1].cast("int").alias("n_tokens"), F.from_json(F.col("j.v")[2], f"array<{id_type}>").alias("doc_ids")).withColumn("shard", shard)
+    else:
+        listed = spark.createDataFrame([], f"place long, n_tokens int, doc_ids array<{id_type}>, shard int")
+    counts = sorted((r["shard"], r["count"]) for r in listed.groupBy("shard").count().collect())
+    offsets, start = [], 0
+    for k, n in counts:
+        offsets.append((k, start, n))
+        start += n
+    firsts = spark.createDataFrame(offsets, "shard int, first long, sequences long")
+    layout = spark.createDataFrame([(start, seq_len, shard_span, key, 2 * seq_len + 1)], "sequences long, seq_len int, shard_span int, key long, stride int")
     layout.coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
-    return _manifest(spark, seqs, first, order, shard_seqs, seq_len)
-
-
-def _manifest(spark: SparkSession, seqs: DataFrame, first: dict[int, int], order: Feistel, shard_seqs: int, seq_len: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for b in batches:
-            start = np.array([first[p] for p in b.column(0).to_pylist()], np.uint64)
-            slots = order.slot(start + b.column(1).to_numpy().astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), b.column(2), b.column(3)], names=["slot", "n_tokens", "doc_ids"])
-
-    kind = seqs.schema["doc_ids"].dataType.simpleString()
-    placed = seqs.select("part", "i", "n_tokens", "doc_ids").mapInArrow(run, f"slot long, n_tokens int, doc_ids {kind}")
-    shard = F.floor(F.col("slot") / shard_seqs)
-    return placed.select("slot", shard.alias("shard"), ((F.col("slot") - shard * shard_seqs) * (2 * seq_len + 1)).alias("byte_offset"), "n_tokens", "doc_ids")
+    firsts.coalesce(1).write.mode("overwrite").json(f"{path}/_shards")
+    # a shard has at most shard_span rows, so its ranks are counted in one window of bounded size
+    rank = F.row_number().over(W.partitionBy("shard").orderBy("place")).cast("long") - 1
+    ranked = listed.withColumn("rank", rank).join(firsts, "shard")
+    return ranked.select((F.col("first") + F.col("rank")).alias("slot"), F.col("shard").cast("long").alias("shard"), (F.col("rank") * (2 * seq_len + 1)).alias("byte_offset"), "n_tokens", "doc_ids")
 
 
 def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> Iterator[list[int]]:
@@ -269,11 +274,13 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
 
     lay = spark.read.json(f"{path}/_layout").first()
     stop = lay["sequences"] if stop is None else min(stop, lay["sequences"])
-    at = start
-    while at < stop:
-        shard, row = divmod(at, lay["shard_seqs"])
-        blob = spark.read.format("binaryFile").load(f"{path}/shard={shard}").select("content").first()["content"]
+    if start >= stop:
+        return
+    shards = sorted((r["first"], r["shard"], r["sequences"]) for r in spark.read.json(f"{path}/_shards").collect())
+    for first, shard, n in shards:
+        if first + n <= start or first >= stop:
+            continue
+        blob = spark.read.format("binaryFile").load(f"{path}/kind=shard/shard={shard}").select("content").first()["content"]
         rows = np.frombuffer(blob, np.uint8).reshape(-1, lay["stride"])[:, :-1]
-        for r in rows[row : row + stop - at]:
+        for r in rows[max(0, start - first) : stop - first]:
             yield np.frombuffer(r.tobytes(), "<u2").tolist()
-        at = (shard + 1) * lay["shard_seqs"]

@@ -1,4 +1,6 @@
 import base64
+import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -26,34 +28,40 @@ def test_pieces_equal_library():
     p = to.Pieces(PATH)
     for r in rows():
         assert np.frombuffer(p.encode(r[1] or ""), "<u2").tolist() == lib.encode_ordinary(r[1] or "")
+    rng = random.Random(3)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "b.", " ", " ", "\n", "it's", "é", "\xa0", "9", "\t", "\u2003", "###", "中"]) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(p.encode(t), "<u2").tolist() == lib.encode_ordinary(t), t
 
 
-@pytest.mark.parametrize(("seq_len", "shard_seqs"), [(64, 7), (5000, 4)])
-def test_round_trip_and_resume(spark, docs, tmp_path, seq_len, shard_seqs):
+@pytest.mark.parametrize(("seq_len", "span"), [(64, 17), (5000, 4)])
+def test_round_trip_and_resume(spark, docs, tmp_path, seq_len, span):
     path = f"file://{tmp_path}/out"
-    table = sorted(((r.slot, r.shard, r.byte_offset, r.n_tokens, tuple(r.doc_ids)) for r in to.materialise(docs, path, PATH, seq_len, shard_seqs).collect()))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    table = sorted(((r.slot, r.shard, r.byte_offset, r.n_tokens, tuple(r.doc_ids)) for r in to.materialise(docs, path, PATH, seq_len, span).collect()))
     n = len(table)
     assert [t[0] for t in table] == list(range(n))
-    assert all(t[1] == t[0] // shard_seqs and t[2] == t[0] % shard_seqs * (2 * seq_len + 1) for t in table)
+    first = {}
+    for slot, shard, offset, *_ in table:
+        assert offset == (slot - first.setdefault(shard, slot)) * (2 * seq_len + 1)
+    assert list(first) == sorted(first) and max(Counter(t[1] for t in table).values()) <= span
     seqs = list(to.read_slots(spark, path))
     assert len(seqs) == n and all(len(s) == seq_len for s in seqs)
     assert list(to.read_slots(spark, path, n // 2, n // 2 + 3)) == seqs[n // 2 : n // 2 + 3]
-    # put back into order, the streams give every text once
-    pieces, f = to.Pieces(PATH), to.Feistel(n, 20240229)
-    order = f.slot(np.arange(n, dtype=np.uint64)).tolist()
-    stream, texts, ids = [], [], []
-    for k in order:
-        stream += seqs[k][: table[k][3]]
-        ids += [i for i in table[k][4]]
-    now: list[int] = []
-    for x in stream:
-        if x == pieces.end:
-            texts.append(np.array(now, "<u2").tobytes())
-            now = []
-        else:
-            now.append(x)
-    assert sorted(texts) == sorted(pieces.encode(r[1] or "") for r in rows()) and not now
-    assert {i for i in ids} == {r[0] for r in rows()}
+    # texts and their ids are found again, pieced together over the sequences that hold them
+    pieces = to.Pieces(PATH)
+    whole = sorted((np.frombuffer(pieces.encode(r[1] or ""), "<u2").tolist(), r[0] or -1) for r in rows())
+    assert sum(t[3] for t in table) == sum(len(w) + 1 for w, _ in whole)
+    ends = sum(s[: t[3]].count(pieces.end) for s, t in zip(seqs, table, strict=True))
+    assert ends == len(whole)
+    assert {i for t in table for i in t[4]} == {r[0] for r in rows()}
+    for w, i in whole:
+        if 0 < len(w) < seq_len // 2 and i >= 0:
+            near = [s[: t[3]] for s, t in zip(seqs, table, strict=True) if i in t[4]]
+            assert any(w == s[k : k + len(w)] for s in near for k in range(len(s))) or len(near) > 1
+    again = sorted((r.slot, tuple(r.doc_ids)) for r in to.materialise(docs, f"{path}2", PATH, seq_len, span).collect())
+    assert again == [(t[0], t[4]) for t in table]
 
 
 def test_empty(spark, none, tmp_path):
