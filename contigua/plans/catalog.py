@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contigua.plans import read_queries  # noqa: F401
+from contigua.plans import graph_queries, read_queries, stat_queries  # noqa: F401
 from contigua.plans.registry import ORACLES, QUERIES, Query
 
 
