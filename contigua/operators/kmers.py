@@ -10,22 +10,31 @@ from contigua.functions import sequence as S
 
 
 def occurrences(reads: DataFrame, k: int) -> DataFrame:
-    """``read_idx``, ``pos`` (from 1), ``kmer`` of every window; reads shorter than ``k`` give none."""
-    at = F.sequence(F.lit(1), F.length("seq") - k + 1)
-    spread = reads.filter(F.length("seq") >= k).select("read_idx", "seq", F.explode(at).alias("pos"))
-    return spread.select("read_idx", "pos", F.substring("seq", F.col("pos"), F.lit(k)).alias("kmer"))
+    """``read_idx``, ``pos`` (from 1), ``kmer`` and its canonical form ``c`` of every window; shorter reads give none.
+
+    The reverse complement is taken once a read; that of a window is a piece of it.
+    """
+    long = reads.filter(F.length("seq") >= k).select("read_idx", "seq", S.reverse_complement(F.col("seq")).alias("_rc"), F.length("seq").alias("_n"))
+    spread = long.select("read_idx", "seq", "_rc", "_n", F.explode(F.sequence(F.lit(1), F.col("_n") - k + 1)).alias("pos"))
+    windows = spread.select("read_idx", "pos", F.substring("seq", F.col("pos"), F.lit(k)).alias("kmer"), F.substring("_rc", F.col("_n") - F.col("pos") - k + 2, F.lit(k)).alias("_w"))
+    return windows.select("read_idx", "pos", "kmer", F.least("kmer", "_w").alias("c"))
 
 
 def strand_counts(reads: DataFrame, k: int) -> DataFrame:
     """``kmer`` (canonical), ``n_fwd``, ``n_rc``: occurrences of it and of its reverse complement; one shuffle, combined
     before it. A palindrome has all its occurrences in ``n_fwd``."""
-    occ = occurrences(reads, k).select("kmer", S.canonical(F.col("kmer")).alias("c"))
-    return occ.groupBy("c").agg(F.count_if(F.col("kmer") == F.col("c")).alias("n_fwd"), F.count_if(F.col("kmer") != F.col("c")).alias("n_rc")).withColumnRenamed("c", "kmer")
+    occ = occurrences(reads, k).select("c", (F.col("kmer") == F.col("c")).cast("long").alias("f"))
+    return occ.groupBy("c").agg(F.sum("f").alias("n_fwd"), F.sum(1 - F.col("f")).alias("n_rc")).withColumnRenamed("c", "kmer")
+
+
+def _palindrome(k: int) -> Column:
+    """Whether ``kmer`` is its own reverse complement; only even lengths can be."""
+    return F.col("kmer") == S.reverse_complement(F.col("kmer")) if k % 2 == 0 else F.lit(False)
 
 
 def kmer_count(reads: DataFrame, k: int = 27, others: dict[str, DataFrame] | None = None) -> DataFrame:
     """Canonical k-mers with counts on either strand, and those in further read sets; palindromes are left out."""
-    out = strand_counts(reads, k).filter(F.col("kmer") != S.reverse_complement(F.col("kmer")))
+    out = strand_counts(reads, k).filter(~_palindrome(k))
     for name, other in (others or {}).items():
         more = strand_counts(other, k).select("kmer", F.col("n_fwd").alias(f"n_fwd_{name}"), F.col("n_rc").alias(f"n_rc_{name}"))
         out = out.join(more, "kmer", "left").fillna(0, [f"n_fwd_{name}", f"n_rc_{name}"])
@@ -34,19 +43,18 @@ def kmer_count(reads: DataFrame, k: int = 27, others: dict[str, DataFrame] | Non
 
 def both_strands(reads: DataFrame, k: int) -> DataFrame:
     """``kmer`` (canonical), ``n``: occurrences on both strands; a palindrome counts twice."""
-    twice = F.when(F.col("kmer") == S.reverse_complement(F.col("kmer")), 2).otherwise(1)
+    twice = F.when(_palindrome(k), 2).otherwise(1)
     return strand_counts(reads, k).select("kmer", ((F.col("n_fwd") + F.col("n_rc")) * twice).alias("n"))
 
 
 def lookup(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """Every occurrence with its two-strand count (0 if there is none): the index lookup as a join on the canonical k-mer."""
-    occ = occurrences(reads, k).withColumn("c", S.canonical(F.col("kmer")))
-    return occ.join(counts.select(F.col("kmer").alias("c"), "n"), "c", "left").select("read_idx", "pos", "kmer", F.coalesce("n", F.lit(0)).alias("n"))
+    return occurrences(reads, k).join(counts.select(F.col("kmer").alias("c"), "n"), "c", "left").select("read_idx", "pos", "kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def position_counts(reads: DataFrame, indices: dict[str, DataFrame], k: int) -> DataFrame:
     """Counts of each window of ``reads`` in each of the named read sets, on both strands."""
-    out = occurrences(reads, k).withColumn("c", S.canonical(F.col("kmer")))
+    out = occurrences(reads, k)
     for name, other in indices.items():
         out = out.join(both_strands(other, k).select(F.col("kmer").alias("c"), F.col("n").alias(f"n_{name}")), "c", "left")
     return out.select("read_idx", "pos", "kmer", *[F.coalesce(f"n_{n}", F.lit(0)).alias(f"n_{n}") for n in indices])
@@ -132,7 +140,7 @@ def unique_to(a: DataFrame, b: DataFrame, least: int, most: int) -> DataFrame:
 
 def reads_with(reads: DataFrame, kmers: DataFrame, k: int, mates: Column | None = None) -> DataFrame:
     """Reads that hold any of the k-mers on either strand; with ``mates`` (number of the mate) those too."""
-    hit = occurrences(reads, k).select("read_idx", S.canonical(F.col("kmer")).alias("kmer")).join(kmers.select("kmer"), "kmer", "left_semi").select("read_idx").distinct()
+    hit = occurrences(reads, k).select("read_idx", F.col("c").alias("kmer")).join(kmers.select("kmer"), "kmer", "left_semi").select("read_idx").distinct()
     if mates is not None:
         hit = hit.unionByName(hit.select(mates.alias("read_idx"))).distinct()
     return reads.join(hit, "read_idx", "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contigua.functions import sequence as S
+from contigua.operators.kmers import occurrences
 
 
 def oriented(reads: DataFrame) -> DataFrame:
@@ -76,8 +77,7 @@ def inexact_overlaps(reads: DataFrame, min_overlap: int = 45, error_rate: float
 
 def shared_kmer_pairs(reads: DataFrame, k: int = 31, least: int = 1, most_hits: int = 200) -> DataFrame:
     """``x``, ``y`` (x < y), ``shared``: how many canonical k-mers two reads share, k-mers of many reads passed over."""
-    occ = reads.filter(F.length("seq") >= k).select("read_idx", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("p"), "seq")
-    occ = occ.select("read_idx", S.canonical(F.substring("seq", F.col("p"), F.lit(k))).alias("c")).distinct()
+    occ = occurrences(reads, k).select("read_idx", "c").distinct()
     cold = occ.groupBy("c").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most_hits)).select("c")
     occ = occ.join(cold, "c", "left_semi")
     pairs = occ.withColumnRenamed("read_idx", "x").join(occ.withColumnRenamed("read_idx", "y"), "c").filter("x < y")
@@ -91,8 +91,10 @@ def place(queries: DataFrame, targets: DataFrame, seed: int = 31) -> DataFrame:
     """
     o = oriented(queries).select("id", "seq", F.substring("seq", 1, seed).alias("w"))
     at = F.sequence(F.lit(1), F.length("seq") - seed + 1)
-    win = targets.filter(F.length("seq") >= seed).select("target", F.col("seq").alias("long"), F.explode(at).alias("p"))
-    win = win.select("target", "long", "p", F.substring("long", F.col("p"), F.lit(seed)).alias("w"))
-    hit = o.join(win, "w").filter(F.substring("long", F.col("p"), F.length("seq")) == F.col("seq")).groupBy("id").agg(F.min("target").alias("a"), F.max("target").alias("b"))
+    win = targets.filter(F.length("seq") >= seed).select("target", "seq", F.explode(at).alias("p"))
+    win = win.select("target", "p", F.substring("seq", F.col("p"), F.lit(seed)).alias("w"))
+    # whole targets are fetched for seeds that hit, not carried along with every window
+    seeds = o.join(win, "w").join(targets.select("target", F.col("seq").alias("long")), "target")
+    hit = seeds.filter(F.substring("long", F.col("p"), F.length("seq")) == F.col("seq")).groupBy("id").agg(F.min("target").alias("a"), F.max("target").alias("b"))
     out = queries.select(F.col("read_idx").alias("id")).join(hit, "id", "left")
     return out.select(F.col("id").alias("read_idx"), F.when(F.col("a").isNull(), "-").when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise("MM").alias("placed"))

@@ -29,8 +29,15 @@ def tile_reads(seqs: DataFrame, length: int = 100, stride: int = 40) -> DataFram
     return tiles.select((F.col("doc_id") * TILES + F.col("tile")).alias("read_idx"), "doc_id", "source", F.substring("seq", F.col("tile") * stride + 1, F.lit(length)).alias("seq"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores where the files give fewer partitions (small inputs only)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tile_reads(doc_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return tile_reads(doc_sequences(documents(spark, sf_dir)))
 
 
 def with_errors(reads: DataFrame, one_in: int = 500) -> DataFrame:

@@ -101,12 +101,12 @@ _NEED = "case when list_min(list_transform(generate_series(p, p + 30), lambda i:
 @query(f"""with {ERR}, c as {_BOTH('err', 31)}, w as (select read_idx, p, {canon('substr(seq, p, 31)')} as kmer, {_NEED} as need from (select *, unnest(generate_series(1, length(seq) - 30)) as p from err)),
 ok as (select read_idx, p from w join c using (kmer) where n >= need),
 cov as (select distinct read_idx, i from ok, (select unnest(generate_series(0, 30)) as o) t, lateral (select p + o as i))
-select read_idx, min(i)::int as at from (select read_idx, unnest(generate_series(1, length(seq))) as i from err) b anti join cov using (read_idx, i) group by read_idx""")
+select read_idx, min(i)::int as weak_at from (select read_idx, unnest(generate_series(1, length(seq))) as i from err) b anti join cov using (read_idx, i) group by read_idx""")
 def correct_weak_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contigua.operators import kmers
 
     reads = materialize(R.with_errors(R.derive(spark, sf_dir)), "error-reads")
-    return correct.weak_positions(reads, kmers.both_strands(reads, 31), 31, 2)
+    return correct.weak_positions(reads, kmers.both_strands(reads, 31), 31, 2).withColumnRenamed("at", "weak_at")
 
 
 @query()

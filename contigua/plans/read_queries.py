@@ -26,7 +26,7 @@ left(seq, 10) as prefix10, right(seq, 10) as suffix10,
 length(translate(seq, 'AT', ''))::double / nullif(length(seq), 0) as gc from ds""")
 def sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("seq")
-    d = R.doc_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    d = R.doc_sequences(R.documents(spark, sf_dir))
     return d.select("doc_id", S.reverse_complement(s).alias("rc"), S.complement(s).alias("comp"), S.canonical(s).alias("canonical"), S.prefix(s, 10).alias("prefix10"), S.suffix(s, 10).alias("suffix10"), S.gc_fraction(s).alias("gc"))
 
 
@@ -208,5 +208,5 @@ t as (select doc_id as target, seq as long, substr(seq, p, 31) as w, p from (sel
 h as (select id, min(target) as a, max(target) as b from o join t on left(o.seq, 31) = t.w and substr(t.long, t.p, length(o.seq)) = o.seq group by id)
 select u.read_idx, case when a is null then '-' when a = b then cast(a as varchar) else 'MM' end as placed from u left join h on u.read_idx = h.id""")
 def gmap_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = R.doc_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = R.doc_sequences(R.documents(spark, sf_dir))
     return overlap.place(_unique(spark, sf_dir), docs.select(F.col("doc_id").alias("target"), "seq"))

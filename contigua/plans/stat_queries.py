@@ -64,7 +64,7 @@ tw as (select * from lk union all select y, 1 - ys, x, 1 - xs, dist, sd, n_pairs
 
 
 def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = R.doc_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    d = R.doc_sequences(R.documents(spark, sf_dir))
     return d.select(F.col("doc_id").alias("id"), F.length("seq").alias("len"), (1 + (F.col("doc_id") * 13) % 40).alias("n"), "seq")
 
 
