@@ -157,8 +157,9 @@ def unitigs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     if inner.isEmpty():
         placed = state.select("v", F.col("up").alias("head"), "steps")
     else:
-        cut = inner.groupBy("low").agg(F.min("v").alias("_")).select(F.col("low").alias("b"))
-        open_arcs = arcs.join(cut, "b", "left_anti").select(F.shiftright("a", 1).alias("x"), (F.col("a") % 2).cast("int").alias("xs"), F.shiftright("b", 1).alias("y"), (F.col("b") % 2).cast("int").alias("ys"), "lab")
+        # the ring of the other strand has the turned vertices: cut the arc into the smallest one, and that arc's twin
+        cut = inner.filter("low % 2 = 0").select("low").distinct()
+        open_arcs = arcs.join(cut.select(F.col("low").alias("b")), "b", "left_anti").join(cut.select((F.col("low") + 1).alias("a")), "a", "left_anti").select(F.shiftright("a", 1).alias("x"), (F.col("a") % 2).cast("int").alias("xs"), F.shiftright("b", 1).alias("y"), (F.col("b") % 2).cast("int").alias("ys"), "lab")
         return unitigs(vertices, materialize(open_arcs, "open-arcs"))
     labelled = placed.join(arcs.select(F.col("b").alias("v"), "lab"), "v", "left").join(both.select((F.col("id") * 2 + F.col("st")).alias("v"), "seq"), "v")
     piece = F.when(F.col("steps") == 0, F.col("seq")).otherwise(F.right("seq", F.col("lab").cast("int")))
