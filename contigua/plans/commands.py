@@ -1,0 +1,39 @@
+"""What each command of an assembler's tool chain is here: the functions to call for it."""
+
+from __future__ import annotations
+
+from contigua.operators import align, correct, dedup, graph, haplotypes, kmers, overlap, preqc, reads, scaffold, variants, walks
+from contigua.sources import graphs, population, sequences
+
+COMMANDS = {
+    "preprocess": (reads.preprocess, reads.remove_adapter, reads.pair_rule),
+    "index": (kmers.strand_counts, kmers.occurrences),
+    "merge": (kmers.merge_counts, dedup.concatenate, population.merge),
+    "bwt2fa": (sequences.write,),
+    "correct": (correct.learned_threshold, correct.correct, correct.metrics),
+    "fm-merge": (graph.simple_arcs, graph.unitigs),
+    "overlap": (overlap.exact_overlaps, overlap.inexact_overlaps, overlap.irreducible, graphs.write_asqg),
+    "assemble": (graph.transitive_reduction, graph.trim, graph.small_repeat_edges, graph.unitigs, graph.rename_contigs),
+    "oview": (overlap.exact_overlaps,),
+    "subgraph": (graph.neighbourhood,),
+    "filter": (dedup.duplicates, dedup.contained, kmers.solid_reads, reads.degenerate),
+    "rmdup": (dedup.remove_duplicates,),
+    "gen-ssa": (kmers.occurrences,),
+    "scaffold": (scaffold.a_statistic, scaffold.classify, scaffold.symmetric_links, scaffold.polymorphic, scaffold.overlapping_sides, scaffold.best_next),
+    "scaffold2fasta": (scaffold.layout, scaffold.gap_sequence, walks.find_walks, walks.unique_walks),
+    "gapfill": (scaffold.split_gaps, haplotypes.fill_gaps),
+    "graph-diff": (kmers.unique_to, haplotypes.novel_components, haplotypes.build, haplotypes.frequencies, haplotypes.genotype),
+    "haplotype-filter": (variants.haploid_ratio, variants.population_counts),
+    "somatic-variant-filters": (variants.somatic_filters, variants.homopolymer_at, variants.three_mer_context),
+    "preqc": (preqc.quality_by_position, preqc.gc_distribution, preqc.first_error_position, preqc.pair_duplicates, preqc.branch_ratio, preqc.genome_size),
+    "stats": (kmers.histogram, kmers.distribution_summary),
+    "cluster": (graph.components, graph.clusters),
+    "kmer-count": (kmers.kmer_count, kmers.position_counts),
+    "overlap-long": (overlap.shared_kmer_pairs, align.best_overlap_udf),
+    "connect": (walks.find_walks, walks.walk_strings, walks.unique_walks),
+    "gmap": (overlap.place,),
+    "walk": (walks.find_walks, walks.walk_strings, walks.longest_walks),
+    "variant-detectability": (variants.detectability,),
+}
+#: Commands without a counterpart yet.
+ABSENT = ("graph-concordance", "rewrite-evidence-bam", "filterBAM")

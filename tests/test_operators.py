@@ -217,3 +217,21 @@ def test_text_formats(spark, tmp_path):
     assert {tuple(x) for x in population.merge(idx, idx).collect()} == {("a", 0, 0), ("b", 1, 2), ("a", 3, 3), ("b", 4, 5)}
     got = population.sample_of(spark.createDataFrame([(0,), (2,), (9,)], "read_idx long"), idx)
     assert {tuple(x) for x in got.collect()} == {(0, "a"), (2, "b"), (9, None)}
+
+
+def test_streaming_counts_equal_batch(spark, tmp_path):
+    from contigua.streaming import counts
+
+    rng = random.Random(1)
+    df = reads_df(spark, [dna(rng, 60) for _ in range(30)]).select("read_idx", "seq")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts.stream_counts(stream, 9, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    got, want = counts.totals(spark, str(tmp_path / "out")), kmers.strand_counts(df, 9)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_every_command_names_functions():
+    from contigua.plans import commands
+
+    assert len(commands.COMMANDS) + len(commands.ABSENT) == 31 and all(map(callable, (f for fs in commands.COMMANDS.values() for f in fs)))
