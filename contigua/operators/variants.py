@@ -115,3 +115,51 @@ def detectability(reads: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
     novel = w.select("doc_id", "at", "base", S.canonical(km).alias("kmer")).join(have, "kmer", "left_anti").select("doc_id", "at", "base").distinct().groupBy("doc_id").agg(F.count("*").alias("novel"))
     total = seqs.filter(F.length("seq") >= k).select("doc_id", (F.length("seq") * 3).cast("long").alias("mutations"))
     return total.join(novel, "doc_id", "left").select("doc_id", "mutations", F.coalesce("novel", F.lit(0)).alias("novel"))
+
+
+def germline_haplotypes(windows: DataFrame, most_nearby: int = 4) -> DataFrame:
+    """``row_no``, ``haplotype``: a variant applied to its reference window together with every combination of the nearby
+    germline variants, where there are ``most_nearby`` at most (else none).
+
+    ``windows``: row_no, seq, start (place of its first base, from 1), pos, ref, alt, nearby (array of pos, ref, alt).
+    Combinations that overlap, or whose reference bases differ from the window, are left out.
+    """
+    from collections.abc import Iterator
+    from itertools import combinations
+
+    import pandas as pd
+
+    def apply(seq: str, start: int, edits: list[tuple[int, str, str]]) -> str | None:
+        out, last = [], 0
+        for pos, ref, alt in sorted(edits):
+            at = pos - start
+            if at < last or seq[at : at + len(ref)] != ref:
+                return None
+            out += [seq[last:at], alt]
+            last = at + len(ref)
+        return "".join([*out, seq[last:]])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples():
+                near = [(x["pos"], x["ref"], x["alt"]) for x in (r.nearby if r.nearby is not None else [])]
+                if len(near) <= most_nearby:
+                    made = {apply(r.seq, r.start, [(r.pos, r.ref, r.alt), *c]) for n in range(len(near) + 1) for c in combinations(near, n)}
+                    rows += [(r.row_no, h) for h in sorted(made - {None})]
+            yield pd.DataFrame(rows, columns=["row_no", "haplotype"])
+
+    return windows.select("row_no", "seq", "start", "pos", "ref", "alt", "nearby").mapInPandas(run, "row_no long, haplotype string")
+
+
+def concordance(haplotypes: DataFrame, variant_counts: DataFrame, base_counts: DataFrame, k: int, beyond: int = 5) -> DataFrame:
+    """``row_no``, ``unique_kmers``, ``class``: windows of a variant's haplotypes that the variant reads have and the base
+    reads don't, the most of any haplotype; SOMATIC if more than ``beyond``, else GERMLINE."""
+    from contigua.operators import kmers
+
+    h = haplotypes.select("row_no", F.xxhash64("row_no", "haplotype").alias("read_idx"), F.col("haplotype").alias("seq"))
+    occ = kmers.occurrences(h, k).select("read_idx", "pos", F.col("c").alias("kmer"))
+    only = occ.join(variant_counts.select("kmer"), "kmer", "left_semi").join(base_counts.select("kmer"), "kmer", "left_anti")
+    per = h.select("row_no", "read_idx").join(only.groupBy("read_idx").agg(F.count("*").alias("n")), "read_idx", "left")
+    top = per.groupBy("row_no").agg(F.coalesce(F.max("n"), F.lit(0)).alias("unique_kmers"))
+    return top.select("row_no", "unique_kmers", F.when(F.col("unique_kmers") > beyond, "SOMATIC").otherwise("GERMLINE").alias("class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contigua.operators import align, correct, dedup, graph, haplotypes, kmers, overlap, preqc, reads, scaffold, variants, walks
+from contigua.operators import align, alignments, correct, dedup, graph, haplotypes, kmers, overlap, preqc, reads, scaffold, variants, walks
 from contigua.sources import graphs, population, sequences
 
 COMMANDS = {
@@ -34,6 +34,7 @@ COMMANDS = {
     "gmap": (overlap.place,),
     "walk": (walks.find_walks, walks.walk_strings, walks.longest_walks),
     "variant-detectability": (variants.detectability,),
+    "filterBAM": (alignments.pairs, alignments.filter_pairs),
+    "rewrite-evidence-bam": (alignments.restore_reads,),
+    "graph-concordance": (variants.germline_haplotypes, variants.concordance),
 }
-#: Commands without a counterpart yet.
-ABSENT = ("graph-concordance", "rewrite-evidence-bam", "filterBAM")

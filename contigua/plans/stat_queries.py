@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigua.operators import kmers, preqc, scaffold, variants
+from contigua.operators import alignments, kmers, preqc, scaffold, variants
 from contigua.operators import reads as R
 from contigua.plans.read_queries import _BOTH
 from contigua.plans.registry import DS, ERR, READS, canon, occ, query
@@ -130,7 +130,8 @@ def scaffold_best_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scaffold_polymorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _contigs(spark, sf_dir)
-    return scaffold.polymorphic(scaffold.twins(_links(c)), scaffold.a_statistic(c), most_copies=3.0)
+    wide = _links(c).withColumn("sd", F.col("sd") * 20)
+    return scaffold.polymorphic(scaffold.twins(wide), scaffold.a_statistic(c), most_copies=3.0)
 
 
 @query(f"""with {DS}, {_LINKS}, o as (select id // 4 as scaffold, id, row_number() over (partition by id // 4 order by id) as ord, seq from ct join ds on id = doc_id),
@@ -224,3 +225,21 @@ def population_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contigua.sources import population
 
     return population.ranges(R.derive(spark, sf_dir), "source").select("sample", F.col("start").alias("first_read"), F.col("end").alias("last_read"))
+
+
+_REC = "select l_orderkey as name, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as r, count(*) over (partition by l_orderkey) as k, l_suppkey % 30 as ref, l_partkey * 3 as pos, l_partkey * 3 + 100 as end_pos, l_quantity as mapq, (l_orderkey + l_linenumber) % 8 as nm, l_partkey % 2 = 1 as rev, l_returnflag <> 'N' as mapped, 300000 as len from lineitem"
+
+
+@query(f"""with rec as ({_REC}), a as (select * from rec where r = 1 and k = 2), b as (select * from rec where r = 2 and k = 2)
+select name, case when a.nm / 100.0 > 0.05 or b.nm / 100.0 > 0.05 then 'error_rate' when a.mapq < 10 or b.mapq < 10 then 'quality'
+when a.ref = b.ref and not (case when a.pos < b.pos then a.rev else b.rev end) and (case when a.pos < b.pos then b.rev else a.rev end) then 'forward_reverse'
+when a.ref <> b.ref and (least(a.pos, a.len - a.end_pos) < 500 or least(b.pos, b.len - b.end_pos) < 500) then 'near_end' else 'pass' end as reason
+from a join b using (name) where a.mapped and b.mapped""")
+def filter_bam_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rec = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        c("l_orderkey").alias("name"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("rec"), F.lit(True).alias("is_primary"), (c("l_returnflag") != "N").alias("is_mapped"), (c("l_partkey") % 2 == 1).alias("is_reverse"), (c("l_suppkey") % 30).alias("ref"),
+        (c("l_partkey") * 3).alias("pos"), (c("l_partkey") * 3 + 100).alias("end_pos"), c("l_quantity").alias("mapq"), ((c("l_orderkey") + c("l_linenumber")) % 8).alias("nm"), F.repeat(F.lit("A"), F.lit(100)).alias("seq"),
+    )
+    lengths = spark.range(30).select(c("id").alias("ref"), F.lit(300000).alias("ref_length"))
+    return alignments.filter_pairs(alignments.pairs(rec), lengths, max_error=0.05, min_quality=10, min_to_end=500)

@@ -234,4 +234,26 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
 def test_every_command_names_functions():
     from contigua.plans import commands
 
-    assert len(commands.COMMANDS) + len(commands.ABSENT) == 31 and all(map(callable, (f for fs in commands.COMMANDS.values() for f in fs)))
+    assert len(commands.COMMANDS) == 31 and all(map(callable, (f for fs in commands.COMMANDS.values() for f in fs)))
+
+
+def test_concordance(spark):
+    rng = random.Random(5)
+    g = dna(rng, 100)
+    alt = "ACGT"[("ACGT".index(g[49]) + 1) % 4]
+    mutant = g[:49] + alt + g[50:]
+    near = [{"pos": 20, "ref": g[19], "alt": "ACGT"[("ACGT".index(g[19]) + 1) % 4]}]
+    w = spark.createDataFrame([(1, g, 1, 50, g[49], alt, near), (2, g, 1, 50, g[49], alt, near * 5)], "row_no long, seq string, start int, pos int, ref string, alt string, nearby array<struct<pos:int,ref:string,alt:string>>")
+    h = variants.germline_haplotypes(w)
+    assert {r.haplotype for r in h.collect()} >= {mutant} and h.count() == 2
+    v, b = kmers.both_strands(reads_df(spark, [mutant]), 21), kmers.both_strands(reads_df(spark, [g]), 21)
+    assert tuple(variants.concordance(h, v, b, 21).first()) == (1, 21, "SOMATIC")
+    assert tuple(variants.concordance(h, b, b, 21).first()) == (1, 0, "GERMLINE")
+
+
+def test_evidence_reads(spark):
+    from contigua.operators import alignments
+
+    e = spark.createDataFrame([("idx-1", "N", "#"), ("other", "A", "I")], "name string, seq string, qual string")
+    r = spark.createDataFrame([(1, "read/1", "ACGT", "IIII")], "read_idx long, id string, seq string, qual string")
+    assert {tuple(x) for x in alignments.restore_reads(e, r).select("name", "seq", "qual").collect()} == {("read/1", "ACGT", "IIII"), ("other", "A", "I")}
