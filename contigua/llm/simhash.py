@@ -87,7 +87,9 @@ def links(distinct_fps: DataFrame, max_diff: int = 2, pair_limit: int = PAIR_LIM
     """
     if max_diff == 0:
         return distinct_fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter(F.lit(False))
-    keyed = distinct_fps.select("fp", F.explode(_variants(F.col("fp"), max_diff)).alias("k")).select("fp", "k.no", "k.bits")
+    # each fingerprint becomes dozens of keys: deal them out before, so that small partitions aren't joined up first
+    wide = distinct_fps.select("fp").repartition(int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = wide.select("fp", F.explode(_variants(F.col("fp"), max_diff)).alias("k")).select("fp", "k.no", "k.bits")
     sizes = keyed.groupBy("no", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(keyed.join(sizes, ["no", "bits"]), "simhash-shared")
     few = shared.filter(F.col("n") <= pair_limit).select("no", "bits", "fp")
