@@ -68,3 +68,11 @@ def test_keep_clean(docs, bench):
     bad = dc.decontaminate(docs, bench).filter("contaminated").count()
     kept = dc.keep_clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - bad
+
+
+def test_kept_rows_do_not_depend_on_the_blocks(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    benchmark = spark.createDataFrame([("a", item), ("b", " ".join(f"other{i}" for i in range(20)))], "item_id string, text string")
+    docs = spark.createDataFrame([(None, item), (None, "clean words"), (1, item), (1, "clean too"), (2, None)], "doc_id long, text string")
+    kept = [sorted(map(str, dc.keep_clean(docs, benchmark, index_bytes=size).collect())) for size in (32 << 20, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
