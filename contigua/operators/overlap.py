@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contigua.functions import sequence as S
 from contigua.operators.kmers import occurrences
+from contigua.runtime import materialize
 
 
 def oriented(reads: DataFrame) -> DataFrame:
@@ -56,22 +57,36 @@ def inexact_overlaps(reads: DataFrame, min_overlap: int = 45, error_rate: float
 
     Prefixes of the least overlap are cut into so many seeds that one of them is free of errors; a seed of y found in x
     fixes the overlap, which is then counted out. A longer overlap may hold more errors than seeds in its first part, so
-    it is found only if one seed is clean. Seeds that more than ``most_seed_hits`` prefixes share are passed over.
+    it is found only if one seed is clean. Seeds that more than ``most_seed_hits`` prefixes share are dealt out: their
+    prefixes and their windows in so many parts, and every part of the one meets every part of the other.
     """
     pieces = int(error_rate * min_overlap) + 1
     size = min_overlap // pieces
     o = oriented(reads)
     heads = o.filter(F.length("seq") >= min_overlap).select(F.col("id").alias("y"), F.col("st").alias("ys"), F.col("seq").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("j"))
     heads = heads.withColumn("w", F.substring("t", F.col("j") * size + 1, F.lit(size)))
-    cold = heads.groupBy("w", "j").agg(F.count("*").alias("hits")).filter(F.col("hits") <= most_seed_hits).select("w", "j")
-    heads = heads.join(cold, ["w", "j"], "left_semi")
     tails = o.select(F.col("id").alias("x"), F.col("st").alias("xs"), "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - size + 1)).alias("p"))
     tails = tails.withColumn("w", F.substring("seq", F.col("p"), F.lit(size)))
     start = F.col("p") - F.col("j") * size
-    hits = tails.join(heads, "w").withColumn("start", start).filter((F.col("x") != F.col("y")) & (F.col("start") >= 2))
+    # few by nature, and tables, so that their size is known and windows aren't moved to meet them
+    hot = materialize(heads.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > most_seed_hits), "hot-seeds")
+    hot = tails.select("w").join(hot, "w").groupBy("w").agg(F.first("n").alias("n_head"), F.count("*").alias("n_tail"))
+    parts = lambda n: F.ceil(n / F.lit(most_seed_hits)).cast("int")
+    hot = materialize(hot.select("w", parts(F.col("n_head")).alias("of_head"), parts(F.col("n_tail")).alias("of_tail")), "hot-parts")
+
+    def deal(side: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+        """The part of each row, and the row once for every part of the other side."""
+        of = lambda part: F.coalesce(f"of_{part}", F.lit(1))
+        dealt = side.join(hot, "w", "left").withColumn(own, F.pmod(F.xxhash64(*by), of(own)).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), of(other) - 1))).drop("of_head", "of_tail")
+
+    heads, tails = deal(heads, "head", "tail", "y", "ys", "j"), deal(tails, "tail", "head", "x", "xs", "p")
+    hits = tails.join(heads, ["w", "head", "tail"]).withColumn("start", start).filter((F.col("x") != F.col("y")) & (F.col("start") >= 2))
     hits = hits.withColumn("ov", F.length("seq") - F.col("start") + 1).filter((F.col("ov") >= min_overlap) & (F.col("ov") < F.length("t")))
-    pairs = hits.select("x", "xs", "y", "ys", "ov", F.substring("seq", F.col("start"), F.length("seq")).alias("a"), F.substring("t", F.lit(1), F.col("ov")).alias("b")).dropDuplicates(["x", "xs", "y", "ys", "ov"])
-    good = pairs.withColumn("diff", S.hamming(F.col("a"), F.col("b"))).filter(F.col("diff") <= F.floor(F.lit(error_rate) * F.col("ov") + 1e-9))
+    # placements are verified where they are found, before anything is dealt out by pairs; the group takes repeats together
+    a, b = F.substring("seq", F.col("start"), F.length("seq")), F.substring("t", F.lit(1), F.col("ov"))
+    pairs = hits.select("x", "xs", "y", "ys", "ov", S.hamming(a, b).alias("diff"))
+    good = pairs.filter(F.col("diff") <= F.floor(F.lit(error_rate) * F.col("ov") + 1e-9))
     return good.groupBy("x", "xs", "y", "ys").agg(F.max(F.struct("ov", "diff")).alias("m")).select("x", "xs", "y", "ys", "m.ov", "m.diff")
 
 

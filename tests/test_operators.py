@@ -70,6 +70,25 @@ def test_overlaps_equal_brute_force(spark, genome):
     assert near == got
 
 
+def test_inexact_overlaps_of_hot_seeds_are_all_found(spark):
+    rng = random.Random(9)
+    shared = dna(rng, 24)
+    reads = [dna(rng, 10) + shared + dna(rng, 6) for _ in range(12)] + [shared + dna(rng, 16) for _ in range(12)]
+    reads += [shared[:5] + "ACGT"["TGCA".index(shared[5])] + shared[6:] + dna(rng, 16) for _ in range(8)]
+    reads += [dna(rng, 16) + shared for _ in range(12)]
+    both = {(i, st): rc(s) if st else s for i, s in enumerate(reads) for st in (0, 1)}
+    want = {}
+    for (x, xs), s in both.items():
+        for (y, ys), t in both.items():
+            for ov in range(20, min(len(s) - 1, len(t) - 1) + 1) if x != y else ():
+                diff = sum(c != d for c, d in zip(s[-ov:], t, strict=False))
+                if diff <= int(0.05 * ov + 1e-9):
+                    want[x, xs, y, ys] = (ov, diff)
+    for most in (3, 200):
+        got = {(r.x, r.xs, r.y, r.ys): (r.ov, r.diff) for r in overlap.inexact_overlaps(reads_df(spark, reads), 20, 0.05, most).collect()}
+        assert got == want and len(want) > 200
+
+
 def test_assembly_gives_the_genome_back(spark, genome):
     g, reads = genome
     r = dedup.remove_duplicates(reads_df(spark, reads)).select("read_idx", "seq")
