@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from contigua.functions import sequence as S
-from contigua.runtime import materialize
+from contigua.runtime import forget, join_unique, materialize
 
 
 def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,20 +95,37 @@ def small_repeat_edges(edges: DataFrame, seq_length: int, min_diff: int = 20) ->
     return both.filter(weak).select("x", "xs", "y", "ys", "lab")
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id``, ``component`` (smallest id reachable): neighbour minimum and pointer jumping."""
-    both = materialize(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    labels = materialize(vertices.select("id", F.col("id").alias("component")), "labels")
+def connect(links: DataFrame) -> DataFrame:
+    """``node`` and ``label`` (the smallest node that it reaches) for every node of ``links`` (``a``, ``b``).
+
+    Rounds of neighbour minimum and pointer jumping; each round is a written table and the one before it is deleted.
+    A node with very many links, or a label with very many members, is a hot key of ``join_unique``, never one task's.
+    """
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("low"))
-        step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        new = materialize(step.join(jump, "low").select("id", F.least("low", "far").alias("new"), (F.least("low", "far") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("id", F.col("new").alias("component"))
-        if new.filter("moved").isEmpty():
+        at = labels.select(F.col("node").alias("b"), F.col("label").alias("l"))
+        low = join_unique(both, at, "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("low"))
+        step = materialize(labels.join(low.hint("merge"), "node").select("node", "label", F.least("label", "low").alias("low")), "labels-step")
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
+        least = F.least("low", "jump")
+        new = materialize(join_unique(step, jump, "low").select("node", least.alias("label"), (least != F.col("label")).alias("moved")), "labels")
+        done = new.filter("moved").isEmpty()
+        forget(step)
+        forget(labels)
+        labels = new.select("node", "label")
+        labels._scratch = new._scratch
+        if done:
+            forget(both)
             return labels
 
 
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id``, ``component`` (smallest id reachable); a vertex without edges is its own."""
+    labels = connect(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return vertices.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+
+
 def neighbourhood(edges: DataFrame, root: int, hops: int) -> DataFrame:
     """``id``, ``hop`` of the vertices within ``hops`` edges of a root."""
     spark = edges.sparkSession

@@ -8,18 +8,22 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where unset, a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one takes its
+    place, but only if driver and executors are one process (tests); on a cluster that is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return str(jvm_dir.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="contigua-checkpoints-")
     spark.sparkContext.setCheckpointDir(own)
     return f"file://{own}"
@@ -35,7 +39,36 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` gave, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(conf).delete(path, True)
+
+
+#: Keys that ``join_unique`` sends to every task at most, and the fewest rows of a key that are worth it.
+HOT_KEYS, HOT_ROWS = 1000, 100_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) to ``right``, in which ``key`` is unique; ``left`` should be a written table.
+
+    Keys that hold more than one in ``HOT_KEYS`` of the rows of ``left`` can't be more than ``HOT_KEYS``: their rows of
+    ``right`` are broadcast. All others meet in a merge join, so that no broadcast grows with the data.
+    """
+    rows = left.count()
+    least = max(rows // HOT_KEYS, HOT_ROWS)
+    hot = [r[0] for r in left.groupBy(key).count().filter(F.col("count") > least).select(key).collect()] if rows > least else []
+    if not hot:
+        return left.join(right.hint("merge"), key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
+    return left.filter(~is_hot).join(right.filter(~is_hot).hint("merge"), key, how).unionByName(few)
 
 
 def ship(spark: SparkSession) -> None:
