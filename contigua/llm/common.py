@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contigua.runtime import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
@@ -21,10 +23,16 @@ def fold_of(id_col: Column | str, folds: int) -> Column:
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text under private names, so that other columns can't clash."""
+    """Only the id and the text under private names, so that other columns can't clash; the package goes to the workers."""
+    ship(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text as 32 bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def per_text(fn: Callable[[str], tuple], fields: list[pa.Field], rename: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` body that calls ``fn`` on every text (null: empty) and appends its results after ``_id``."""
 

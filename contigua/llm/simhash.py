@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import id_and_text
-from contigua.runtime import materialize
+from contigua.llm.common import id_and_text, text_digest
+from contigua.operators.graph import connect
+from contigua.runtime import forget, join_unique, materialize
 
 #: Buckets of more fingerprints than this aren't paired up but taken over by variants of the whole fingerprint.
 PAIR_LIMIT = 64
@@ -38,18 +39,22 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``_id`` and the signed 64-bit ``fp`` of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, digests: bool = False) -> DataFrame:
+    """``_id`` and the signed 64-bit ``fp`` of every row, with ``digests`` also the ``_digest`` of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
             out = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), *b.columns[2:]], names=["_id", "fp", *b.schema.names[2:]])
 
     slim = id_and_text(docs, id_col, text_col)
-    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, fp long")
+    kind = f"_id {slim.schema['_id'].dataType.simpleString()}, fp long"
+    if digests:
+        slim = slim.withColumn("_digest", text_digest(F.col("_text")))
+        kind += ", _digest binary"
+    return slim.mapInArrow(run, kind)
 
 
 def _segments(max_diff: int) -> list[tuple[int, int]]:
@@ -83,7 +88,9 @@ def links(distinct_fps: DataFrame, max_diff: int = 2, pair_limit: int = PAIR_LIM
 
     Variant buckets of up to ``pair_limit`` members are paired and verified. Members of larger buckets get every
     ``max_diff``-bit deletion of the whole fingerprint instead; members of such a bucket all lie within ``max_diff``
-    bits, so a star to the smallest of them is enough. No pair of a large bucket is ever listed.
+    bits, so a star to the smallest of them is enough. No pair of a large bucket is ever listed. With some 10^10
+    distinct fingerprints, whose halves less a bit take 2^31 values, most buckets are large and a fingerprint costs up
+    to 2016 keys instead of 64: exact still, and the limit of scale.
     """
     if max_diff == 0:
         return distinct_fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter(F.lit(False))
@@ -106,52 +113,49 @@ def links(distinct_fps: DataFrame, max_diff: int = 2, pair_limit: int = PAIR_LIM
     return near.unionByName(stars.select("a", F.col("z").alias("b"))).unionByName(members).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``label`` (the smallest node that it reaches) for every node of the links ``a``, ``b``.
-
-    Rounds of neighbour minimum and pointer jumping; every round is a written table, so lost executors cost a round.
-    """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        at = labels.select(F.col("node").alias("b"), F.col("label").alias("l"))
-        low = both.join(at, "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("low"))
-        step = labels.join(low, "node").select("node", "label", F.least("label", "low").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = materialize(step.join(jump, "low", "left").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if new.filter("moved").isEmpty():
-            return labels
+def _labelled(fps: DataFrame, max_diff: int, pair_limit: int) -> DataFrame:
+    """``fp``, ``low`` (smallest id of its rows), ``label`` (smallest fingerprint that it reaches) of every fingerprint."""
+    one = materialize(fps.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-distinct")
+    labels = connect(links(one.select("fp"), max_diff, pair_limit)).withColumnRenamed("node", "fp")
+    return materialize(one.join(labels.hint("merge"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label")), "simhash-labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = 2, width: int = 3, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
     Two rows are linked when their fingerprints differ in at most ``max_diff`` bits; ``component_id`` is the smallest
-    id reachable. Null and empty texts have fingerprint zero and are linked like any other. Null ids are passed over
+    id that a row reaches. Null and word-less texts have fingerprint zero and meet each other. Null ids are passed over
     in the minimum (a group of nothing else gets null). Repeated rows come out repeated; an empty table gives an empty
-    one; other columns are ignored.
+    one; other columns are ignored. A fingerprint or component with very many rows is no single task's, and no side of
+    a join is broadcast that grows with the documents.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width), "simhash-fps")
-    one = fps.groupBy("fp").agg(F.min("_id").alias("low"))
-    labels = components(links(one.select("fp"), max_diff, pair_limit))
-    rooted = one.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    roots = materialize(rooted, "simhash-roots")
-    ids = roots.groupBy("label").agg(F.min("low").alias("component_id"))
-    placed = roots.join(ids, "label").select("fp", "component_id")
-    return fps.join(placed, "fp").select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = _labelled(fps, max_diff, pair_limit)
+    ids = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    placed = materialize(join_unique(labelled, ids, "label").select("fp", "component_id"), "simhash-placed")
+    forget(labelled)
+    return join_unique(fps, placed, "fp").select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = 2, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, all columns kept.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = 2, width: int = 3, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """One row of each group of linked fingerprints, all columns kept: that of the smallest id, fingerprint and digest of
+    the text.
 
-    Rows without an id can't be named as a copy and stay; rows that repeat an id count as one document.
+    Rows that share an id but not a group are told apart by their texts, so neither goes for the other. Of rows that
+    repeat id and text one stays, the least as JSON. Rows without an id can't be named as a copy and stay. Null and
+    empty texts are one group; an empty table gives an empty one; columns of any name are passed through.
     """
-    found = near_duplicates(docs, id_col, text_col, max_diff, width)
-    roots = materialize(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__root")).agg(F.count("*").alias("__n")), "simhash-kept")
-    # a merge join at every size: the ids kept grow with the documents
-    kept = docs.join(roots.hint("merge"), docs[id_col] == roots["__root"], "left_semi")
-    if not roots.filter("__n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    nameless = docs.filter(F.col(f"`{id_col}`").isNull())
-    return kept if nameless.isEmpty() else kept.unionByName(nameless)
+    fps = materialize(fingerprints(docs, id_col, text_col, width, digests=True), "simhash-fps")
+    labelled = _labelled(fps, max_diff, pair_limit)
+    rows = join_unique(fps, labelled.select("fp", "label"), "fp")
+    same = rows.filter(F.col("_id").isNotNull()).groupBy("label", "_id", "fp", "_digest").agg(F.count("*").alias("_n"))
+    kept = materialize(same.groupBy("label").agg(F.min(F.struct("_id", "fp", "_digest", "_n")).alias("k")).select("k.*"), "simhash-kept")
+    # a merge join at every size: what is kept grows with the documents
+    id_, digest = docs[f"`{id_col}`"], text_digest(docs[f"`{text_col}`"].cast("string"))
+    out = docs.join(kept.hint("merge"), (id_ == kept["_id"]) & (digest == kept["_digest"]), "left_semi")
+    if not kept.filter("_n > 1").isEmpty():
+        whole = F.struct("*")
+        least = out.groupBy(F.col(f"`{id_col}`").alias("_i"), text_digest(F.col(f"`{text_col}`").cast("string")).alias("_d")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+        out = least.select("_row.*")
+    nameless = docs.filter(id_.isNull())
+    return out if nameless.isEmpty() else out.unionByName(nameless)

@@ -59,7 +59,7 @@ def test_links_have_the_closure_of_all_links(spark, limit, d):
     assert all((r.a ^ r.b & (1 << 64) - 1).bit_count() <= 64 for r in edges.collect())
     assert edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > d).isEmpty()
     got = {}
-    labels = {r.node: r.label for r in simhash.components(edges).collect()}
+    labels = {r.node: r.label for r in simhash.connect(edges).collect()}
     comp = brute_components(fps, d)
     for f in fps:
         s = f - (f >> 63 << 64)
@@ -76,3 +76,26 @@ def test_empty_and_kept(docs, none):
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
     assert ids == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
+
+
+def test_kept_rows_of_one_id_and_clashing_names(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a, "x", 1), (5, b, "x", 2), (5, a, "x", 3), (7, a, "x", 4), (None, a, "x", 5), (8, None, "x", 6), (9, "", "x", 7), (8, None, "x", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, label long").repartition(3)
+    kept = sorted(tuple(-1 if v is None else v for v in r) for r in simhash.keep_one(docs).collect())
+    assert kept == [(-1, a, "x", 5), (5, a, "x", 1), (5, b, "x", 2), (8, -1, "x", 6)]
+
+
+def test_one_large_component_and_hot_keys(spark, monkeypatch):
+    from contigua import runtime
+    from contigua.operators.graph import connect
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 1000)
+    n = 100_000
+    star = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    tail = spark.range(n, n + 64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    labels = connect(star.unionByName(tail))
+    assert {(r.label, r["count"]) for r in labels.groupBy("label").count().collect()} == {(0, n), (n, 65)}
+    docs = spark.createDataFrame([(i, "one two three four" if i % 3 else f"w{i} x{i} y{i} z{i}") for i in range(3000)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == 3000 and {got[i] for i in range(3000) if i % 3} == {1}
