@@ -1,21 +1,31 @@
-"""Benchmark decontamination by winnowing: shared minimum k-gram hashes, extended to whole windows."""
+"""Benchmark decontamination by winnowing: both sides keep the least k-gram hash of every window, kept fingerprints are
+equi-joined, and hits are extended to whole windows.
+
+A window of 13 words has nine 5-grams; the leftmost of the least hash stands for it, wherever the window occurs. So a
+shared window has the same fingerprint on both sides, and every shared span of 13 words or more is found. The join key is
+the fingerprint with a second hash of all words of the window (128 bits together): the extension of a hit to its window.
+"""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import id_and_text
+from contigua.llm.common import id_and_text, text_digest
+from contigua.runtime import join_unique, materialize, ship
 
-#: Benchmark text that one index may hold; larger benchmarks are taken block by block.
-INDEX_BYTES = 32 << 20
-#: Words of a k-gram; a window of 13 words then has 9 of them, and winnowing keeps the least of any 9 in a row.
+#: Distinct test fingerprints, of 8 bytes each, that are sent to the scan as a filter at most; with more of them all
+#: windows of the documents (24 bytes a word) go to the join, which gives the same rows.
+FILTER_HASHES = 8_000_000
+#: Digests of texts with hits, of 32 bytes each, that may be broadcast; more of them are joined by merge.
+DIGESTS_SENT = 1_000_000
+#: Words of a k-gram; a window of 13 words then has 9 of them.
 GRAM = 5
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_GRAM_BASE, _WINDOW_BASE, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -23,204 +33,164 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def gram_hashes(words: list[bytes], k: int = GRAM):
-    """A 64-bit hash for every ``k`` consecutive words."""
+def word_hashes(words: list[bytes]):
+    """A 64-bit hash of every word."""
     import numpy as np
     import xxhash
 
-    n = len(words) - k + 1
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def run_hashes(one, k: int, base: int):
+    """A 64-bit hash of every ``k`` words in a row, from those of the words."""
+    import numpy as np
+
+    n = len(one) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     out = np.zeros(n, np.uint64)
     for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + one[i : i + n]
+        out = out * np.uint64(base) + one[i : i + n]
     out ^= out >> np.uint64(32)
-    return out * np.uint64(0xD6E8FEB86659FD93)
+    return out * np.uint64(_MIX)
 
 
-def _slide(x, w: int, low: bool):
-    """Minimum or maximum of every ``w`` values in a row, by doubling."""
+def winnow(hashes, w: int):
+    """For every ``w`` hashes in a row the place of the least (ties: the leftmost); fewer hashes give none."""
     import numpy as np
 
-    pick, have = np.minimum if low else np.maximum, 1
-    while have < w:
-        step = min(have, w - have)
-        x, have = pick(x[:-step], x[step:]), have + step
-    return x
+    if len(hashes) < w:
+        return np.empty(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(hashes, w).argmin(1) + np.arange(len(hashes) - w + 1)
 
 
-def winnow(hashes, w: int):
-    """Positions whose hash is the least of some ``w`` in a row (ties: all of them); of fewer, the least."""
+def windows(one, m: int, known=None):
+    """Starts, fingerprints and window hashes of all windows of ``m`` words; with ``known`` (sorted) only of those whose
+    fingerprint is among them."""
     import numpy as np
 
-    if len(hashes) <= w:
-        return np.flatnonzero(hashes == hashes.min()) if len(hashes) else np.empty(0, np.int64)
-    least = _slide(hashes, w, True)
-    pad = np.zeros(w - 1, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate([pad, least, pad]), w, False) == hashes)
+    k = min(GRAM, m)
+    grams = run_hashes(one, k, _GRAM_BASE)
+    if known is not None:
+        where = np.searchsorted(known, grams)
+        where[where == len(known)] = 0
+        member = known[where] == grams if len(known) else np.zeros(len(grams), bool)
+        if not member.any():
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    at = winnow(grams, m - k + 1)
+    starts = np.arange(len(at)) if known is None else np.flatnonzero(member[at])
+    return starts, grams[at[starts]], run_hashes(one, m, _WINDOW_BASE)[starts]
+
+
+def _keys(fingerprint, window) -> pa.Array:
+    """Fingerprint and window hash as 16 bytes."""
+    import numpy as np
 
+    both = np.column_stack([fingerprint, window]).astype("<u8")
+    return pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
 
-class Index:
-    """The windows of a block of benchmark items and the hashes of all their k-grams."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = 13, k: int = GRAM):
-        import numpy as np
+def test_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """``m`` (words), ``gram`` (fingerprint), ``key``, ``item`` of every window of the benchmark, a written table.
 
-        self.window, self.k = window, k
-        self.full: dict[bytes, set[str]] = {}
-        self.short: dict[bytes, set[str]] = {}
-        self.first: dict[bytes, set[int]] = {}
-        found = [np.empty(0, np.uint64)]
-        for item, text in items:
-            w = words_of(text)
-            if len(w) >= window:
-                for i in range(len(w) - window + 1):
-                    self.full.setdefault(b" ".join(w[i : i + window]), set()).add(item)
-                found.append(gram_hashes(w, k))
-            elif w:
-                self.short.setdefault(b" ".join(w), set()).add(item)
-                self.first.setdefault(w[0], set()).add(len(w))
-        self.hashes = np.unique(np.concatenate(found))
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans (start, end) of all occurrences of windows, and the items that they come from."""
-        import numpy as np
+    Texts without words give none; of fewer than ``window`` words one. A null item keeps its windows.
+    """
 
-        spans, items, n = [], set(), self.window
-        if len(words) >= n and len(self.hashes):
-            grams = gram_hashes(words, self.k)
-            at = winnow(grams, n - self.k + 1)
-            where = np.searchsorted(self.hashes, grams[at])
-            where[where == len(self.hashes)] = 0
-            starts = {s for p in at[self.hashes[where] == grams[at]].tolist() for s in range(max(0, p + self.k - n), min(p, len(words) - n) + 1)}
-            for s in sorted(starts):
-                if got := self.full.get(b" ".join(words[s : s + n])):
-                    spans.append((s, s + n))
-                    items |= got
-        if self.first:
-            for s, w in enumerate(words):
-                for m in self.first.get(w, ()):
-                    if s + m <= len(words) and (got := self.short.get(b" ".join(words[s : s + m]))):
-                        spans.append((s, s + m))
-                        items |= got
-        return spans, items
-
-
-def verdict(n: int, spans: list[tuple[int, int]], items: set[str]) -> tuple[int, int, int, str, bool]:
-    """n_words, n_hit, n_items, items_sha256, contaminated."""
-    hit, last = 0, 0
-    for a, b in sorted(spans):
-        hit += max(0, b - max(a, last))
-        last = max(last, b)
-    return n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and 20 * hit >= n
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of at most ``index_bytes`` of text (a larger item: a block of its own), one in memory at a time."""
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("i is not null and t is not null")
-    block, held = [], 0
-    for r in items.toLocalIterator():
-        if block and held + len(r.t) > index_bytes // 4:
-            yield block
-            block, held = [], 0
-        block.append((r.i, r.t))
-        held += len(r.t)
-    yield block
-
-
-_OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Words of every document inside an occurrence of a benchmark window, one output row per input row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    The test side is an index per block of ``index_bytes`` characters at most, sent to the executors; documents are
-    scanned once a block and never shuffled with their text. Null and empty texts have no words (never contaminated);
-    items without words or id give no windows; items of fewer than ``window`` words are one window; repeated rows come
-    out repeated; an empty table on either side gives no hits; other columns are ignored.
-    """
-    slim = id_and_text(docs, id_col, text_col)
-    kind = slim.schema["_id"].dataType.simpleString()
-    sc, blocks = docs.sparkSession.sparkContext, _blocks(benchmark, item_col, item_text_col, index_bytes)
-    first, second = next(blocks), next(blocks, None)
-
-    def scan(block: list[tuple[str, str | None]]):
-        index = sc.broadcast(Index(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for b in batches:
-                rows = []
-                for x in b.column(1):
-                    words = words_of(x.as_py())
-                    rows.append(verdict(len(words), *ix.hits(words)))
-                n, hit, items, sha, bad = zip(*rows) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, hit, items)), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-        def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for b in batches:
-                rows = []
-                for key, x in zip(b.column(0), b.column(1), strict=True):
-                    found, items = ix.hits(words_of(x.as_py()))
-                    if found:
-                        rows.append((key.as_py(), [v for s in sorted(set(found)) for v in s], sorted(items)))
-                k, s, i = zip(*rows) if rows else ((),) * 3
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(s, pa.list_(pa.int64())), pa.array(i, pa.list_(pa.string()))], names=["key", "spans", "items"])
-
-        return run, spans
-
-    if second is None:
-        return slim.mapInArrow(scan(first)[0], f"doc_id {kind}, {_OUT}")
-    # more than one block: hits are joined by the digest of the text, and repeated texts share them
-    digest = F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256))
-    texts = slim.select(digest.alias("key"), "_text")
-    found = None
-    for block in (b for part in ([first, second], blocks) for b in part):
-        part = texts.mapInArrow(scan(block)[1], "key binary, spans array<long>, items array<string>").dropDuplicates(["key"])
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for n, s, i in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                rows.append(verdict(n, list(zip((s or [])[::2], (s or [])[1::2])), set(i or [])))
-            n, hit, items, sha, bad = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, hit, items)), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            for item, text in zip(b.column(0), b.column(1), strict=True):
+                one = word_hashes(words_of(text.as_py()))
+                if not len(one):
+                    continue
+                m = min(window, len(one))
+                _, gram, win = windows(one, m)
+                n = len(gram)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m, np.int32)), pa.array(gram.view(np.int64)), _keys(gram, win), pa.array([item.as_py()] * n, pa.string())], names=["m", "gram", "key", "item"])
+
+    ship(benchmark.sparkSession)
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("t is not null")
+    return materialize(items.mapInArrow(run, "m int, gram long, key binary, item string").distinct(), "test-windows")
+
+
+def _document_windows(slim: DataFrame, tests: DataFrame, filter_hashes: int) -> DataFrame:
+    """``_id``, ``n_words`` and ``hits`` (key, start, end) of every row of ``slim``: windows to look up in ``tests``."""
+    import numpy as np
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    prints = tests.select("m", "gram").distinct()
+    if prints.count() <= filter_hashes:
+        found = prints.toArrow()
+        m, gram = found["m"].to_numpy(), found["gram"].to_numpy().view(np.uint64)
+        known = {int(x): np.sort(gram[m == x]) for x in np.unique(m)}
+    else:
+        known = {r["m"]: None for r in prints.select("m").distinct().collect()}
+    shared = slim.sparkSession.sparkContext.broadcast(known)
+    hit = pa.struct([("key", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(words_of(x.as_py())) for x in b.column(2)], pa.int64())], names=["_id", "key", "n"])
+            n, keys, starts, ends, offsets = [], [], [], [], [0]
+            for x in b.column(1):
+                one = word_hashes(words_of(x.as_py()))
+                n.append(len(one))
+                many = 0
+                for m, fingerprints in shared.value.items():
+                    at, gram, win = windows(one, m, fingerprints)
+                    if len(at):
+                        keys.append(_keys(gram, win))
+                        starts.append(at)
+                        ends.append(at + m)
+                        many += len(at)
+                offsets.append(offsets[-1] + many)
+            flat = [pa.concat_arrays(keys), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())] if keys else [pa.array([], f.type) for f in hit]
+            hits = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(hit)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), hits], names=["_id", "n_words", "hits"])
 
-    sized = slim.select("_id", digest.alias("key"), "_text").mapInArrow(count, f"_id {kind}, key binary, n long")
-    return sized.join(merged, "key", "left").select("_id", "n", "spans", "items").mapInArrow(finish, f"doc_id {kind}, {_OUT}")
+    kind = slim.schema["_id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"_id {kind}, n_words long, hits array<struct<key: binary, start: int, end: int>>")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, all columns kept.
+def _covered(spans: Column) -> Column:
+    """Length of the union of spans (start, end)."""
+    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["last"]))).alias("n"), F.greatest(acc["last"], s["end"]).alias("last"))
+    return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), step, lambda acc: acc["n"].cast("long"))
 
-    Each row is judged by its text alone: inside the scan, without a shuffle, or by the digest of the text where the
-    benchmark takes more than one block.
-    """
-    blocks = _blocks(benchmark, "item_id", "text", index_bytes)
-    first, second = next(blocks), next(blocks, None)
-    if second is not None:
-        keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)))
-        found = decontaminate(keyed, benchmark, "_digest", text_col, window=window, index_bytes=index_bytes)
-        bad = found.filter("contaminated").select(F.col("doc_id").alias("_digest")).distinct()
-        return keyed.join(bad, "_digest", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    schema, index = docs.schema, docs.sparkSession.sparkContext.broadcast(Index(first, window))
-    at = schema.names.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        for b in batches:
-            keep = []
-            for x in b.column(at):
-                words = words_of(x.as_py())
-                keep.append(not verdict(len(words), *ix.hits(words))[4])
-            yield b.filter(pa.array(keep, pa.bool_()))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, filter_hashes: int = FILTER_HASHES) -> DataFrame:
+    """Words of every document inside an occurrence of a benchmark window, one output row per input row.
 
-    return docs.mapInArrow(run, schema)
+    One scan of the documents keeps the windows whose fingerprint the benchmark has, by row; these are joined to those of
+    the benchmark, hot windows apart. Neither text is shuffled. Null and empty texts have no words (never contaminated);
+    items without words give no windows; those without an id count for hits, but not among the items; items of fewer
+    than ``window`` words are one window; repeated rows come out repeated; an empty table on either side gives no hits;
+    other columns are ignored. What grows with a document is its own list of hits and items, which the result digests.
+    """
+    tests = test_windows(benchmark, item_col, item_text_col, window)
+    scanned = _document_windows(id_and_text(docs, id_col, text_col), tests, filter_hashes)
+    rows = materialize(scanned.withColumn("_row", F.monotonically_increasing_id()), "document-windows")
+    hits = rows.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
+    found = join_unique(hits, tests.groupBy("key").agg(F.collect_set("item").alias("items")), "key")
+    by_row = found.groupBy("_row").agg(_covered(F.collect_list(F.struct("start", "end"))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    joined = rows.select("_row", "_id", "n_words").join(by_row.hint("merge"), "_row", "left")
+    n_hit, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select(
+        F.col("_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, filter_hashes: int = FILTER_HASHES, digests_sent: int = DIGESTS_SENT) -> DataFrame:
+    """The rows of ``docs`` in whose text no window of the benchmark occurs, all columns kept.
+
+    A passage in a long text is as much of a leak as in a short one, so any hit counts, whatever its share. Rows go or
+    stay by their text alone: repeated rows and rows without an id like others. Null and empty texts stay; an empty
+    table on either side takes nothing away; columns of any name are passed through.
+    """
+    tests = test_windows(benchmark, item_col, item_text_col, window)
+    slim = id_and_text(docs, text_col, text_col).select(text_digest(F.col("_text")).alias("_id"), "_text")
+    hits = _document_windows(slim, tests, filter_hashes).filter(F.size("hits") > 0).select("_id", F.explode("hits.key").alias("key"))
+    hits = materialize(hits, "document-windows")
+    bad = materialize(join_unique(hits, tests.select("key").distinct(), "key").select("_id").distinct(), "contaminated-texts")
+    bad = F.broadcast(bad) if bad.count() <= digests_sent else bad.hint("merge")
+    return docs.join(bad, text_digest(docs[f"`{text_col}`"].cast("string")) == bad["_id"], "left_anti")

@@ -44,7 +44,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL["op9_decontamination"] = f"""
-with b as (select cast(item_id as varchar) as item, {_WORDS.format(t="text")} as ws from benchmark where item_id is not null and text is not null),
+with b as (select cast(item_id as varchar) as item, {_WORDS.format(t="text")} as ws from benchmark where text is not null),
 bw as (select distinct item, list_aggregate(ws[i : i + least(13, len(ws)) - 1], 'string_agg', ' ') as win, least(13, len(ws)) as m
        from (select item, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) as i from b where len(ws) > 0)),
 d as (select doc_id, {_WORDS.format(t="coalesce(text, '')")} as ws from documents),
@@ -53,7 +53,7 @@ dw as (select doc_id, m, i, list_aggregate(ws[i : i + m - 1], 'string_agg', ' ')
        from (select doc_id, ws, m, unnest(generate_series(1, len(ws) - m + 1)) as i from d, sizes where len(ws) >= m)),
 h as (select doc_id, dw.m, i, item from dw join bw on dw.m = bw.m and dw.win = bw.win),
 hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + m - 1)) as p from (select distinct doc_id, m, i from h)) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as said from (select distinct doc_id, item from h) group by doc_id)
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as said from (select distinct doc_id, item from h where item is not null) group by doc_id)
 select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(said, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from d left join hits using (doc_id) left join items using (doc_id)
