@@ -1,28 +1,33 @@
 """Training-order materialisation: packed token sequences, a keyed permutation to global slots, fixed-stride shards.
 
-A shard file holds slots in a row; a slot is ``seq_len`` token ids as little-endian unsigned 16-bit integers and a line
-feed, so slot ``k`` is at byte ``(k - first) * stride`` of the shard whose first slot is the last one up to ``k``.
+A shard file holds ``shard_span`` slots in a row (the last one what is left); a slot is ``seq_len`` token ids as
+little-endian unsigned 16-bit integers and a line feed. So slot ``k`` is at byte ``(k % shard_span) * stride`` of shard
+``k // shard_span``: both are computed, nothing is looked up.
 """
 
 from __future__ import annotations
 
 import base64
-import json
 import re
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from contigua.llm.bpe import WIDE_SPACE, _letters, pattern
 from contigua.llm.common import id_and_text
+from contigua.runtime import materialize
 
 _BLOCK = 1 << 16
-#: Pre-tokens remembered by a worker, about 200 bytes each; enough that the second pass finds those of the first.
+#: Sequences that are compressed together in the table of packed texts.
+_TOGETHER = 256
+#: Partitions whose first numbers are broadcast; with more of them they are joined by merge.
+_STARTS_SENT = 1_000_000
+#: Pre-tokens remembered by a worker, about 200 bytes each.
 _KNOWN = 1_500_000
 _ROUNDS = 6
 
@@ -142,127 +147,122 @@ def _pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _capacity(slim: DataFrame, seq_len: int) -> dict[int, tuple[int, int, int]]:
-    """Of each partition: number of its first sequence, texts, bytes. A token has a byte at least, so its texts can't
-    fill more sequences than its bytes and end tokens would; what is left over becomes gaps that no slot counts."""
-    size = F.octet_length(F.coalesce("_text", F.lit("")))
-    rows = slim.select(F.spark_partition_id().alias("part"), size.alias("n")).groupBy("part").agg(F.count("*").alias("texts"), F.sum("n").alias("bytes")).collect()
-    out, start = {}, 0
-    for r in sorted(rows, key=lambda r: r["part"]):
-        out[r["part"]] = (start, r["texts"], r["bytes"])
-        start += -(-(r["bytes"] + r["texts"]) // seq_len)
-    return out | {-1: (start, 0, 0)}
+def _pack(slim: DataFrame, ranks_path: str, seq_len: int) -> DataFrame:
+    """Texts encoded and packed: ``part``, ``first`` (number of the first sequence within the part), ``n_tokens`` and
+    ``doc_ids`` of up to ``_TOGETHER`` sequences, and their tokens compressed; a written table."""
+    kind = slim.schema["_id"].dataType.simpleString()
 
-
-def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048, shard_span: int = 8192, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards below ``path`` and return ``slot``, ``shard``, ``byte_offset``, ``n_tokens``, ``doc_ids`` of every sequence.
-
-    Texts are encoded once, closed by an end token and packed back to back within their partition; only the last sequence
-    of a partition is filled up, with end tokens. Sequences are numbered by partition with room for the most that its
-    bytes can give; the keyed permutation of those numbers is the training order, and slots count the sequences in it
-    without gaps. A shard is a range of ``shard_span`` values of the permutation. The passes over sizes and texts read
-    ``docs`` in the same partitions (as scans of files do); if they didn't, the write fails.
-
-    Null counts as empty (an end token alone); repeated rows are packed each; an empty table writes no shard; other
-    columns are ignored. Shards and their lists are written by Spark's own writer and commit protocol, one file each, so
-    a lost executor costs its tasks only.
-    """
-    spark = docs.sparkSession
-    slim = id_and_text(docs, id_col, text_col)
-    rooms = _capacity(slim, seq_len)
-    total = rooms[-1][0]
-    order = Feistel(total, key)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        part, use = TaskContext.get().partitionId(), _pieces(ranks_path)
-        pack, width = zstandard.ZstdCompressor(level=3), 2 * seq_len
-        start, texts, size = rooms.get(part, (0, 0, 0))
-        end, done, seen, read = struct.pack("<H", use.end), 0, 0, 0
-        held, spans = bytearray(), []  # texts with tokens in held: id, how many bytes
-        names = ["place", "n_tokens", "doc_ids", "data"]
+        part, use, width = TaskContext.get().partitionId(), _pieces(ranks_path), 2 * seq_len
+        shrink, end = zstandard.ZstdCompressor(level=3), struct.pack("<H", use.end)
+        held, spans, done = bytearray(), deque(), 0  # spans: texts with tokens in held, and how many bytes
 
-        def out(n: int, kind: pa.DataType, last: int = 0) -> pa.RecordBatch:
+        def out(n: int, id_type: pa.DataType, last: int = seq_len) -> pa.RecordBatch:
             nonlocal done
-            places = order.slot(np.arange(done, done + n, dtype=np.uint64) + np.uint64(start)).astype(np.int64)
-            done += n
-            ids, sizes = [], [seq_len] * n
+            ids = []
             for _ in range(n):
                 mine, room = [], width
                 while room and spans:
-                    doc, b = spans[0]
+                    doc, b = spans.popleft()
                     mine.append(doc)
-                    took = min(room, b)
-                    room -= took
-                    if took == b:
-                        spans.pop(0)
-                    else:
-                        spans[0] = (doc, b - took)
+                    if b > room:
+                        spans.appendleft((doc, b - room))
+                    room -= min(room, b)
                 ids.append(mine)
-            if last:
-                sizes[-1] = last
-            data = [pack.compress(bytes(held[j * width : (j + 1) * width])) for j in range(n)]
+            data = shrink.compress(bytes(held[: n * width]))
             del held[: n * width]
-            return pa.RecordBatch.from_arrays([pa.array(places), pa.array(sizes, pa.int32()), pa.array(ids, pa.list_(kind)), pa.array(data, pa.binary())], names=names)
+            first, done = done, done + n
+            row = [[part], [first], [[seq_len] * (n - 1) + [last]], [ids], [data]]
+            types = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(id_type)), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["part", "first", "n_tokens", "doc_ids", "data"])
 
-        kind = None
+        id_type = None
         for b in batches:
-            kind = b.column(0).type
+            id_type = b.column(0).type
             for i, x in zip(b.column(0), b.column(1), strict=True):
-                text = x.as_py() or ""
-                seen, read = seen + 1, read + len(text.encode())
-                tokens = use.encode(text) + end
+                tokens = use.encode(x.as_py() or "") + end
                 held += tokens
                 spans.append((i.as_py(), len(tokens)))
-                if len(held) >= 256 * width:
-                    yield out(len(held) // width, kind)
+                while len(held) >= _TOGETHER * width:
+                    yield out(_TOGETHER, id_type)
         if held:
-            last = len(held) // 2 % seq_len
+            last = len(held) // 2 % seq_len or seq_len
             held += end * (-(len(held) // 2) % seq_len)
-            yield out(len(held) // width, kind, last)
-        if (seen, read) != (texts, size):
-            raise RuntimeError(f"partition {part} differs between passes: {seen, read}, {texts, size}")
+            yield out(len(held) // width, id_type, last)
+
+    return materialize(slim.mapInArrow(run, f"part int, first long, n_tokens array<int>, doc_ids array<array<{kind}>>, data binary"), "packed")
+
+
+def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048, shard_span: int = 8192, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the shards below ``path`` and return ``slot``, ``shard``, ``byte_offset``, ``n_tokens``, ``doc_ids`` of every sequence.
+
+    Texts are encoded once, closed by an end token and packed back to back within their partition, into a written table;
+    only the last sequence of a partition is filled up, with end tokens. Its partitions are counted, their sequences
+    numbered on without gaps, and the keyed permutation of those N numbers gives each its slot among 0 .. N-1. Shards are
+    ranges of ``shard_span`` slots, written by one task each.
+
+    Null counts as empty (an end token alone); repeated rows are packed each; an empty table writes no shard; other
+    columns are ignored. Packed texts and shards are written by Spark's own writer and commit protocol, so a lost
+    executor costs its tasks only.
+    """
+    spark = docs.sparkSession
+    slim = id_and_text(docs, id_col, text_col)
+    id_type = slim.schema["_id"].dataType.simpleString()
+    packed = _pack(slim, ranks_path, seq_len)
+    starts, total = [], 0
+    for part, n in sorted(packed.groupBy("part").agg(F.sum(F.size("n_tokens")).alias("n")).collect()):
+        starts.append((part, total))
+        total += n
+    stride, order = 2 * seq_len + 1, Feistel(total, key)
+    layout = spark.createDataFrame([(total, seq_len, shard_span, key, stride)], "sequences long, seq_len int, shard_span int, key long, stride int")
+    layout.coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+    if not total:
+        return spark.createDataFrame([], f"slot long, shard long, byte_offset long, n_tokens int, doc_ids array<{id_type}>")
+    begin = spark.createDataFrame(starts, "part int, start long")
+    begin = F.broadcast(begin) if len(starts) <= _STARTS_SENT else begin.hint("merge")
+    numbered = packed.join(begin, "part").withColumn("first", F.col("start") + F.col("first"))
+
+    def slots(first: int, n: int):
+        import numpy as np
+
+        return order.slot(np.arange(first, first + n, dtype=np.uint64)).astype(np.int64)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for first, n, ids in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                slot = slots(first, len(n.values))
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // np.int64(shard_span)), pa.array(slot % shard_span * stride), n.values, ids.values], names=["slot", "shard", "byte_offset", "n_tokens", "doc_ids"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shrink, grow, width = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), 2 * seq_len
+        for b in batches:
+            for first, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = grow.decompress(data.as_py())
+                rows = [shrink.compress(raw[i : i + width]) for i in range(0, len(raw), width)]
+                yield pa.RecordBatch.from_arrays([pa.array(slots(first, len(rows))), pa.array(rows, pa.binary())], names=["slot", "data"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        undo = zstandard.ZstdDecompressor()
+        grow = zstandard.ZstdDecompressor()
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                s = b.slice(at, 1024)
-                notes = [json.dumps(x).encode() for x in zip(*(c.to_pylist() for c in s.columns[:3]), strict=True)]
-                raw = [undo.decompress(x.as_py()) for x in s.column(3)]
-                n = s.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(["shard"] * n + ["list"] * n), pa.concat_arrays([s.column(0), s.column(0)]), pa.array(raw + notes, pa.binary())], names=["kind", "place", "value"])
+                part = b.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([grow.decompress(x.as_py()) for x in part.column(1)], pa.binary())], names=["slot", "value"])
 
-    id_type = slim.schema["_id"].dataType.simpleString()
-    n_shards = max(1, -(-total // shard_span))
-    if total:
-        placed = slim.mapInArrow(place, f"place long, n_tokens int, doc_ids array<{id_type}>, data binary")
-        shard = F.floor(F.col("place") / shard_span).cast("int")
-        rows = placed.repartitionById(n_shards, shard).mapInArrow(unpack, "kind string, place long, value binary")
-        sorted_ = rows.select(F.col("value").cast("string").alias("value"), "kind", shard.alias("shard"), "place").sortWithinPartitions("kind", "shard", "place")
-        sorted_.drop("place").write.partitionBy("kind", "shard").mode("overwrite").text(path)
-        lists = spark.read.schema("value string").text([f"{path}/kind=list"])
-        parsed = lists.select(F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v array<string>").alias("j"))
-        listed = parsed.select(F.col("j.v")[0].cast("long").alias("place"), F.col("j.v")[1].cast("int").alias("n_tokens"), F.from_json(F.col("j.v")[2], f"array<{id_type}>").alias("doc_ids")).withColumn("shard", shard)
-    else:
-        listed = spark.createDataFrame([], f"place long, n_tokens int, doc_ids array<{id_type}>, shard int")
-    counts = sorted((r["shard"], r["count"]) for r in listed.groupBy("shard").count().collect())
-    offsets, start = [], 0
-    for k, n in counts:
-        offsets.append((k, start, n))
-        start += n
-    firsts = spark.createDataFrame(offsets, "shard int, first long, sequences long")
-    layout = spark.createDataFrame([(start, seq_len, shard_span, key, 2 * seq_len + 1)], "sequences long, seq_len int, shard_span int, key long, stride int")
-    layout.coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
-    firsts.coalesce(1).write.mode("overwrite").json(f"{path}/_shards")
-    # a shard has at most shard_span rows, so its ranks are counted in one window of bounded size
-    rank = F.row_number().over(W.partitionBy("shard").orderBy("place")).cast("long") - 1
-    ranked = listed.withColumn("rank", rank).join(firsts, "shard")
-    return ranked.select((F.col("first") + F.col("rank")).alias("slot"), F.col("shard").cast("long").alias("shard"), (F.col("rank") * (2 * seq_len + 1)).alias("byte_offset"), "n_tokens", "doc_ids")
+    shard = F.expr(f"cast(slot div {shard_span} as int)")
+    n_shards = -(-total // shard_span)
+    rows = numbered.select("first", "data").mapInArrow(spread, "slot long, data binary").repartitionById(n_shards, shard)
+    values = rows.sortWithinPartitions("slot").mapInArrow(unpack, "slot long, value binary")
+    sorted_ = values.select(F.col("value").cast("string").alias("value"), shard.alias("shard"), "slot").sortWithinPartitions("shard", "slot")
+    sorted_.drop("slot").write.partitionBy("shard").mode("overwrite").text(f"{path}/shards")
+    return numbered.select("first", "n_tokens", "doc_ids").mapInArrow(listed, f"slot long, shard long, byte_offset long, n_tokens int, doc_ids array<{id_type}>")
 
 
 def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> Iterator[list[int]]:
@@ -273,14 +273,11 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
     import numpy as np
 
     lay = spark.read.json(f"{path}/_layout").first()
-    stop = lay["sequences"] if stop is None else min(stop, lay["sequences"])
-    if start >= stop:
-        return
-    shards = sorted((r["first"], r["shard"], r["sequences"]) for r in spark.read.json(f"{path}/_shards").collect())
-    for first, shard, n in shards:
-        if first + n <= start or first >= stop:
-            continue
-        blob = spark.read.format("binaryFile").load(f"{path}/kind=shard/shard={shard}").select("content").first()["content"]
+    stop, span = lay["sequences"] if stop is None else min(stop, lay["sequences"]), lay["shard_span"]
+    while start < stop:
+        shard = start // span
+        blob = spark.read.format("binaryFile").load(f"{path}/shards/shard={shard}").select("content").first()["content"]
         rows = np.frombuffer(blob, np.uint8).reshape(-1, lay["stride"])[:, :-1]
-        for r in rows[max(0, start - first) : stop - first]:
+        for r in rows[start - shard * span : stop - shard * span]:
             yield np.frombuffer(r.tobytes(), "<u2").tolist()
+        start = (shard + 1) * span

@@ -64,6 +64,30 @@ def test_round_trip_and_resume(spark, docs, tmp_path, seq_len, span):
     assert again == [(t[0], t[4]) for t in table]
 
 
+@pytest.mark.parametrize(("seq_len", "span", "together"), [(16, 7, 256), (40, 1000, 3)])
+def test_slots_against_brute_force(spark, docs, tmp_path, monkeypatch, seq_len, span, together):
+    """Slots, places and tokens from a plain recomputation: pack each partition, number on, permute."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(to, "_TOGETHER", together)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    lib = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}, special_tokens={})
+    end, parts = to.Pieces(PATH).end, {}
+    for r in docs.select(F.spark_partition_id().alias("part"), "doc_id", "text").collect():
+        parts.setdefault(r.part, []).extend((t, r.doc_id) for t in [*lib.encode_ordinary(r.text or ""), end])
+    seqs = [part[i : i + seq_len] for _, part in sorted(parts.items()) for i in range(0, len(part), seq_len)]
+    order, want, tokens = to.Feistel(len(seqs), 5), [], {}
+    for slot, s in zip(order.slot(np.arange(len(seqs), dtype=np.uint64)).tolist(), seqs, strict=True):
+        ids = [i for k, (_, i) in enumerate(s) if k == 0 or s[k - 1][0] == end]
+        want.append((slot, slot // span, slot % span * (2 * seq_len + 1), len(s), ids))
+        tokens[slot] = [t for t, _ in s] + [end] * (seq_len - len(s))
+    path = f"file://{tmp_path}/out"
+    got = sorted((r.slot, r.shard, r.byte_offset, r.n_tokens, r.doc_ids) for r in to.materialise(docs, path, PATH, seq_len, span, 5).collect())
+    assert got == sorted(want)
+    assert list(to.read_slots(spark, path)) == [tokens[k] for k in range(len(seqs))]
+
+
 def test_empty(spark, none, tmp_path):
     path = f"file://{tmp_path}/none"
     assert to.materialise(none, path, PATH).count() == 0
