@@ -12,19 +12,25 @@ from contigua.llm.common import fold_of, id_and_text
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
-#: Bytes of text hashed at once when scoring.
+#: Bytes of text whose n-grams are summed at once.
 _CHUNK = 1 << 19
 _LETTER_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def subwords(text: str):
-    """Bucket of every n-gram of bytes (A-Z lowered, all but letters one space, words framed by spaces)."""
+def framed(text: str):
+    """Bytes of a text: A-Z lowered, all but letters one space, words framed by spaces."""
+    import numpy as np
+
+    return np.frombuffer(b" ".join((b"", *text.encode().translate(_LETTER_FOLD).split(), b"")), np.uint8)
+
+
+def grams(framed_text, start: int = 0, stop: int | None = None):
+    """Bucket of every n-gram of bytes that begins in a range."""
     import numpy as np
 
-    raw = b" ".join((b"", *text.encode().translate(_LETTER_FOLD).split(), b""))
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     out = []
     for n in ORDERS:
+        b = framed_text[start : None if stop is None else stop + n - 1].astype(np.uint32)
         if len(b) >= n:
             h = np.zeros(len(b) - n + 1, np.uint32)
             for i in range(n):
@@ -33,6 +39,11 @@ def subwords(text: str):
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def subwords(text: str):
+    """Bucket of every n-gram of a text."""
+    return grams(framed(text))
+
+
 class Model:
     """Embeddings, softmax weights, temperature and the least score of an accepted language."""
 
@@ -107,13 +118,13 @@ class Model:
         self.least = float(best[order[good[-1]]]) if len(good) else 1.0
 
     def predict(self, text: str) -> tuple[str, float]:
-        """Language and calibrated probability; long texts are summed chunk by chunk."""
+        """Language and calibrated probability; n-grams are summed in ranges of a fixed size, none lost between two."""
         import numpy as np
 
-        total, n = np.zeros(len(self.langs)), 0
-        for at in range(0, len(text), _CHUNK):
-            g = subwords(text[at : at + _CHUNK])
-            total += np.bincount(g, minlength=BUCKETS) @ self.table if len(g) > BUCKETS else self.table[g].sum(0)
+        whole, total, n = framed(text), np.zeros(len(self.langs)), 0
+        for at in range(0, len(whole), _CHUNK):
+            g = grams(whole, at, at + _CHUNK)
+            total += self.table[g].sum(0, dtype=np.float64)
             n += len(g)
         z = total / max(n, 1) + self.bias
         p = np.exp((z - z.max()) / self.temperature)

@@ -42,11 +42,33 @@ def test_awkward_texts(docs, none, spark):
     assert langid.identify(digits, model).first().lang_pred == "und"
 
 
-def test_long_texts_go_by_chunks(spark, monkeypatch):
+def test_long_texts_go_by_ranges(spark, monkeypatch):
+    """No n-gram is lost or made up where a range ends, whatever stands there."""
     docs, rows = corpus(spark, 60)
     m = langid.train(docs)
     text = " ".join(r[1] for r in rows[:20])
     whole = m.predict(text)
-    monkeypatch.setattr(langid, "_CHUNK", 97)
-    parts = m.predict(text)
-    assert whole[0] == parts[0] and abs(whole[1] - parts[1]) < 0.05
+    for size in (1, 2, 5, 97):
+        monkeypatch.setattr(langid, "_CHUNK", size)
+        parts = m.predict(text)
+        assert whole[0] == parts[0] and abs(whole[1] - parts[1]) < 1e-9
+
+
+def test_scores_against_brute_force(spark):
+    """Predictions from n-grams counted by a dictionary, one at a time."""
+    docs, rows = corpus(spark)
+    m = langid.train(docs)
+    for _, text, _ in rows[:40]:
+        b = (" " + " ".join("".join(c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in text.lower()).split()) + " ").encode()
+        z, n = [0.0] * len(m.langs), 0
+        for k in (2, 3, 4):
+            for i in range(len(b) - k + 1):
+                h = 0
+                for c in b[i : i + k]:
+                    h = (h * 0x01000193 + c + k) % (1 << 32)
+                row = m.table[((h ^ h >> 15) * 0x9E3779B1 % (1 << 32)) >> 16]
+                z, n = [x + float(y) for x, y in zip(z, row, strict=True)], n + 1
+        z = [x / n + float(y) for x, y in zip(z, m.bias, strict=True)]
+        e = [2.718281828459045 ** ((x - max(z)) / m.temperature) for x in z]
+        lang, score = m.predict(text)
+        assert lang == m.langs[e.index(max(e))] and abs(score - max(e) / sum(e)) < 1e-9
