@@ -46,21 +46,33 @@ def of_word(w: str) -> list[str]:
     return ["=" + w, *(w[:n] + "*" for n in _STEMS if len(w) > n or len(w) == n)]
 
 
+#: Smallest feature hashes of a text that are compared, and the share of them that copies have in common at least.
+_SKETCH, _ALIKE = 64, 0.5
+
+
 def without_copies(rows: Iterable[tuple[str, int | None]]) -> Iterator[tuple[set[str], str, int | None]]:
-    """Features, text and label of one of the rows whose two smallest feature hashes are the same, as those of copies and
-    near-copies are.
+    """Features, text and label of one of each group of copies and near-copies of a label.
 
-    What copies share by chance would otherwise look like a mark of their label.
+    What copies share by chance would otherwise look like a mark of their label. Texts of the same two smallest feature
+    hashes are compared by ``_SKETCH`` of them (all, if they have fewer); unlike ones all stay.
     """
     import xxhash
 
-    seen = set()
+    kept: dict[tuple, list[frozenset[int]]] = {}
     for t, y in rows:
         x = features(t)
-        key = (*heapq.nsmallest(2, map(xxhash.xxh64_intdigest, x)), y)
-        if key not in seen:
-            seen.add(key)
-            yield x, t, y
+        low = heapq.nsmallest(_SKETCH, map(xxhash.xxh64_intdigest, x))
+        mine, group = frozenset(low), kept.setdefault((*low[:2], y), [])
+        if any(_alike(mine, other) for other in group):
+            continue
+        group.append(mine)
+        yield x, t, y
+
+
+def _alike(a: frozenset[int], b: frozenset[int]) -> bool:
+    """Whether the Jaccard similarity of two texts, told from their smallest hashes, is ``_ALIKE`` or more."""
+    low = heapq.nsmallest(_SKETCH, a | b)
+    return not low or sum(h in a and h in b for h in low) >= _ALIKE * len(low)
 
 
 def least_support(n_features: int, share: float) -> int:
@@ -102,39 +114,77 @@ def voters(mined: Iterable[str]) -> list[tuple[str, Callable[[str, set[str]], bo
 
 
 class LabelModel:
-    """Class-conditional firing rates of voters and their correlations, by expectation maximisation."""
+    """Generative model of votes: the label, and for every voter its firing rate by label and by one other voter's vote.
+
+    Which voter depends on which is a maximum spanning forest by mutual information given the label, of those pairs whose
+    information is beyond chance. Accuracies and correlations are its parameters, fitted by expectation maximisation; a
+    voter that repeats another adds nothing to the posterior.
+    """
 
     def __init__(self, share: float, start: list[tuple[float, float]]):
         import numpy as np
 
         self.share = min(max(share, 1e-3), 0.5)
-        self.fire = np.array(start or np.empty((0, 2)), float).reshape(-1, 2)
-        self.discount = np.ones(len(self.fire))
+        fire = np.array(start or np.empty((0, 2)), float).reshape(-1, 2)
+        #: rates by the vote of the parent (0, 1), voter, label (toxic, clean); without a parent both are the same
+        self.fire = np.stack([fire, fire])
+        self.parent = np.full(len(fire), -1)
 
     def posterior(self, votes):
-        """Probability of toxic for rows of votes (0 or 1); correlated voters share one say."""
+        """Probability of toxic for rows of votes (0 or 1)."""
         import numpy as np
 
-        on, off = np.log(self.fire[:, 0] / self.fire[:, 1]), np.log((1 - self.fire[:, 0]) / (1 - self.fire[:, 1]))
-        z = math.log(self.share / (1 - self.share)) + votes @ (self.discount * (on - off)) + (self.discount * off).sum()
+        above = np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0) > 0 if len(self.parent) else votes > 0
+        bad, good = (np.where(above, self.fire[1, :, side], self.fire[0, :, side]) for side in (0, 1))
+        z = math.log(self.share / (1 - self.share)) + np.where(votes > 0, np.log(bad / good), np.log((1 - bad) / (1 - good))).sum(1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, votes, known, rounds: int = 15) -> LabelModel:
-        """``known``: labels of the rows that have one, else nan; those anchor the two classes."""
+    def _structure(self, votes, weights) -> None:
+        """Parents from the weighted votes of both labels."""
+        import numpy as np
+
+        n_voters, info = votes.shape[1], np.zeros((votes.shape[1],) * 2)
+        total = sum(w.sum() for w in weights)
+        for w in weights:
+            n, one = w.sum(), w @ votes
+            both = (votes * w[:, None]).T @ votes
+            for cell, a, b in ((both, one[:, None], one), (one[:, None] - both, one[:, None], n - one), (one - both, n - one[:, None], one), (n - one[:, None] - one + both, n - one[:, None], n - one)):
+                want = a * b / max(n, 1e-9)
+                info += np.where((cell > 1e-9) & (want > 1e-9), cell * np.log(np.maximum(cell, 1e-9) / np.maximum(want, 1e-9)), 0)
+        # twice the information is chi-squared with two degrees if nothing but chance links a pair: one false link in 100
+        bar = math.log(100 * max(1, n_voters * (n_voters - 1) / 2)) if total else math.inf
+        info = np.where(info > bar, info, 0)
+        np.fill_diagonal(info, 0)
+        self.parent[:] = -1
+        best, source, left = np.full(n_voters, -1.0), np.full(n_voters, -1), set(range(n_voters))
+        while left:
+            j = max(left, key=lambda v: (best[v], -v))
+            left.discard(j)
+            self.parent[j] = source[j] if best[j] > 0 else -1
+            closer = info[j] > np.maximum(best, 0)
+            best[closer], source[closer] = info[j][closer], j
+
+    def fit(self, votes, known, rounds: int = 15, trust: float = 2.0) -> LabelModel:
+        """``known``: labels of the rows that have one, else nan; those anchor the two classes. The first rounds take voters
+        as independent, then links are looked for and fitted; a rate by a parent's vote is drawn to the plain rate with
+        the weight of ``trust`` rows."""
         import numpy as np
 
-        for _ in range(rounds):
+        if not votes.size:
+            return self
+        sure = ~np.isnan(known)
+        for turn in range(2 * rounds):
             p = np.where(np.isnan(known), self.posterior(votes), np.nan_to_num(known))
+            if turn == rounds or (turn > rounds and not sure.any()):
+                # a posterior off the mark looks like a link, so labels tell links where there are some
+                self._structure(votes, (p * sure, (1 - p) * sure) if sure.any() else (p, 1 - p))
             for side, w in ((0, p), (1, 1 - p)):
                 prior = 0.02 if side == 0 else 0.001
-                self.fire[:, side] = np.clip((w @ votes + prior) / (w.sum() + 1), 1e-5, 0.95)
-            rate = self.fire[:, 0]
-            mixed = (votes * p[:, None]).T @ votes / max(p.sum(), 1e-9)
-            spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate)))
-            self.correlation = np.where(spread > 1e-9, (mixed - np.outer(rate, rate)) / np.maximum(spread, 1e-9), 0)
-            np.fill_diagonal(self.correlation, 0)
-            strong = np.where(self.correlation > 0.3, self.correlation, 0)
-            self.discount = 1 / (1 + strong.sum(1))
+                plain = (w @ votes + prior) / (w.sum() + 1)
+                above = np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0)
+                for vote, mine in ((1, above * w[:, None]), (0, (1 - above) * w[:, None])):
+                    rate = ((mine * votes).sum(0) + trust * plain) / (mine.sum(0) + trust)
+                    self.fire[vote, :, side] = np.clip(np.where(self.parent >= 0, rate, plain), 1e-5, 0.95)
         return self
 
 
@@ -212,7 +262,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         share = F.when(F.col("_y") == y, min(1.0, most / max(1, counts.get(y, 0)))).otherwise(share)
     picked = all_ids.filter(draw < share)
     slim = id_and_text(docs, id_col, text_col).filter("_text is not null")
-    rows = slim.join(F.broadcast(picked), F.col("_id") == F.col("_lid")).select("_id", "_text", "_y")
+    # of rows that repeat an id the least text, taken together before they move
+    rows = slim.join(F.broadcast(picked), F.col("_id") == F.col("_lid")).groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_id", "_text", "_y")
     return [(t, None if y < 0 else y) for _, t, y in sorted((r["_id"], r["_text"], r["_y"]) for r in rows.toLocalIterator())]
 
 
