@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contigua.llm.common import id_and_text
+from contigua.runtime import ship
 
 KINDS = ("assign", "access", "hex", "markov")
 _ANY_CASE = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -21,7 +22,8 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Strings that the models judge: long enough for the ratio to tell, of the characters that keys are made of.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_LENGTH = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _NAME_HINTS = ("password", "passwd", "secret", "token", "api")
 _WORDS = (
@@ -81,6 +83,8 @@ class Detector:
         self.random = Markov(s for s, y in rows if y)
         self.plain = Markov(s for s, y in rows if not y)
         self.least, self.per_char = least, per_char
+        self.begins = {c: p - self.plain.start[c] for c, p in self.random.start.items()}
+        self.steps = {c: p - self.plain.step[c] for c, p in self.random.step.items()}
 
     def ratio(self, s: str) -> float:
         return self.random.log_likelihood(s) - self.plain.log_likelihood(s)
@@ -89,6 +93,30 @@ class Detector:
         r = self.ratio(s)
         return r >= self.least and r >= self.per_char * len(s)
 
+    def _best(self, s: str) -> tuple[int, int]:
+        """The part of ``s`` whose ratio exceeds ``per_char`` a character by most in sum."""
+        best, now, begin, out = -math.inf, -math.inf, 0, (0, 0)
+        for i, c in enumerate(s):
+            new = self.begins[c] - self.per_char
+            longer = now + self.steps[s[i - 1 : i + 1]] - self.per_char if i else -math.inf
+            now, begin = (longer, begin) if longer >= new else (new, i)
+            if now > best:
+                best, out = now, (begin, i + 1)
+        return out
+
+    def secrets(self, s: str) -> list[tuple[int, int]]:
+        """Parts of a run of key characters that are secrets: the best part, then those left and right of it."""
+        found, todo = [], [(0, len(s))]
+        while todo:
+            a, b = todo.pop()
+            if b - a < LEAST_LENGTH:
+                continue
+            x, y = self._best(s[a:b])
+            if y - x >= LEAST_LENGTH and self.is_secret(s[a + x : a + y]):
+                found.append((a + x, a + y))
+                todo += [(a, a + x), (a + y, b)]
+        return sorted(found)
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in code points: the fixed patterns, and what the models add outside of those."""
         low = text.lower()
@@ -98,7 +126,15 @@ class Detector:
         if "AKIA" in text:
             base += [(*m.span(), "access") for m in ACCESS.finditer(text)]
         base += [(*m.span(), "hex") for m in HEX.finditer(text)]
-        more = [(*m.span(), "markov") for m in CANDIDATE.finditer(text) if all(m.end() <= a or b <= m.start() for a, b, _ in base) and self.is_secret(m[0])]
+        more = []
+        for m in CANDIDATE.finditer(text):
+            # what the fixed patterns leave of the run
+            at, cuts = m.start(), []
+            for a, b in sorted((a, b) for a, b, _ in base if a < m.end() and b > m.start()):
+                cuts.append((at, a))
+                at = max(at, b)
+            for a, b in [*cuts, (at, m.end())]:
+                more += [(a + x, a + y, "markov") for x, y in self.secrets(text[a:b])]
         return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -134,7 +170,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detect
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", detector: Detector | None = None) -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``mask`` (overlapping spans by one); null texts stay null."""
+    """``docs`` with every span of a secret replaced by ``mask`` (overlapping spans by one), all columns kept.
+
+    Null texts stay null and empty ones empty; repeated rows stay repeated; an empty table gives an empty one.
+    """
+    ship(docs.sparkSession)
     found, at, schema = detector or Detector(), docs.columns.index(text_col), docs.schema
 
     def clean(text: str | None) -> str | None:
