@@ -111,8 +111,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    m = F.col("__quality")
-    kept = docs.withColumn("__quality", measures(F.col(f"`{text_col}`")))
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; an empty table gives an empty one.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = docs.select(whole, measures(F.col(f"`{text_col}`")).alias("m"))
+    m = F.col("m")
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    return kept.filter(~failed & compile_rules(m)).drop("__quality")
+    return kept.filter(~failed & compile_rules(m)).select("row.*")

@@ -49,10 +49,11 @@ def test_against_brute_force(spark, sf_dir):
             low[c] = min(low.get(c, r[0]), r[0])
     one, seen = [], set()
     for r in kept:
-        if r[0] is None or (r[0] == low[comp[brute_fp(r[1])]] and r[0] not in seen):
-            seen.add(r[0])
+        c = comp[brute_fp(r[1])]
+        if r[0] is None or (r[0] == low[c] and c not in seen):
+            seen.add(c)
             one.append(r)
-    clean = [r for r in one if not brute_hits(r[1], items)[4]]
+    clean = [r for r in one if not brute_hits(r[1], items)[1]]
     assert len(rows) > len(kept) > len(one) > len(clean) > 3
     tok, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), []
     for r in clean:
