@@ -7,37 +7,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from contigua.llm import bpe, decontaminate, quality, secret_scan, simhash
 from contigua.llm.common import table
-from contigua.runtime import materialize, ship
+from contigua.runtime import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the threshold table rejects go."""
+    """Documents that the threshold table rejects go. Null and empty texts have no words and go; repeated rows are judged
+    alike; an empty table gives an empty one."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: that of the smallest doc_id."""
-    ship(spark)
+    """One document of each group of linked fingerprints stays: that of the smallest doc_id. Rows without one stay; of
+    repeated rows one stays; an empty table gives an empty one."""
     return simhash.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are contaminated with windows of the benchmark go."""
-    ship(spark)
+    """Documents in which a window of the benchmark occurs go, whatever its share of the text. Null and empty texts stay;
+    repeated rows and rows without an id are judged by their texts; an empty table gives an empty one."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the spans of secrets in its text are masked, and n_chars follows."""
-    ship(spark)
+    """Every document stays, repeated rows repeated; the spans of secrets in its text are masked, and n_chars follows. Null
+    texts stay null; an empty table gives an empty one."""
     return secret_scan.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of ids and decoded text, and the ids as little-endian unsigned 32-bit integers."""
-    ship(spark)
+    """doc_id, n_tokens, digests of ids and decoded text, and the ids as little-endian unsigned 32-bit integers. Null texts
+    count as empty (no ids); repeated rows come out repeated; an empty table gives an empty one."""
     return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
