@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from contigua.llm.common import id_and_text
+from contigua.llm.common import id_and_text, lean
 
 _FOREVER = 1 << 60
 _BLOCK = 1 << 16
-_CACHE = 500_000
+#: Short pre-tokens that a worker remembers, of about 150 bytes each.
+_CACHE = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -294,4 +295,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return slim.mapInArrow(lean(run), f"doc_id {slim.schema['_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

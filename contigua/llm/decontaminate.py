@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import id_and_text, text_digest
+from contigua.llm.common import id_and_text, lean, text_digest
 from contigua.runtime import join_unique, materialize, ship
 
 #: Distinct test fingerprints, of 8 bytes each, that are sent to the scan as a filter at most; with more of them all
@@ -111,7 +111,7 @@ def test_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
 
     ship(benchmark.sparkSession)
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("t is not null")
-    return materialize(items.mapInArrow(run, "m int, gram long, key binary, item string").distinct(), "test-windows")
+    return materialize(items.mapInArrow(lean(run), "m int, gram long, key binary, item string").distinct(), "test-windows")
 
 
 def _document_windows(slim: DataFrame, tests: DataFrame, filter_hashes: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _document_windows(slim: DataFrame, tests: DataFrame, filter_hashes: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), hits], names=["_id", "n_words", "hits"])
 
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"_id {kind}, n_words long, hits array<struct<key: binary, start: int, end: int>>")
+    return slim.mapInArrow(lean(run), f"_id {kind}, n_words long, hits array<struct<key: binary, start: int, end: int>>")
 
 
 def _covered(spans: Column) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import fold_of, id_and_text
+from contigua.llm.common import fold_of, id_and_text, lean
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -167,5 +167,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([s > 0 and s >= m.least for s in score], pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    found = slim.mapInArrow(run, f"doc_id {slim.schema['_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
+    found = slim.mapInArrow(lean(run), f"doc_id {slim.schema['_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
     return found.select("doc_id", F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

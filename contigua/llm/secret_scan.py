@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import id_and_text
+from contigua.llm.common import id_and_text, lean
 from contigua.runtime import ship
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detect
                 cols[4].append(_said(spans))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['_id'].dataType.simpleString()}, {_OUT}")
+    return slim.mapInArrow(lean(run), f"doc_id {slim.schema['_id'].dataType.simpleString()}, {_OUT}")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", detector: Detector | None = None) -> DataFrame:
@@ -192,5 +192,5 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", dete
             new = pa.array([clean(x.as_py()) for x in b.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(lean(run), schema)
     return out.withColumn("n_chars", F.length(F.col(text_col)).cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import id_and_text, text_digest
+from contigua.llm.common import id_and_text, lean, text_digest
 from contigua.operators.graph import connect
 from contigua.runtime import forget, join_unique, materialize
 
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if digests:
         slim = slim.withColumn("_digest", text_digest(F.col("_text")))
         kind += ", _digest binary"
-    return slim.mapInArrow(run, kind)
+    return slim.mapInArrow(lean(run), kind)
 
 
 def _segments(max_diff: int) -> list[tuple[int, int]]:

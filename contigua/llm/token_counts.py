@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contigua.llm.bpe import codec
-from contigua.llm.common import id_and_text, text_digest
+from contigua.llm.common import id_and_text, lean, text_digest
 from contigua.runtime import materialize
 
 #: Characters encoded at once; bounds what the library holds besides the texts.
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     # one holder of each digest hands over its text; both keys, so that copies of one text don't meet in one task
     want = need.withColumnRenamed("digest", "_want")
     kind = slim.schema["_id"].dataType.simpleString()
-    once = slim.select("_id", "digest", "_text").mapInArrow(_first_in_task, f"_id {kind}, digest binary, _text string")
+    once = slim.select("_id", "digest", "_text").mapInArrow(lean(_first_in_task), f"_id {kind}, digest binary, _text string")
     misses = once.join(want.hint("merge"), (F.col("digest") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("_rep"))).select("digest", "_text").sortWithinPartitions("digest")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
             n = [x for part in _batches(b.column(1).to_pylist()) for x in count(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    fresh = misses.mapInArrow(encode, "digest binary, n_tokens long")
+    fresh = misses.mapInArrow(lean(encode), "digest binary, n_tokens long")
     fresh.select(F.lit(mine).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = materialize(_cached(spark, cache_path, mine), "token-counts")
     return keyed.join(counts, "digest").select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))

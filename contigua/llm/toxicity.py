@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import fold_of, id_and_text
+from contigua.llm.common import fold_of, id_and_text, lean
 
 #: Labelled texts of each label that training takes at most.
 PER_LABEL = 3000
@@ -312,5 +312,5 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rate(x.as_py()) for x in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    found = slim.mapInArrow(run, f"doc_id {slim.schema['_id'].dataType.simpleString()}, score double")
+    found = slim.mapInArrow(lean(run), f"doc_id {slim.schema['_id'].dataType.simpleString()}, score double")
     return found.select("doc_id", F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

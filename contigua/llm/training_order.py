@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contigua.llm.bpe import WIDE_SPACE, _letters, pattern
-from contigua.llm.common import id_and_text
+from contigua.llm.common import id_and_text, lean
 from contigua.runtime import materialize
 
 _BLOCK = 1 << 16
@@ -192,7 +192,7 @@ def _pack(slim: DataFrame, ranks_path: str, seq_len: int) -> DataFrame:
             held += end * (-(len(held) // 2) % seq_len)
             yield out(len(held) // width, id_type, last)
 
-    return materialize(slim.mapInArrow(run, f"part int, first long, n_tokens array<int>, doc_ids array<array<{kind}>>, data binary"), "packed")
+    return materialize(slim.mapInArrow(lean(run), f"part int, first long, n_tokens array<int>, doc_ids array<array<{kind}>>, data binary"), "packed")
 
 
 def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048, shard_span: int = 8192, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,11 +258,11 @@ def materialise(docs: DataFrame, path: str, ranks_path: str, seq_len: int = 2048
 
     shard = F.expr(f"cast(slot div {shard_span} as int)")
     n_shards = -(-total // shard_span)
-    rows = numbered.select("first", "data").mapInArrow(spread, "slot long, data binary").repartitionById(n_shards, shard)
-    values = rows.sortWithinPartitions("slot").mapInArrow(unpack, "slot long, value binary")
+    rows = numbered.select("first", "data").mapInArrow(lean(spread), "slot long, data binary").repartitionById(n_shards, shard)
+    values = rows.sortWithinPartitions("slot").mapInArrow(lean(unpack), "slot long, value binary")
     sorted_ = values.select(F.col("value").cast("string").alias("value"), shard.alias("shard"), "slot").sortWithinPartitions("shard", "slot")
     sorted_.drop("slot").write.partitionBy("shard").mode("overwrite").text(f"{path}/shards")
-    return numbered.select("first", "n_tokens", "doc_ids").mapInArrow(listed, f"slot long, shard long, byte_offset long, n_tokens int, doc_ids array<{id_type}>")
+    return numbered.select("first", "n_tokens", "doc_ids").mapInArrow(lean(listed), f"slot long, shard long, byte_offset long, n_tokens int, doc_ids array<{id_type}>")
 
 
 def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> Iterator[list[int]]:
