@@ -149,7 +149,7 @@ def duplicate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicates(R.derive(spark, sf_dir))
 
 
-_UNIQ = f"{READS}, u as (select read_idx, doc_id, source, seq, copies from (select *, row_number() over (partition by {canon('seq')} order by read_idx) as r, count(*) over (partition by {canon('seq')}) as copies from reads) where r = 1)"
+_UNIQ = f"{READS}, u as materialized (select read_idx, doc_id, source, seq, copies from (select *, row_number() over (partition by {canon('seq')} order by read_idx) as r, count(*) over (partition by {canon('seq')}) as copies from reads) where r = 1)"
 
 
 @query(f"with {_UNIQ} select read_idx, seq, copies from u")
@@ -175,10 +175,10 @@ def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.remove_duplicates(R.derive(spark, sf_dir)).select("read_idx", "seq")
 
 
-_OVL = f"""{_UNIQ}, o as (select read_idx as id, 0 as st, seq from u union all select read_idx, 1, {rc('seq')} from u),
+_OVL = f"""{_UNIQ}, o as materialized (select read_idx as id, 0 as st, seq from u union all select read_idx, 1, {rc('seq')} from u),
 hd as (select id as y, st as ys, seq as t, left(seq, 45) as w from o),
 tl as (select id as x, st as xs, substr(seq, p) as tail, substr(seq, p, 45) as w from (select *, unnest(generate_series(2, length(seq) - 44)) as p from o)),
-ov as (select x, xs, y, ys, max(length(tail)) as ov from tl join hd using (w) where x <> y and length(t) > length(tail) and left(t, length(tail)) = tail group by all)"""
+ov as materialized (select x, xs, y, ys, max(length(tail)) as ov from tl join hd using (w) where x <> y and length(t) > length(tail) and left(t, length(tail)) = tail group by all)"""
 
 
 @query(f"with {_OVL} select x, xs, y, ys, ov::int as ov from ov")
@@ -186,9 +186,10 @@ def overlap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.exact_overlaps(_unique(spark, sf_dir))
 
 
-_IRR = f"""{_OVL}, e as (select x, xs, y, ys, 100 - ov as lab from ov),
-cmp as (select distinct a.x, a.xs, b.y, b.ys, a.lab + b.lab as lab from e a join e b on a.y = b.x and a.ys = b.xs),
-irr as (select * from e anti join cmp using (x, xs, y, ys, lab))"""
+_IRR = f"""{_OVL}, e as materialized (select x, xs, y, ys, 100 - ov as lab from ov),
+cmp as materialized (select distinct c.x, c.xs, c.y, c.ys from e a join e b on a.y = b.x and a.ys = b.xs
+       join e c on c.x = a.x and c.xs = a.xs and c.y = b.y and c.ys = b.ys and c.lab = a.lab + b.lab),
+irr as materialized (select * from e anti join cmp using (x, xs, y, ys))"""
 
 
 @query(f"with {_IRR} select x, xs, y, ys, lab::int as lab from irr")

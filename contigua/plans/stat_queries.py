@@ -52,9 +52,9 @@ def preqc_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def preqc_genome_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = R.derive(spark, sf_dir)
-    hist = [(x["n"], x["kmers"]) for x in kmers.histogram(kmers.both_strands(r, 31)).collect()]  # one row a count level
-    n = r.count()
-    return spark.createDataFrame([(31, n, float(preqc.genome_size(n, 100.0, 31, hist)))], "k int, reads long, genome_size double")
+    hist = [(x["n"], x["n"] * x["kmers"]) for x in kmers.histogram(kmers.both_strands(r, 31)).collect()]  # one row a count level
+    n, mean = r.agg(F.count("*"), F.avg(F.length("seq"))).first()
+    return spark.createDataFrame([(31, n, float(preqc.genome_size(n, mean or 0.0, 31, hist)))], "k int, reads long, genome_size double")
 
 
 _LINKS = """ct as (select doc_id as id, length(seq) as len, 1 + (doc_id * 13) % 40 as n from ds),

@@ -20,6 +20,16 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b.select("sample", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end")))
 
 
+#: Read numbers to a bucket of the range join.
+BUCKET = 1_000_000
+
+
 def sample_of(reads: DataFrame, index: DataFrame) -> DataFrame:
-    """Reads with the sample whose range holds their number; the index has one row a sample."""
-    return reads.join(index, (F.col("read_idx") >= F.col("start")) & (F.col("read_idx") <= F.col("end")), "left").drop("start", "end")
+    """Reads with the sample whose range holds their number (null: none): an equi-join on buckets of numbers, each range
+    in all that it meets."""
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    r = index.select("sample", "start", "end", F.explode(F.sequence(bucket("start"), bucket("end"))).alias("_bucket"))
+    hit = reads.withColumn("_bucket", bucket("read_idx")).join(r, "_bucket", "left")
+    inside = (F.col("read_idx") >= F.col("start")) & (F.col("read_idx") <= F.col("end"))
+    found = hit.groupBy(*reads.columns).agg(F.max(F.when(inside, F.col("sample"))).alias("sample"))
+    return found
