@@ -169,3 +169,36 @@ def homopolymer_run(seq: Column) -> Column:
 def max_base_share(seq: Column) -> Column:
     """Share of the most frequent base."""
     return F.greatest(*[F.length(seq) - F.length(F.translate(seq, b, "")) for b in "ACGT"]) / F.length(seq)
+
+
+def max_dust_window(seq: Column, window: int = 64, least: int = 64) -> Column:
+    """The highest low-complexity score of any ``window`` bases in a row, shorter ones at the end down to ``least``; 0 if none."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda i: F.least(F.length(seq) - i + 1, F.lit(window)) >= least)
+    return F.coalesce(F.array_max(F.transform(starts, lambda i: dust(F.substring(seq, i, F.lit(window))))), F.lit(0.0))
+
+
+def random_base(seed: Column) -> Column:
+    """A base chosen by a hash."""
+    return F.substring(F.lit("ACGT"), F.pmod(F.xxhash64(seed), F.lit(4)).cast("int") + 1, F.lit(1))
+
+
+def file_stem(path: Column) -> Column:
+    """The last part of a path up to its last dot."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def file_extension(path: Column) -> Column:
+    """What follows the last dot of the last part of a path; empty if there is none."""
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"\.([^.]*)$", 1)
+
+
+def unique_base(n: dict[str, Column]) -> Column:
+    """The only base with a count; null if none or several have one. ``n``: counts by base."""
+    some = F.filter(F.array(*[F.when(c > 0, b) for b, c in n.items()]), lambda b: b.isNotNull())
+    return F.when(F.size(some) == 1, some[0])
+
+
+def bases_by_count(n: dict[str, Column]) -> Column:
+    """Bases by count, highest first, ties in the order given."""
+    order = F.array(*[F.struct((-c).alias("n"), F.lit(i).alias("i"), F.lit(b).alias("b")) for i, (b, c) in enumerate(n.items())])
+    return F.array_join(F.transform(F.array_sort(order), lambda x: x["b"]), "")

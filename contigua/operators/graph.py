@@ -84,6 +84,35 @@ def super_repeats(edges: DataFrame, max_edges: int = 128) -> DataFrame:
     return edges.groupBy(F.col("x").alias("id"), "xs").agg(F.count("*").alias("n")).filter(F.col("n") > max_edges).select("id").distinct()
 
 
+def without_super_repeats(edges: DataFrame, max_edges: int = 128) -> DataFrame:
+    """Edges of no vertex with more than ``max_edges`` of them, nor of their neighbours: dense places are cut out whole."""
+    dense = edges.groupBy(F.col("x").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") > max_edges).select("id")
+    near = edges.join(dense.withColumnRenamed("id", "x"), "x", "left_semi").select(F.col("y").alias("id"))
+    gone = dense.unionByName(near).distinct()
+    return edges.join(gone.withColumnRenamed("id", "x"), "x", "left_anti").join(gone.withColumnRenamed("id", "y"), "y", "left_anti")
+
+
+def longest_overlaps(overlaps: DataFrame) -> DataFrame:
+    """``x``, ``xs``, ``longest``, ``ahead``: the longest overlap of each side, and by how much it beats the second."""
+    w = W.partitionBy("x", "xs").orderBy(F.desc("ov"), "y", "ys")
+    two = overlaps.withColumn("_r", F.row_number().over(w)).filter("_r <= 2").groupBy("x", "xs").agg(F.max("ov").alias("longest"), F.min(F.when(F.col("_r") == 2, F.col("ov"))).alias("_second"))
+    return two.select("x", "xs", "longest", (F.col("longest") - F.coalesce("_second", F.lit(0))).alias("ahead"))
+
+
+def structure_errors(edges: DataFrame, irreducible: DataFrame) -> DataFrame:
+    """``x``, ``xs``, ``y``, ``ys``, ``error``: edges without a twin, irreducible edges that are missing, and edges that are not
+    irreducible."""
+    key = ["x", "xs", "y", "ys"]
+    e, i = edges.select(*key), irreducible.select(*key)
+    twin = e.select(F.col("y").alias("x"), (1 - F.col("ys")).alias("xs"), F.col("x").alias("y"), (1 - F.col("xs")).alias("ys"))
+    kinds = ((e.join(twin, key, "left_anti"), "no twin"), (i.join(e, key, "left_anti"), "missing"), (e.join(i, key, "left_anti"), "extra"))
+    out = None
+    for rows, name in kinds:
+        part = rows.withColumn("error", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def small_repeat_edges(edges: DataFrame, seq_length: int, min_diff: int = 20) -> DataFrame:
     """Edges that are the shortest overlap of both their ends where each has one longer by more than ``min_diff``."""
     e = edges.withColumn("ov", seq_length - F.col("lab"))

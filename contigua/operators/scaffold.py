@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from contigua.runtime import forget, materialize
+
 
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution function, native (series of the error function by a rational approximation, 1.5e-7)."""
@@ -111,21 +112,75 @@ def gap_sequence(dist: Column, min_gap: int = 25) -> Column:
 def layout(scaffolds: DataFrame, min_gap: int = 25) -> DataFrame:
     """``scaffold``, ``seq``: contigs of a scaffold in order (``scaffold``, ``ord``, ``seq``, ``dist`` to the next) joined by
     gaps; a negative distance beyond the least gap skips as many bases of the next contig as it overlaps."""
+    pieces = scaffolds.groupBy("scaffold").agg(F.array_sort(F.collect_list(F.struct("ord", "seq", "dist"))).alias("p"))
+    before = lambda i: F.coalesce(F.when(i > 0, F.get(F.col("p"), i - 1)["dist"]), F.lit(0.0))
+    cut = lambda x, i: F.substring(x["seq"], F.greatest(-F.round(before(i)).cast("int"), F.lit(0)) + 1, F.length(x["seq"]))
+    gap = lambda x, i: F.when(x["dist"].isNull() | F.isnan(x["dist"]) | (i == F.size("p") - 1), "").otherwise(gap_sequence(x["dist"], min_gap))
+    return pieces.select("scaffold", F.array_join(F.transform("p", lambda x, i: F.concat(cut(x, i), gap(x, i))), "").alias("seq"))
+
+
+def without_conflicts(links: DataFrame) -> DataFrame:
+    """Links whose estimates agree."""
+    return links.filter(~F.col("conflict")).drop("conflict")
+
+
+def single_sided(links: DataFrame) -> DataFrame:
+    """Strict mode: links of sides that have no other, at both ends."""
+    one = links.groupBy("x", "xs").agg(F.count("*").alias("_n")).filter("_n = 1").select("x", "xs")
+    back = one.select(F.col("x").alias("y"), (1 - F.col("xs")).alias("ys"))
+    return links.join(one, ["x", "xs"], "left_semi").join(back, ["y", "ys"], "left_semi").select(*links.columns)
+
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, skip = [], 0
-        for r in pdf.sort_values("ord").itertuples():
-            out.append(r.seq[skip:])
-            skip = 0
-            if r.dist is not None and not math.isnan(r.dist):
-                gap = max(int(round(r.dist)), min_gap)
-                skip = max(0, -int(round(r.dist)))
-                out.append("N" * gap)
-        while out and set(out[-1]) == {"N"}:
-            out.pop()
-        return pd.DataFrame({"scaffold": [pdf["scaffold"].iloc[0]], "seq": ["".join(out)]})
-
-    return scaffolds.groupBy("scaffold").applyInPandas(build, f"scaffold {scaffolds.schema['scaffold'].dataType.simpleString()}, seq string")
+def transitive_links(links: DataFrame, most_apart: float = 3.0) -> DataFrame:
+    """``x``, ``xs``, ``y``, ``ys`` of links that two others make up: x to m to y, with a sum of distances and the length of m
+    within ``most_apart`` joint standard deviations. Sides have few links; pairs are formed through a contig only.
+
+    ``links`` must have ``len_y``, the length of the contig that they lead to.
+    """
+    a = links.select("x", "xs", F.col("y").alias("m"), F.col("ys").alias("ms"), F.col("dist").alias("d1"), F.col("sd").alias("s1"), F.col("len_y").alias("len_m"))
+    b = links.select(F.col("x").alias("m"), F.col("xs").alias("ms"), "y", "ys", F.col("dist").alias("d2"), F.col("sd").alias("s2"))
+    paths = a.join(b, ["m", "ms"]).filter("x <> y").select("x", "xs", "y", "ys", (F.col("d1") + F.col("d2") + F.col("len_m")).alias("_d"), (F.col("s1") * F.col("s1") + F.col("s2") * F.col("s2")).alias("_v"))
+    hit = links.join(paths, ["x", "xs", "y", "ys"]).filter(F.abs(F.col("dist") - F.col("_d")) <= most_apart * F.sqrt(F.col("sd") * F.col("sd") + F.col("_v")))
+    return hit.select("x", "xs", "y", "ys").distinct()
+
+
+def chains(contigs: DataFrame, links: DataFrame) -> DataFrame:
+    """``scaffold``, ``ord`` (from 0), ``id``, ``st``, ``dist`` (to the next, null at the end): contigs in the order of
+    unambiguous links (``best_next`` or ``single_sided``), each once; a chain and its turned twin give one scaffold.
+
+    Rings are cut at their smallest oriented contig. Walking doubles its stride every round, over written tables.
+    """
+    both = contigs.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("st")).select((F.col("id") * 2 + F.col("st")).alias("v"))
+    arcs = materialize(links.select((F.col("x") * 2 + F.col("xs")).alias("a"), (F.col("y") * 2 + F.col("ys")).alias("b"), "dist").dropDuplicates(["a", "b"]), "scaffold-arcs")
+    for cut_rings in (False, True):
+        back = arcs.select(F.col("b").alias("v"), F.col("a").alias("up"))
+        j = both.join(back, "v", "left")
+        state = materialize(j.select("v", F.coalesce("up", "v").alias("up"), F.col("up").isNotNull().cast("long").alias("steps"), F.least("v", F.coalesce("up", "v")).alias("low")), "scaffold-walk")
+        total, span = both.count(), 1
+        while span < 2 * total:
+            far = state.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
+            new = state.join(far, "up").select("v", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low"), (F.col("steps2") > 0).alias("moved"))
+            new = materialize(new, "scaffold-walk")
+            forget(state)
+            state, span = new, 2 * span
+            if state.filter("moved").isEmpty():
+                break
+        inner = state.join(back.select(F.col("v").alias("up")), "up", "left_semi")
+        if cut_rings or inner.isEmpty():
+            break
+        cut = inner.filter("low % 2 = 0").select("low").distinct()
+        arcs = materialize(arcs.join(cut.select(F.col("low").alias("b")), "b", "left_anti").join(cut.select((F.col("low") + 1).alias("a")), "a", "left_anti"), "scaffold-arcs")
+    placed = state.select("v", F.col("up").alias("head"), "steps")
+    ends = placed.groupBy("head").agg(F.max_by("v", "steps").alias("last"))
+    turned = F.when(F.col("last") % 2 == 0, F.col("last") + 1).otherwise(F.col("last") - 1)
+    kept = ends.filter(F.col("head") <= turned).select("head")
+    out = placed.join(kept, "head").join(arcs.select(F.col("a").alias("v"), "dist"), "v", "left")
+    return out.select(F.shiftright("head", 1).alias("scaffold"), F.col("steps").alias("ord"), F.shiftright("v", 1).alias("id"), (F.col("v") % 2).cast("int").alias("st"), "dist")
+
+
+def unplaced(contigs: DataFrame, placed: DataFrame, min_length: int = 0) -> DataFrame:
+    """Contigs (id, seq) of ``min_length`` bases at least that no scaffold holds."""
+    return contigs.filter(F.length("seq") >= min_length).join(placed.select("id"), "id", "left_anti")
 
 
 def split_gaps(scaffolds: DataFrame) -> DataFrame:

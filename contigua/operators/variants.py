@@ -45,6 +45,38 @@ def contrast_calls(variant: DataFrame, base: DataFrame) -> DataFrame:
     return variant.filter(F.col("filter") == "PASS").join(b, ["chrom", "pos"])
 
 
+def with_base_quality(calls: DataFrame) -> DataFrame:
+    """Contrasted calls with the base set's quality as tag ``BQ`` at the end of ``info``."""
+    return calls.withColumn("info", F.concat_ws(";", F.when(F.length("info") > 0, F.col("info")), F.concat(F.lit("BQ="), F.col("base_qual").cast("string"))))
+
+
+def repeat_units(seq: Column, start: Column, ref: Column, alt: Column) -> tuple[Column, Column]:
+    """The repeated unit of an event (the bases put in or taken out, or the new ones of a substitution), and how many of it
+    stand in a row in the reference around the first that begins within the event; ``start`` (from 0) is its first base."""
+    indel = F.left(ref, F.lit(1)) == F.left(alt, F.lit(1))
+    more = F.when(F.length(alt) > F.length(ref), alt).otherwise(ref)
+    unit = F.when(indel, F.substring(more, F.lit(2), F.length(more))).otherwise(alt)
+    first = F.call_function("locate", unit, seq, start + 1) - 1
+    found = (first >= 0) & (first <= start + F.length(ref)) & (F.length(unit) > 0)
+    run = lambda s, u: (F.length(s) - F.length(F.regexp_replace(s, F.concat(F.lit("^("), u, F.lit(")+")), F.lit("")))) / F.length(u)
+    after, before = F.substring(seq, first + 1, F.length(seq)), F.reverse(F.substring(seq, F.lit(1), first))
+    return unit, F.when(found, run(after, unit) + run(before, F.reverse(unit))).otherwise(0).cast("int")
+
+
+def parameters(text: str) -> dict[str, float | str]:
+    """``key:value,key:value`` as a dictionary; values that are numbers as such."""
+    out: dict[str, float | str] = {}
+    for pair in filter(None, text.split(",")):
+        key, found, value = pair.partition(":")
+        if not found:
+            raise ValueError(f"no value: {pair}")
+        try:
+            out[key] = float(value)
+        except ValueError:
+            out[key] = value
+    return out
+
+
 def info_map(info: Column) -> Column:
     """``key=value;...`` as a map."""
     return F.str_to_map(info, F.lit(";"), F.lit("="))

@@ -7,34 +7,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``no`` (from 0), ``line``: lines of each whole file, compressed or not, in order.
+def _numbered_rows(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """``path``, ``no`` (from 0), ``value``: rows of text files, in order within each file.
 
-    Records span lines, so a file is read as one piece; many files are read side by side.
+    Files are split as any text is. A split is read in order, so its rows are numbered by a count of the rows of the
+    splits before it, one table row a split, which is all that is broadcast; rows themselves don't move.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    return files.select("path", F.posexplode(F.split("value", "\n")).alias("no", "line"))
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = rows.groupBy("path", "_block").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("_block")) - F.col("_n")
+    splits = splits.select("path", "_block", (before - F.col("_least")).alias("_shift"))
+    return rows.join(F.broadcast(splits), ["path", "_block"]).select("path", (F.col("_id") + F.col("_shift")).alias("no"), "value")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
     """``path``, ``record``, ``id``, ``meta``, ``seq``, ``qual`` of records of four lines."""
-    r = _lines(spark, path).withColumn("record", F.floor(F.col("no") / 4))
+    line = F.regexp_replace("value", "\r$", "")
+    r = _numbered_rows(spark, path).select("path", "no", line.alias("line"), F.floor(F.col("no") / 4).alias("record"))
     part = lambda i: F.max(F.when(F.col("no") % 4 == i, F.col("line")))
     g = r.groupBy("path", "record").agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual")).filter(F.startswith("head", F.lit("@")))
-    return _named(g).select("path", "record", "id", "meta", "seq", "qual")
+    return _named(g, upper).select("path", "record", "id", "meta", "seq", "qual")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``record``, ``id``, ``meta``, ``seq``, ``qual`` (null); sequences may span lines and end with the file."""
-    r = _lines(spark, path)
-    w = W.partitionBy("path").orderBy("no")
-    r = r.withColumn("record", F.sum(F.startswith("line", F.lit(">")).cast("long")).over(w) - 1).filter("record >= 0")
-    g = r.groupBy("path", "record").agg(F.max(F.when(F.startswith("line", F.lit(">")), F.col("line"))).alias("head"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.startswith("line", F.lit(">")), F.struct("no", "line")))), lambda x: x["line"]), "").alias("seq"))
-    return _named(g).select("path", "record", "id", "meta", "seq", F.lit(None).cast("string").alias("qual"))
+def read_fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
+    """``path``, ``record``, ``id``, ``meta``, ``seq``, ``qual`` (null); sequences may span lines. A record is a row from the
+    start, as text is split where a line begins with ``>``."""
+    r = _numbered_rows(spark, path, "\n>").select("path", F.col("no").alias("record"), F.split(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", ""), "\n").alias("lines"))
+    g = r.select("path", "record", F.concat(F.lit(">"), F.col("lines")[0]).alias("head"), F.array_join(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), "").alias("seq"))
+    return _named(g, upper).select("path", "record", "id", "meta", "seq", F.lit(None).cast("string").alias("qual"))
 
 
-def _named(g: DataFrame) -> DataFrame:
+def lengths(records: DataFrame) -> DataFrame:
+    """``id``, ``length`` of records."""
+    return records.select("id", F.length("seq").alias("length"))
+
+
+def as_vertices(records: DataFrame, min_length: int = 0) -> DataFrame:
+    """Records of ``min_length`` bases at least as graph vertices (``id``, ``seq``), without edges."""
+    return records.filter(F.length("seq") >= min_length).select("id", "seq")
+
+
+def _named(g: DataFrame, upper: bool) -> DataFrame:
     rest = F.substring("head", F.lit(2), F.length("head"))
+    g = g.withColumn("seq", F.upper("seq")) if upper else g
     return g.withColumn("id", F.regexp_extract(rest, "^([^ \t]*)", 1)).withColumn("meta", F.regexp_extract(rest, "^[^ \t]*[ \t](.*)$", 1))
 
 
