@@ -239,9 +239,6 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.report_json(counts=hist, quality=q.select("pos", "n", F.round(F.col("mean_quality") * F.col("n")).cast("long").alias("total")))
 
 
-_TEXT = "tx as (select read_idx, seq, lead(seq) over (order by read_idx) as next from reads), ty as (select * from tx where next is not null)"
-
-
 @query(f"""with {READS}, a as (select read_idx, seq, {rc('seq')} as other from reads)
 select read_idx, len(list_filter(generate_series(1, 40), lambda i: substr(seq, i, 1) <> substr(other, i, 1)))::int as first40, len(list_filter(generate_series(1, 100), lambda i: substr(seq, i, 1) <> substr(other, i, 1)))::int as hamming,
 list_aggregate(list_transform(generate_series(1, 100), lambda i: case when substr(seq, i, 1) = substr(other, i, 1) then '.' else substr(other, i, 1) end), 'string_agg', '') as diff from a""")
@@ -274,10 +271,10 @@ def quality_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""with {READS}, h as (select read_idx, seq, 64 as w from reads), t as (select read_idx, s, substr(seq, s + q, 3) as m from h, (select unnest(generate_series(1, 37)) as s), (select unnest(generate_series(0, 60)) as q)),
-c as (select read_idx, s, m, count(*) as n from t group by all), d as (select read_idx, s, sum(n * (n - 1) / 2) / 62.0 as dust from c group by all) select read_idx, round(max(dust), 9) as dust from d group by read_idx""")
+@query(f"""with {READS}, t as (select read_idx, s, substr(seq, s + q, 3) as m from reads, (select unnest(generate_series(1, 5)) as s), (select unnest(generate_series(0, 92)) as q)),
+c as (select read_idx, s, m, count(*) as n from t group by all), d as (select read_idx, s, sum(n * (n - 1) / 2) / 94.0 as dust from c group by all) select read_idx, round(max(dust), 9) as dust from d group by read_idx""")
 def max_dust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.derive(spark, sf_dir).select("read_idx", F.round(S.max_dust_window(F.col("seq"), 64, 64), 9).alias("dust"))
+    return R.derive(spark, sf_dir).select("read_idx", F.round(S.max_dust_window(F.col("seq"), 96, 96), 9).alias("dust"))
 
 
 @query("""with x as (select doc_id, '/data/' || source || '/run.' || doc_id || case when doc_id % 3 = 0 then '' else '.fq' end as path from documents) select doc_id, regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '') as stem, regexp_extract(regexp_replace(path, '^.*/', ''), '[.]([^.]*)$', 1) as extension from x where path is not null""")

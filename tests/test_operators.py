@@ -250,12 +250,6 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_every_command_names_functions():
-    from contigua.plans import commands
-
-    assert len(commands.COMMANDS) == 31 and all(map(callable, (f for fs in commands.COMMANDS.values() for f in fs)))
-
-
 def test_concordance(spark):
     rng = random.Random(5)
     g = dna(rng, 100)
