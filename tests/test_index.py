@@ -130,3 +130,11 @@ def test_small_functions(spark):
     assert got == {0: "a", 4: "a", 5: "b", 1_999_999: "b", 9_000_000: None}
     lines = spark.createDataFrame([(0, "HT\tx"), (1, "VT\ta\tA"), (2, "ED\tq"), (3, "VT\tb\tA"), (4, "HT\ty"), (5, "?")], "no long, value string")
     assert sorted(r.no for r in graphs.asqg_order_errors(lines).collect()) == [3, 4, 5]
+
+
+def test_walks_are_complete_or_absent(spark):
+    from contigua.operators import walks
+
+    e = spark.createDataFrame([(0, 0, 9, 0, 1), (0, 0, 1, 0, 1), (1, 0, 2, 0, 1), (2, 0, 3, 0, 1), (3, 0, 9, 0, 1)], "x long, xs int, y long, ys int, lab int")
+    starts = spark.createDataFrame([(1, 0, 0, 9)], "pair long, x long, xs int, y long")
+    assert [walks.find_walks(e, starts, 20, n).count() for n in (2, 3, 4, 5)] == [0, 0, 2, 2]
