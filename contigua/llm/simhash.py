@@ -98,10 +98,10 @@ def links(distinct_fps: DataFrame, max_diff: int = 2, pair_limit: int = PAIR_LIM
     wide = distinct_fps.select("fp").repartition(int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = wide.select("fp", F.explode(_variants(F.col("fp"), max_diff)).alias("k")).select("fp", "k.no", "k.bits")
     sizes = keyed.groupBy("no", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(keyed.join(sizes, ["no", "bits"]), "simhash-shared")
+    shared = materialize(keyed.join(sizes.hint("merge"), ["no", "bits"]), "simhash-shared")
     few = shared.filter(F.col("n") <= pair_limit).select("no", "bits", "fp")
     near = (
-        few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["no", "bits"])
+        few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b").hint("merge"), ["no", "bits"])
         .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_diff))
         .select("a", "b")
     )
@@ -109,7 +109,7 @@ def links(distinct_fps: DataFrame, max_diff: int = 2, pair_limit: int = PAIR_LIM
     whole = hot.select("fp", F.explode(_whole_variants(F.col("fp"), max_diff)).alias("k")).select("fp", "k.gone", "k.bits")
     stars = whole.groupBy("gone", "bits").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count("*").alias("n")).filter("n > 1")
     # a bucket holds up to 2^max_diff fingerprints that agree on the other bits: link each possible member that exists
-    members = whole.join(stars.filter("n > 2").select("gone", "bits", "a"), ["gone", "bits"]).select("a", F.col("fp").alias("b")).filter("a != b")
+    members = whole.join(stars.filter("n > 2").select("gone", "bits", "a").hint("merge"), ["gone", "bits"]).select("a", F.col("fp").alias("b")).filter("a != b")
     return near.unionByName(stars.select("a", F.col("z").alias("b"))).unionByName(members).distinct()
 
 
