@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contigua.functions import sequence as S
+
 _RC = str.maketrans("ACGT", "TGCA")
 
 
@@ -111,3 +113,26 @@ def novel_components(kmers: DataFrame, k: int) -> DataFrame:
     first = ends.groupBy("end").agg(F.min("id").alias("x"))
     links = ends.join(first, "end").filter("x != id").select("x", F.col("id").alias("y"))
     return ids.join(graph.components(ids.select("id"), links), "id").select("kmer", "component")
+
+
+def genotypes(likelihoods: DataFrame) -> DataFrame:
+    """``locus``, ``gt``, ``gq``, ``gl_00``, ``gl_01``, ``gl_11``: diploid genotypes of all loci in one aggregation.
+
+    ``likelihoods``: locus, ll_ref, ll_alt, the log-likelihoods of a read under both haplotypes. Ties go to the one with
+    fewer alternative alleles; ``./.`` up to quality 5.
+    """
+    a, b, scale = F.col("ll_ref"), F.col("ll_alt"), math.log(10)
+    top = F.greatest(a, b)
+    g = likelihoods.groupBy("locus").agg((F.sum(a) / scale).alias("gl_00"), (F.sum(top + F.log(0.5 * (F.exp(a - top) + F.exp(b - top)))) / scale).alias("gl_01"), (F.sum(b) / scale).alias("gl_11"))
+    order = F.sort_array(F.array("gl_00", "gl_01", "gl_11"), asc=False)
+    quality = F.least(F.lit(99), F.floor(10 * (order[0] - order[1]))).cast("int")
+    best = F.when(F.col("gl_00") == order[0], "0/0").when(F.col("gl_01") == order[0], "0/1").otherwise("1/1")
+    return g.select("locus", F.when(quality <= 5, "./.").otherwise(best).alias("gt"), quality.alias("gq"), "gl_00", "gl_01", "gl_11")
+
+
+def ungapped_log_likelihood(read: Column, haplotype: Column, error: float = 0.01) -> Column:
+    """Log-likelihood of a read at its best ungapped place in a haplotype; all bases wrong where it is longer."""
+    n = F.length(read)
+    places = F.transform(F.sequence(F.lit(1), F.length(haplotype) - n + 1), lambda p: S.hamming(F.substring(haplotype, p, n), read))
+    bad = F.when(n > F.length(haplotype), n).otherwise(F.array_min(places))
+    return bad * math.log(error / 3) + (n - bad) * math.log(1 - error)

@@ -144,3 +144,15 @@ def reads_with(reads: DataFrame, kmers: DataFrame, k: int, mates: Column | None
     if mates is not None:
         hit = hit.unionByName(hit.select(mates.alias("read_idx"))).distinct()
     return reads.join(hit, "read_idx", "left_semi")
+
+
+def branch_count(seqs: DataFrame, counts: DataFrame, k: int, depth: int = 2) -> DataFrame:
+    """``read_idx``, ``branches``: over all k-mers of a sequence, how many bases beyond the first can follow it with ``depth``
+    occurrences at least on both strands. Sequences shorter than k have none."""
+    rc = S.reverse_complement(F.col("kmer"))
+    deep = counts.filter((F.col("n") >= depth) & F.col("kmer").isNotNull())
+    both = deep.select("kmer").unionByName(deep.filter(F.col("kmer") != rc).select(rc.alias("kmer")))
+    ways = both.groupBy(F.left("kmer", F.lit(k - 1)).alias("w")).agg((F.count("*") - 1).alias("more")).filter("more > 0")
+    at = occurrences(seqs, k).select("read_idx", F.right("kmer", F.lit(k - 1)).alias("w"))
+    found = at.join(ways, "w").groupBy("read_idx").agg(F.sum("more").alias("branches"))
+    return seqs.select("read_idx").join(found, "read_idx", "left").select("read_idx", F.coalesce("branches", F.lit(0)).alias("branches"))

@@ -195,3 +195,61 @@ def concordance(haplotypes: DataFrame, variant_counts: DataFrame, base_counts: D
     per = h.select("row_no", "read_idx").join(only.groupBy("read_idx").agg(F.count("*").alias("n")), "read_idx", "left")
     top = per.groupBy("row_no").agg(F.coalesce(F.max("n"), F.lit(0)).alias("unique_kmers"))
     return top.select("row_no", "unique_kmers", F.when(F.col("unique_kmers") > beyond, "SOMATIC").otherwise("GERMLINE").alias("class"))
+
+
+def segregation_scores(haps: DataFrame, depths: list[float], allele_depth: float) -> DataFrame:
+    """Adds ``lm_haploid``, ``lm_diploid`` (all samples of ``allele_depth`` an allele), ``lm_haploid_depths`` and
+    ``lm_diploid_depths`` (samples of these ``depths``): log-likelihood of carriers and others over that of reads spread
+    evenly, from ``counts`` (reads of the haplotype by sample, in the order of ``depths``).
+
+    One row a haplotype, by expressions. Null where no carrier is expected (no reads, or too few for half an allele).
+    Carriers are at most the samples; an allele's share stays between 1e-9 and 1 - 1e-9.
+    """
+    n, mean = len(depths), sum(depths) / len(depths)
+    own = F.array(*[F.lit(float(d)) for d in depths])
+    total = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x)
+    even = F.transform(own, lambda d: F.lit(1.0))
+    scaled = F.transform(own, lambda d: d / mean)
+
+    def score(carriers: Column, share: Column, scale: Column, diploid: bool) -> Column:
+        share = F.least(F.greatest(share, F.lit(1e-9)), F.lit(1 - 1e-9))
+
+        def term(c: Column, s: Column) -> Column:
+            p, q = s * F.col("_total") / n, s * F.col("_total") / carriers
+            if diploid:
+                het, hom = F.log(2 * share * (1 - share)) + c * F.log(q) - q, 2 * F.log(share) + c * F.log(2 * q) - 2 * q
+                none = F.when(c == 0, F.exp(2 * F.log(1 - share))).otherwise(0.0)
+                top = F.greatest(het, hom)
+                return F.log(none + F.exp(top) * (F.exp(het - top) + F.exp(hom - top))) - c * F.log(p) + p
+            none = F.when(c == 0, 1 - share).otherwise(0.0)
+            return F.log(none + share * F.exp(c * F.log(q) - q)) - c * F.log(p) + p
+
+        return F.when((F.col("_total") > 0) & (carriers > 0), F.aggregate(F.zip_with("counts", scale, term), F.lit(0.0), lambda a, x: a + x))
+
+    t = haps.withColumn("_total", total)
+    whole = F.round(F.col("_total") / allele_depth)
+    by_depth = F.col("_total") / mean
+    alleles = 2 * F.aggregate(F.zip_with("counts", own, lambda c, d: c / d), F.lit(0.0), lambda s, x: s + x)
+    few = F.least(whole, F.lit(float(n)))
+    return t.select(
+        *haps.columns, score(few, few / n, even, False).alias("lm_haploid"), score(few, whole / (2 * n), even, True).alias("lm_diploid"),
+        score(by_depth, by_depth / n, scaled, False).alias("lm_haploid_depths"), score(alleles, alleles / (2 * n), scaled, True).alias("lm_diploid_depths"),
+    )
+
+
+def strand_bias(forward: Column, reverse: Column, points: int = 50, limit: float = 0.35) -> Column:
+    """Log Bayes factor of strand bias: forward shares on a grid beyond ``limit`` from a half against a grid within it.
+
+    The upper side of the biased grid goes from 1 down by a quarter of the lower side's steps. No reads: 0.
+    """
+    half = range(1, points // 2 + 1)
+    step = 2 / (points + 1)
+    biased = [q for i in half for q in (i * limit * step, 1 - i * limit * step / 4)]
+    fair = [q for i in half for q in (0.5 + (0.5 - limit) * i * step, 0.5 - (0.5 - limit) * i * step)]
+
+    def evidence(grid: list[float]) -> Column:
+        terms = F.transform(F.array(*[F.lit(q) for q in grid]), lambda q: F.log(q) * forward + F.log(1 - q) * reverse)
+        top = F.array_max(terms)
+        return top + F.log(F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+
+    return F.when(forward + reverse == 0, 0.0).otherwise(evidence(biased) - evidence(fair))
