@@ -4,6 +4,7 @@ A split point between two neighbouring tokens survives all merges exactly if no
 the left token's merge tree with a node on the left edge of the right token's tree comes while both are there. So the
 encoding of a prefix is a chain of tokens, each compatible with the one before, and every position has exactly one
 last token. The chains of the last few positions share all but their ends; what they share can't change and is emitted.
+A pre-token shorter than the lookahead ends before anything of it is stable; its chain is found longest token first.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _letters() -> tuple[str, str]:
-    """Non-ASCII letters and numbers as ranges for a character class, in the Unicode version of the tokenizer's library."""
+def _letters(top: int = sys.maxunicode) -> tuple[str, str]:
+    """Non-ASCII letters and numbers up to a code point as ranges for a character class, in the Unicode version of the
+    tokenizer's library."""
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    beyond = "".join(map(chr, [*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    beyond = "".join(chr(c) for c in range(128, top + 1) if not 0xD800 <= c < 0xE000)
     runs = lambda kind: Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(beyond)
     return tuple("".join(f"{a}-{b}" for run, _ in runs(kind) for a, b in _ranges(run)) for kind in "LN")
 
@@ -53,6 +55,8 @@ def _ranges(run: str) -> Iterator[tuple[str, str]]:
             start = i
 
 
+#: Last code points of the narrower splitting rules: Latin with its extensions, all that takes 16 bits, and the plane after it.
+_TOPS = (0x24F, 0xFFFF, 0x1FFFF)
 #: Unicode white space beyond ASCII.
 WIDE_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -107,6 +111,10 @@ class Merges:
                 step = nodes.setdefault(byte, [None, {}])
                 nodes = step[1]
             step[0] = i
+        token_of = {self.bytes_of[i]: i for i in left_edge}
+        self.size = {i: size[i] for i in left_edge}
+        #: of a token, the longest other token that begins it
+        self.shorter = {i: next((token_of[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in token_of), None) for b, i in token_of.items()}
         self.compatible: dict[int, dict[int, bool]] = {}  # of pairs met, emptied now and then
         self.met = 0
 
@@ -125,6 +133,56 @@ class Merges:
                         return False
         return True
 
+    def encode_short(self, piece: bytes) -> list[int]:
+        """Token ids of a pre-token within one lookahead, which is stable only as a whole.
+
+        A chain of compatible tokens to a position is the encoding of that prefix, so a position from which no chain
+        goes on to the end needn't be tried again: each position is left once at most.
+        """
+        out: list[int] = []
+        if not piece:
+            return out
+        size, shorter, known, splits, trie, n = self.size, self.shorter, self.compatible, self.splits, self.trie, len(piece)
+        dead: set[int] = set()
+        at, row, fresh, token = 0, None, True, None
+        while True:
+            if fresh:
+                nodes = trie
+                for byte in piece[at : at + self.longest]:
+                    step = nodes.get(byte)
+                    if step is None:
+                        break
+                    if step[0] is not None:
+                        token = step[0]
+                    nodes = step[1]
+            while token is not None:
+                if at + size[token] not in dead:
+                    if row is None:
+                        break
+                    ok = row.get(token)
+                    if ok is None:
+                        ok = row[token] = splits(out[-1], token)
+                    if ok:
+                        break
+                token = shorter[token]
+            fresh = token is not None
+            if fresh:
+                out.append(token)
+                at += size[token]
+                if at == n:
+                    return out
+            else:
+                dead.add(at)
+                token = out.pop()
+                at -= size[token]
+                token = shorter[token]
+            if out:
+                row = known.get(out[-1])
+                if row is None:
+                    row = known[out[-1]] = {}
+            else:
+                row = None
+
     def encode(self, piece: bytes) -> Iterator[int]:
         """Token ids of one pre-token, emitted once no byte to come can change them.
 
@@ -191,17 +249,19 @@ class Codec:
         if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("byte-level BPE without a normalizer or an added space only")
         self.merges = Merges(spec)
-        self.ascii, self.any = pattern(), None
+        self.ascii, self.any, self.tops = pattern(), {}, [(top, re.compile(f"[^\0-{chr(top)}]").search) for top in _TOPS]
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.short = min(64, self.merges.lookahead // 4)  # characters of pre-tokens that end within the lookahead
         self.cut = re.compile(r"(?<=[^\s]) (?=[^\s])")
         codec = self
 
         class Known(dict):
             def __missing__(self, piece: str) -> bytes:
-                found = list(codec.merges.encode(piece.encode()))
+                short = len(piece) <= codec.short
+                found = codec.merges.encode_short(piece.encode()) if short else list(codec.merges.encode(piece.encode()))
                 ids = struct.pack(f"<{len(found)}I", *found)
-                if len(piece) <= 64:
+                if short:
                     if len(self) >= _CACHE:
                         self.clear()
                     self[piece] = ids
@@ -220,10 +280,16 @@ class Codec:
             if block.isascii():
                 yield self.ascii.findall(block)
             else:
-                self.any = self.any or pattern(*_letters())
-                yield self.any.findall(block)
+                yield self._splitter(block).findall(block)
             at = end
 
+    def _splitter(self, block: str) -> re.Pattern:
+        """The splitting rule for the least range of characters that covers the block: long classes are slow to test."""
+        top = next((top for top, beyond in self.tops if not beyond(block)), sys.maxunicode)
+        if top not in self.any:
+            self.any[top] = pattern(*_letters(top))
+        return self.any[top]
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, in chunks."""
         at, known = 0, self.known.__getitem__

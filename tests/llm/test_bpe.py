@@ -64,3 +64,12 @@ def test_split_characters_decode_over_chunks():
     codec, t = bpe.codec(PATH), "🤦é中"
     chunks = [bytes(x) for x in np.frombuffer(b"".join(codec.encode(t)), "<u4").reshape(-1, 1).view(np.uint8).tolist()]
     assert "".join(codec.decode(iter(chunks))) == t
+
+
+def test_short_pieces_equal_the_stream_and_narrow_classes_the_library(lib):
+    codec, rng = bpe.codec(PATH), random.Random(9)
+    for _ in range(2000):
+        piece = "".join(rng.choice("ab  eE1é漢😀-_.xzthingation") for _ in range(rng.randint(0, 60))).encode()
+        assert codec.merges.encode_short(piece) == list(codec.merges.encode(piece))
+    for t in ("é   a", "aɏ bɐ", "漢字 ٣٤　x", "𐐀 b 𝟙 ²½", "\U00020000 ok", "\U0010ffff z y"):  # each needs a wider class than the one before
+        assert ids(codec, t) == lib.encode(t, add_special_tokens=False).ids, t
