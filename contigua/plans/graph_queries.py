@@ -66,12 +66,16 @@ def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(_graph(spark, sf_dir)[1], 0, 5)
 
 
-@query()
+_COMP = "reach as (select read_idx as id, read_idx as c from u union select irr.y, reach.c from reach join irr on irr.x = reach.id), comp as (select id, min(c) as component from reach group by id)"
+
+
+@query(f"with recursive {_IRR}, {_COMP} select id, component from comp")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(*_graph(spark, sf_dir))
 
 
-@query()
+@query(f"""with recursive {_IRR}, {_COMP}, sizes as (select component, count(*) as size from comp group by component having count(*) >= 2)
+select component as cluster_id, size, id from comp join sizes using (component)""")
 def cluster_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clusters(*_graph(spark, sf_dir), min_size=2)
 
