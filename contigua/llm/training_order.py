@@ -27,8 +27,8 @@ _BLOCK = 1 << 16
 _TOGETHER = 256
 #: Partitions whose first numbers are broadcast; with more of them they are joined by merge.
 _STARTS_SENT = 1_000_000
-#: Pre-tokens remembered by a worker, about 200 bytes each.
-_KNOWN = 1_500_000
+#: Pre-tokens remembered by a worker, about 150 bytes each: three workers of an executor, 200 MB in all.
+_KNOWN = 400_000
 _ROUNDS = 6
 
 

@@ -1,5 +1,6 @@
 import base64
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,15 @@ def test_pieces_equal_library():
         assert np.frombuffer(p.encode(t), "<u2").tolist() == lib.encode_ordinary(t), t
 
 
+def test_remembered_pre_tokens_stay_small():
+    """However many pre-tokens differ, a worker remembers less than 80 MB of them, and encodes the same."""
+    p = to.Pieces(PATH)
+    for k in range(9):
+        p.encode(" ".join(f"w{i:x}" for i in range(k * 100_000, (k + 1) * 100_000)))
+    assert sys.getsizeof(p.known) + sum(sys.getsizeof(a) + sys.getsizeof(b) for a, b in p.known.items()) < 80 << 20
+    assert p.encode("a w0 wff w0") == to.Pieces(PATH).encode("a w0 wff w0")
+
+
 @pytest.mark.parametrize(("seq_len", "span"), [(64, 17), (5000, 4)])
 def test_round_trip_and_resume(spark, docs, tmp_path, seq_len, span):
     path = f"file://{tmp_path}/out"
