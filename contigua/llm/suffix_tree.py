@@ -36,6 +36,8 @@ _GATHER_CELLS = 2_000_000
 _CHUNK = 200_000
 #: Counted cells to a bucket that one task sums up at a time, about.
 _BUCKET = 500_000
+#: Contexts and cells a level of a tree that goes to every task, at most.
+_SENT = 2_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -91,6 +93,26 @@ def _context(symbols, pos, d: int, base: int):
     return key
 
 
+def _diverge(at, n, low, seen, slack: float = 4.0):
+    """Which contexts, ``seen`` so often, are retained, their shares, and the gains of their cells.
+
+    ``at``: context of each kept cell; ``n``: its count; ``low``: log of what the next shorter state gives to it. What else
+    followed a context is taken as one. The test: count times Kullback-Leibler beyond its mean plus ``slack`` standard
+    deviations if nothing but chance differed.
+    """
+    import numpy as np
+
+    per = lambda x: np.bincount(at, x, minlength=len(seen))
+    kinds, kept = per(np.ones(len(at))), per(n)
+    rest, rest_low = seen - kept, np.maximum(1 - per(np.exp(low)), 1e-12)
+    whole = np.maximum(seen, 1)
+    gain = per(n * (np.log(n / whole[at]) - low)) + rest * np.log(np.maximum(rest, 1) / whole / rest_low)
+    freedom = np.maximum(kinds - (rest <= 0), 1)
+    keep = (kinds > 0) & (gain >= 0.5 * (freedom + slack * np.sqrt(2 * freedom)))
+    spread = kinds + rest
+    return keep, np.log(np.maximum(spread, 1e-300) / np.maximum(kept + spread, 1e-300)), np.log1p(n / (spread[at] * np.exp(low)))
+
+
 class Tree:
     """States: retained contexts by depth, with what they give to symbols they keep no count of; the root is not one.
 
@@ -128,26 +150,17 @@ class Tree:
     def grow(self, d: int, keys, seen, cells, n, slack: float = 4.0):
         """Retain those contexts ``keys`` of ``d`` symbols, ``seen`` so often, that diverge from their suffix.
 
-        ``cells`` (place among the keys times ``width`` plus next symbol, sorted) with counts ``n`` are those kept; what
-        else followed a context is taken as one. The test: count times Kullback-Leibler beyond its mean plus ``slack``
-        standard deviations if nothing but chance differed.
+        ``cells`` (place among the keys times ``width`` plus next symbol, sorted) with counts ``n`` are those kept.
         """
         import numpy as np
 
         at, nexts = cells // self.width, cells % self.width
         low = self.log_p(lambda e: keys[at] % self.alphabet.base**e if e < d else np.full(len(at), -1), nexts)
-        per = lambda x: np.bincount(at, x, minlength=len(keys))
-        kinds, kept = per(np.ones(len(at))), per(n)
-        rest, rest_low = seen - kept, np.maximum(1 - per(np.exp(low)), 1e-12)
-        whole = np.maximum(seen, 1)
-        gain = per(n * (np.log(n / whole[at]) - low)) + rest * np.log(np.maximum(rest, 1) / whole / rest_low)
-        freedom = np.maximum(kinds - (rest <= 0), 1)
-        keep = (kinds > 0) & (gain >= 0.5 * (freedom + slack * np.sqrt(2 * freedom)))
-        spread = kinds + rest
+        keep, share, gain = _diverge(at, n, low, seen, slack)
         number = np.cumsum(keep) - 1
         own = keep[at]
-        self.keys[d], self.share[d] = keys[keep], np.log(spread[keep] / (kept + spread)[keep])
-        self.cells[d], self.gain[d] = (number[at] * self.width + nexts)[own], np.log1p(n / (spread[at] * np.exp(low)))[own]
+        self.keys[d], self.share[d] = keys[keep], share[keep]
+        self.cells[d], self.gain[d] = (number[at] * self.width + nexts)[own], gain[own]
 
 
 def _gather(flush_at: int):
@@ -196,12 +209,15 @@ def alphabet_of(tokens: DataFrame, n_train: int, depth: int, least: float) -> Al
 
 
 def _encode(shared):
-    """Symbols of every text; sums over its tokens; those tokens that aren't shared, with their counts."""
+    """Symbols of every text; sums over its tokens; those tokens that aren't shared, with their counts.
+
+    With ``late``, tokens that aren't shared are symbols, too: -1 less their place in the list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        at, other, base_log, share_log, known = shared.value
+        at, other, base_log, share_log, known, late = shared.value
         get = at.get
         for b in batches:
             symbols, sizes, sums, cold, cold_n = [], [], [], [], []
@@ -210,7 +226,12 @@ def _encode(shared):
                 number = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
                 hot = number[number >= 0]
                 rare = Counter([tokens[i] for i in np.flatnonzero(number < 0).tolist()]) if len(hot) < len(tokens) else {}
-                symbols.append(np.where((number >= 0) & (number < other), number, other).astype(np.int32))
+                if late and rare:
+                    place, at_rare = {t: -1 - i for i, t in enumerate(rare)}, np.flatnonzero(number < 0)
+                    number[at_rare] = [place[tokens[i]] for i in at_rare.tolist()]
+                    symbols.append(number.astype(np.int32))
+                else:
+                    symbols.append(np.where((number >= 0) & (number < other), number, other).astype(np.int32))
                 sizes.append(len(tokens))
                 sums.append((base_log[hot].sum(), share_log[hot].sum(), known[hot].sum()))
                 cold.append(list(rare))
@@ -218,15 +239,16 @@ def _encode(shared):
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             base, share, seen = np.array(sums, float).reshape(-1, 3).T
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(symbols) if symbols else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), lists, pa.array(sizes, pa.int64()), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(share), pa.array(cold, pa.list_(pa.binary())), pa.array(cold_n, pa.list_(pa.int64()))],
                 names=["_id", "_mine", "symbols", "n_tokens", "n_known", "base", "share", "cold", "cold_n"],
             )
+            yield from (out.slice(i, 1000) for i in range(0, out.num_rows, 1000))
 
     return run
 
 
-def encode(marked: DataFrame, tokens: DataFrame, alphabet: Alphabet, n_train: int, fresh: int, hot_tokens: int) -> DataFrame:
+def encode(marked: DataFrame, tokens: DataFrame, alphabet: Alphabet, n_train: int, fresh: int, hot_tokens: int, late: bool = False) -> DataFrame:
     """Every row with its symbols and sums over its tokens, numbered, as a written table.
 
     The tokens of the alphabet and the ``hot_tokens`` most frequent others at most are known to every task; the rest of a
@@ -245,7 +267,7 @@ def encode(marked: DataFrame, tokens: DataFrame, alphabet: Alphabet, n_train: in
     n = np.array(counts, float)
     share = np.log10(np.where(n > 0, n, fresh)) - rest
     share[: alphabet.other] = 0
-    shared = marked.sparkSession.sparkContext.broadcast((at, alphabet.other, np.log10(n + 1), share, (n > 0).astype(np.int64)))
+    shared = marked.sparkSession.sparkContext.broadcast((at, alphabet.other, np.log10(n + 1), share, (n > 0).astype(np.int64), late))
     kind = marked.schema["_id"].dataType.simpleString()
     rows = marked.select("_id", "_mine", "_text").mapInArrow(lean(_encode(shared)), f"_id {kind}, _mine boolean, symbols array<int>, n_tokens long, n_known long, base double, share double, cold array<binary>, cold_n array<long>")
     return materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-symbols")
@@ -377,21 +399,51 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_tokens: int = 250_000, depth: int = 3, least_share: float = 5e-7) -> DataFrame:
+def _by_buckets(marked: DataFrame, tokens: DataFrame, facts, fresh: int, least: float, depth: int, hot_tokens: int) -> DataFrame:
+    """``_row``, ``_id``, ``n_tokens`` and sums of every row by a tree of any size."""
+    from contigua.llm import suffix_buckets as buckets
+
+    hot_least = max(math.ceil(least), _hot(tokens.filter("n_train > 0"), "n_train", hot_tokens))
+    alphabet = alphabet_of(tokens, facts["n"], depth, hot_least)
+    ids, levels = buckets.number(tokens, least, hot_least, alphabet.other)
+    symbols = buckets.Symbols(alphabet, levels, facts["n"], fresh)
+    listed = encode(marked, tokens, alphabet, facts["n"], fresh, 0, late=True)
+    rows = buckets.name(listed, ids, symbols, fresh)
+    buckets.finish(listed)
+    lp, *more = buckets.score_rows(rows, symbols, facts["n_all"], least)
+    for x in more:
+        lp = lp.unionByName(x)
+    sums = lp.groupBy("_row").agg((F.sum("lp") / math.log(10)).alias("lp"))
+    return rows.select("_row", "_id", "n_tokens", "n_known", "base", "share").join(sums.hint("merge"), "_row").withColumn("share", F.col("share") + F.col("lp"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_tokens: int = 250_000, depth: int = 3, least_share: float = 0.0) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every document.
 
     Counts come from all documents outside the held-out fold (a null id belongs to no fold and is learned from). Texts are
     read twice: to count tokens, and to write their symbols, which all levels of the tree and the scores are read from.
-    The ``hot_tokens`` most frequent tokens at most go to every task with their counts, and the tree, whose size
-    ``least_share`` bounds; all other tokens are joined. Null counts as empty: only the end. Repeated rows come out
-    repeated; an empty table gives an empty one; other columns are ignored.
+    The ``hot_tokens`` most frequent tokens at most go to every task with their counts; all other tokens are joined. So
+    does the tree where it has ``_SENT`` contexts and cells a level at most; a larger one, the same otherwise, is learned
+    and read in buckets of places. Null counts as empty: only the end. Repeated rows come out repeated; an empty table
+    gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     marked = _marked(docs, id_col, text_col, folds, held_fold)
     tokens = token_table(marked)
-    facts = tokens.agg(F.sum("n_train").alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v"), F.count(F.when(F.col("n_train") == 1, 1)).alias("once")).first()
+    facts = tokens.agg(F.sum("n_train").alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v"), F.count(F.when(F.col("n_train") == 1, 1)).alias("once"), F.sum("n_all").alias("n_all")).first()
     n_train, vocabulary, fresh = facts["n"] or 0, facts["v"], max(1, facts["once"])
     least = max(2.0, least_share * n_train)
+    low = math.log10(n_train + vocabulary + 1) if n_train + vocabulary else 0.0
+
+    def result(whole: DataFrame) -> DataFrame:
+        # base: log10((c + 1) / (N + 1 * (V + 1))) of every token
+        return whole.select(
+            F.col("_id").alias("doc_id"), F.coalesce(fold_of("_id", folds) == held_fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+            F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(low)).alias("base_score"), F.col("share").alias("score"),
+        )
+
+    if n_train / least > _SENT:
+        return result(_by_buckets(marked, tokens, facts, fresh, least, depth, hot_tokens))
     alphabet = alphabet_of(tokens, n_train, depth, least)
     rows = encode(marked, tokens, alphabet, n_train, fresh, hot_tokens)
     tree = learn(rows, alphabet, n_train, fresh, least)
@@ -408,10 +460,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     zero = F.lit(0.0)
     parts = rows.select("_row", "n_known", "base", "share").unionByName(met).unionByName(scored.select("_row", F.lit(0).cast("long").alias("n_known"), zero.alias("base"), F.col("lp").alias("share")))
     sums = parts.groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base", "share")])
-    low = math.log10(n_train + vocabulary + 1) if n_train + vocabulary else 0.0
-    whole = rows.select("_row", "_id", "n_tokens").join(sums.hint("merge"), "_row")
-    # base: log10((c + 1) / (N + 1 * (V + 1))) of every token
-    return whole.select(
-        F.col("_id").alias("doc_id"), F.coalesce(fold_of("_id", folds) == held_fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
-        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(low)).alias("base_score"), F.col("share").alias("score"),
-    )
+    return result(rows.select("_row", "_id", "n_tokens").join(sums.hint("merge"), "_row"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from contigua.llm import suffix_buckets
 from contigua.llm import suffix_tree as st
 from texts import rows
 
@@ -72,6 +73,34 @@ def test_against_brute_force(docs, hot):
         assert g == pytest.approx(w, abs=2e-5)
 
 
+@pytest.mark.parametrize(("hot", "bucket"), [(0, 300), (20, 60), (20, 100_000), (200_000, 60)])
+def test_buckets_against_brute_force(docs, monkeypatch, hot, bucket):
+    """A tree too large for a task, with contexts dealt out over several buckets or none, gives the same scores."""
+    monkeypatch.setattr(st, "_SENT", 0)
+    for name, size in (("_BUCKET", bucket), ("_DEAL", 1500)):
+        monkeypatch.setattr(suffix_buckets, name, size)
+    want, _ = brute()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in st.score(docs, hot_tokens=hot, **HOW).collect())
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w, abs=2e-5)
+
+
+def test_no_context_is_too_rare_in_a_large_corpus(spark, monkeypatch):
+    """A passage that occurs twice is known however large the corpus is, by default: its contexts aren't a share of it."""
+    rng = np.random.default_rng(5)
+    twice = " ".join(f"p{i}" for i in range(40))
+    many = spark.createDataFrame([(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"], 50_000))) for i in range(8, 120)], "doc_id long, text string")
+    a, b, c = [i for i in range(8) if not held(i)][:3]
+    docs = many.unionByName(spark.createDataFrame([(a, twice), (b, twice), (c, " ".join(twice.split()[::-1]))], "doc_id long, text string"))
+    rows = st.score(docs)
+    score = {r.doc_id: r.score for r in rows.filter("doc_id < 8").collect()}
+    assert rows.first().train_tokens * 5e-7 > 2
+    assert score[a] == pytest.approx(score[b]) and score[a] > score[c] + 100
+    monkeypatch.setattr(st, "_SENT", 10**9)
+    again = {r.doc_id: r.score for r in st.score(docs).filter("doc_id < 8").collect()}
+    assert again == pytest.approx(score, rel=1e-9)
+
+
 def test_contexts_are_found_and_distributions_sum_to_one(spark):
     rng = np.random.default_rng(1)
     texts = []
