@@ -30,6 +30,8 @@ _SUMS = 2_000_000
 _SAMPLE = 2_000_000
 #: The buckets are gone through in so many rounds, each of which has its share of the places on disk.
 _ROUNDS = 2
+#: Rows are named in so many parts, each of which has its share of the rows in shuffles.
+_PARTS = 2
 
 
 class Symbols:
@@ -71,7 +73,7 @@ def number(tokens: DataFrame, least: float, hot_least: int, first: int) -> tuple
     """``token``, ``n_train``, ``id`` (null: no symbol) of the tokens outside the alphabet, and the levels of their counts."""
     cold = tokens.filter((F.col("n_train") < hot_least) & (F.col("token") != F.lit(bytes(END)))).select("token", "n_train")
     order = [F.desc("n_train"), F.col("token")]
-    at = materialize(cold.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "lm-symbol-order")
+    at = materialize(cold.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "lm-symbol-order", tidy=True)
     part = F.shiftright("_at", 33).alias("_part")
     begin, starts = first, []
     for r in sorted(at.groupBy(part).count().collect()):
@@ -80,6 +82,7 @@ def number(tokens: DataFrame, least: float, hot_least: int, first: int) -> tuple
     starts = tokens.sparkSession.createDataFrame(starts, "_part long, _begin long")
     symbol = F.col("n_train") >= least
     ids = at.withColumn("_part", part).join(F.broadcast(starts), "_part").select("token", "n_train", F.when(symbol, F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+    ids._scratch = at._scratch
     levels = sorted(map(tuple, at.filter(symbol).groupBy("n_train").count().collect()), reverse=True)
     return ids, levels
 
@@ -468,16 +471,21 @@ def _sum_rows(shared, least: float, parts_out: int):
     return run
 
 
-def _clean(spark) -> None:
-    """Let Spark delete shuffles that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
-
-
 def name(rows: DataFrame, ids: DataFrame, symbols: Symbols, fresh: int) -> DataFrame:
-    """The rows with the symbols and sums of the tokens that were listed with them, as a written table."""
+    """The rows with the symbols and sums of the tokens that were listed with them, as written tables."""
+    weighed = rows.select(F.explode(F.array_repeat("_row", (F.col("n_tokens") / 256 + 1).cast("int"))).alias("_row"))
+    cuts = sorted(set(weighed.agg(F.percentile_approx("_row", [i / _PARTS for i in range(1, _PARTS)])).first()[0] or ()))
+    parts = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.filter(F.col("_row") > low)
+        parts.append(_name_rows(part if high is None else part.filter(F.col("_row") <= high), ids, symbols, fresh))
+    named, *more = parts
+    for x in more:
+        named = named.unionByName(x)
+    return named
+
+
+def _name_rows(rows: DataFrame, ids: DataFrame, symbols: Symbols, fresh: int) -> DataFrame:
     listed = rows.filter(F.size("cold") > 0).select("_row", F.posexplode(F.arrays_zip("cold", "cold_n")).alias("k", "c")).select("_row", "k", F.col("c.cold").alias("token"), F.col("c.cold_n").alias("n"))
     known, symbol = F.col("n_train") > 0, F.col("id").isNotNull()
     met = listed.join(ids.hint("merge"), "token").select(
@@ -490,7 +498,7 @@ def name(rows: DataFrame, ids: DataFrame, symbols: Symbols, fresh: int) -> DataF
     lists = [F.coalesce(F.col(f"named.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("k", "int"), ("id", "bigint"))]
     named = named.select("_row", "_id", "_mine", "n_tokens", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums], "symbols", *lists)
     kind = rows.schema["_id"].dataType.simpleString()
-    return materialize(named.mapInArrow(lean(_name(symbols.other)), f"_row long, _id {kind}, _mine boolean, n_tokens long, n_known long, base double, share double, symbols array<int>"), "lm-named")
+    return materialize(named.mapInArrow(lean(_name(symbols.other)), f"_row long, _id {kind}, _mine boolean, n_tokens long, n_known long, base double, share double, symbols array<int>"), "lm-named", tidy=True)
 
 
 def score_rows(rows: DataFrame, symbols: Symbols, n_all: int, least: float) -> list[DataFrame]:
@@ -507,7 +515,7 @@ def score_rows(rows: DataFrame, symbols: Symbols, n_all: int, least: float) -> l
     cells = None
     if len(routes.spans):
         counted = rows.filter("_mine").select("symbols").mapInArrow(lean(_count_large(sc.broadcast(routes), parts)), _PACKED)
-        cells = materialize(_summed(counted, "cell", "n"), "lm-large")
+        cells = materialize(_summed(counted, "cell", "n"), "lm-large", tidy=True)
         for r in cells.groupBy(F.expr(f"cell div {symbols.base}").alias("large")).agg(F.sum("n").alias("n")).collect():
             routes.seen[r["large"]] = int(r["n"])
     shared, out, rounds = sc.broadcast(routes), [], min(_ROUNDS, buckets)
@@ -516,14 +524,7 @@ def score_rows(rows: DataFrame, symbols: Symbols, n_all: int, least: float) -> l
         if cells is not None:
             dealt = dealt.unionByName(cells.filter(F.col("n") >= least).mapInArrow(lean(_deliver(shared, rounds, turn)), _DEALT))
         summed = dealt.repartition(buckets // rounds // 16 + 1, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sum_rows(shared, least, parts)), _PACKED)
-        out.append(materialize(_summed(summed, "_row", "lp"), "lm-sums"))
-        del dealt, summed
-        _clean(spark)
+        out.append(materialize(_summed(summed, "_row", "lp"), "lm-sums", tidy=True))
+    if cells is not None:
+        forget(cells)
     return out
-
-
-def finish(rows: DataFrame) -> None:
-    """Delete a table that was read for the last time, and shuffles with it."""
-    spark = rows.sparkSession
-    forget(rows)
-    _clean(spark)

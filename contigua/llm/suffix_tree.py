@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contigua.llm.common import fold_of, id_and_text, lean
-from contigua.runtime import materialize
+from contigua.runtime import forget, materialize
 
 END = b"\n"
 #: Distinct tokens that a task gathers before it hands them over.
@@ -196,7 +196,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fold:
 def token_table(marked: DataFrame) -> DataFrame:
     """``token``, ``n_all``, ``n_train`` of every distinct token, written to the shared folder."""
     part = marked.select("_mine", "_text").mapInArrow(lean(_gather(_GATHER)), "token binary, n_all long, n_train long")
-    return materialize(part.groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train")), "lm-tokens")
+    return materialize(part.groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train")), "lm-tokens", tidy=True)
 
 
 def alphabet_of(tokens: DataFrame, n_train: int, depth: int, least: float) -> Alphabet:
@@ -270,7 +270,7 @@ def encode(marked: DataFrame, tokens: DataFrame, alphabet: Alphabet, n_train: in
     shared = marked.sparkSession.sparkContext.broadcast((at, alphabet.other, np.log10(n + 1), share, (n > 0).astype(np.int64), late))
     kind = marked.schema["_id"].dataType.simpleString()
     rows = marked.select("_id", "_mine", "_text").mapInArrow(lean(_encode(shared)), f"_id {kind}, _mine boolean, symbols array<int>, n_tokens long, n_known long, base double, share double, cold array<binary>, cold_n array<long>")
-    return materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-symbols")
+    return materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-symbols", tidy=True)
 
 
 def _counts(shared, d: int, buckets: int):
@@ -408,8 +408,10 @@ def _by_buckets(marked: DataFrame, tokens: DataFrame, facts, fresh: int, least:
     ids, levels = buckets.number(tokens, least, hot_least, alphabet.other)
     symbols = buckets.Symbols(alphabet, levels, facts["n"], fresh)
     listed = encode(marked, tokens, alphabet, facts["n"], fresh, 0, late=True)
+    forget(tokens)
     rows = buckets.name(listed, ids, symbols, fresh)
-    buckets.finish(listed)
+    forget(listed)
+    forget(ids)
     lp, *more = buckets.score_rows(rows, symbols, facts["n_all"], least)
     for x in more:
         lp = lp.unionByName(x)

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from contigua.llm import suffix_buckets
 from contigua.llm import suffix_tree as st
+from pyspark.sql import functions as F
 from texts import rows
 
 HOW = {"depth": 3, "least_share": 2e-3}
@@ -85,6 +87,35 @@ def test_buckets_against_brute_force(docs, monkeypatch, hot, bucket):
         assert g == pytest.approx(w, abs=2e-5)
 
 
+def test_buckets_leave_no_shuffles_and_name_rows_in_parts(spark, docs, monkeypatch):
+    """Disk holds no shuffle of a table that is written, and never those of more than a share of the rows that are named."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for f in files.getAllFiles().mkString("\n").split("\n") if (x := f.rsplit("/", 1)[-1]).startswith("shuffle_") and x.endswith(".data")}
+    write, left, named = suffix_buckets.materialize, {}, []
+
+    def materialize(df, name, **how):
+        before = shuffles()
+        out = write(df, name, **how)
+        end = time.time() + 5
+        while (new := shuffles() - before) and time.time() < end:
+            time.sleep(0.1)
+        left[name] = new
+        if name == "lm-named":
+            named.append(out.agg(F.sum("n_tokens")).first()[0])
+        return out
+
+    monkeypatch.setattr(st, "_SENT", 0)
+    monkeypatch.setattr(st, "materialize", materialize)
+    monkeypatch.setattr(suffix_buckets, "materialize", materialize)
+    many = docs
+    for _ in range(4):
+        many = many.unionByName(docs)
+    assert st.score(many, hot_tokens=0, **HOW).count() == 5 * len(rows())
+    assert {"lm-tokens", "lm-symbol-order", "lm-symbols", "lm-named", "lm-sums"} <= left.keys()
+    assert not any(left.values())
+    assert len(named) == 2 and max(named) < 0.7 * sum(named)
+
+
 def test_no_context_is_too_rare_in_a_large_corpus(spark, monkeypatch):
     """A passage that occurs twice is known however large the corpus is, by default: its contexts aren't a share of it."""
     rng = np.random.default_rng(5)
