@@ -58,3 +58,29 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
        sha256(coalesce(said, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from d left join hits using (doc_id) left join items using (doc_id)
 """
+
+SQL["op11_filter_audit"] = r"""
+with l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels where doc_id is not null group by doc_id),
+t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+d as materialized (select part, len(ws) < 100 as a, 100 * len(list_distinct(ws)) < 80 * len(ws) as b,
+      100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+      coalesce(doc_id > min(doc_id) over (partition by text), false) as e, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+      from t left join l using (doc_id)),
+cells as materialized (select part, [x for x in [case when a then 'A' end, case when b then 'B' end, case when c then 'C' end, case when d then 'D' end, case when e then 'E' end] if x is not null] as fails,
+          count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from d group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e
+           where b.x <> a.x and c.x not in (a.x, b.x) and d.x not in (a.x, b.x, c.x) and e.x not in (a.x, b.x, c.x, d.x)),
+steps as (select filter_order, s as step, filter_order[s] as own, string_split(filter_order[1:s - 1], '') as before from orders, (select unnest([1, 2, 3, 4, 5]) as s)),
+r as (select part, filter_order, step, own,
+      sum(n) filter (not list_has_any(fails, before) and not list_contains(fails, own)) as kept,
+      sum(n) filter (not list_has_any(fails, before) and list_contains(fails, own)) as removed,
+      sum(n) filter (list_has_any(fails, before) and list_contains(fails, own)) as redundant,
+      sum(n) filter (fails = [own]) as unique_fails,
+      sum(good) filter (not list_has_any(fails, before) and list_contains(fails, own)) as good_lost,
+      sum(toxic) filter (not list_has_any(fails, before) and list_contains(fails, own)) as toxic_lost
+      from steps, cells group by all),
+z as (select part, filter_order, step, own, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+      coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost from r)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from z
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contigua.llm import bpe, decontaminate, langid, quality, secret_scan, simhash, suffix_tree, token_counts, toxicity, training_order
+from contigua.llm import bpe, decontaminate, filter_audit, langid, quality, secret_scan, simhash, suffix_tree, token_counts, toxicity, training_order
 from contigua.llm.common import table
 from contigua.runtime import scratch_path, ship
 
@@ -61,6 +61,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 120 orders of the five filters, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        op1_token_counts, op2_quality_rules, op3_toxicity, op4_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op8_language_id, op9_decontamination, op10_lm_scoring, pipeline,
+        op1_token_counts, op2_quality_rules, op3_toxicity, op4_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op8_language_id, op9_decontamination, op10_lm_scoring, op11_filter_audit, pipeline,
     ]
     return {f.__name__: _shipped(f) for f in named}
 
