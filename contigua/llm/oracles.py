@@ -102,6 +102,6 @@ near as materialized (select distinct a.word, b.word as other from dels a join d
       union select d.word, w.word from dels d join w on d.rest = w.word union select w.word, d.word from dels d join w on d.rest = w.word),
 best as (select word, count(*) as n_near, arg_min(other, row(-n, other)) as other, max(n) as form_n from (select near.word, other, n from near join w on w.word = other) group by word),
 f as materialized (select word, case when form_n >= 5 * n then other end as form, n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 5 * n then form_n end as form_n from w left join best using (word)),
-walk as (select word, word as at, 0 as hop from f union all select walk.word, f.form, hop + 1 from walk join f on f.word = walk.at where f.form is not null)
-select word, form, root, n, n_near, form_n from f join (select word, arg_max(at, hop) as root from walk group by word) using (word)
+walk as (select word, word as here, 0 as hop from f union all select walk.word, f.form, hop + 1 from walk join f on f.word = walk.here where f.form is not null)
+select word, form, root, n, n_near, form_n from f join (select word, arg_max(here, hop) as root from walk group by word) using (word)
 """
