@@ -105,3 +105,15 @@ f as materialized (select word, case when form_n >= 5 * n then other end as form
 walk as (select word, word as here, 0 as hop from f union all select walk.word, f.form, hop + 1 from walk join f on f.word = walk.here where f.form is not null)
 select word, form, root, n, n_near, form_n from f join (select word, arg_max(here, hop) as root from walk group by word) using (word)
 """
+
+SQL["op12_embedding_near_dedup"] = """
+with recursive v as materialized (select row_number() over () as i, vec_id, label, embedding::double[] as e from embeddings),
+good as materialized (select i, vec_id, label, list_transform(e, lambda x: x / m) as e from (select *, list_max(list_transform(e, lambda x: abs(x))) as m from v
+      where label is not null and len(e) > 0 and not list_contains(list_transform(e, lambda x: x is null or not isfinite(x)), true)) where m > 0),
+unit as materialized (select i, vec_id, label, list_transform(e, lambda x: x / n) as e from (select *, sqrt(list_dot_product(e, e)) as n from good)),
+pairs as materialized (select a.i as a, b.i as b, b.vec_id from unit a join unit b on a.label = b.label and len(a.e) = len(b.e) and a.i <> b.i and list_dot_product(a.e, b.e) >= 0.98),
+reach as (select i as a, i as b from v union select reach.a, pairs.b from reach join pairs on reach.b = pairs.a),
+low as (select a, min(vec_id) as component_id from reach join v on v.i = reach.b group by a),
+n as (select a, count(*) as n_links from pairs group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept from v join low on low.a = v.i left join n on n.a = v.i
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contigua.llm import bpe, decontaminate, filter_audit, langid, quality, secret_scan, simhash, spelling, suffix_tree, token_counts, toxicity, training_order
+from contigua.llm import bpe, decontaminate, embedding_dedup, filter_audit, langid, quality, secret_scan, simhash, spelling, suffix_tree, token_counts, toxicity, training_order
 from contigua.llm.common import table
 from contigua.runtime import scratch_path, ship
 
@@ -66,6 +66,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal labels with a cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the corpus with its form and root."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -79,7 +84,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        op1_token_counts, op2_quality_rules, op3_toxicity, op4_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op8_language_id, op9_decontamination, op10_lm_scoring, op11_filter_audit, op13_spelling_variants, pipeline,
+        op1_token_counts, op2_quality_rules, op3_toxicity, op4_training_order, op5_simhash_near_dedup, op6_bpe_codec, op7_secret_scan, op8_language_id, op9_decontamination, op10_lm_scoring, op11_filter_audit, op12_embedding_near_dedup, op13_spelling_variants,
+        pipeline,
     ]
     return {f.__name__: _shipped(f) for f in named}
 
