@@ -102,6 +102,7 @@ def test_graph_finds_isolated_pairs_and_a_ball_wider_than_the_beam():
     adj = flat_graph.build(x, degree=24, beam=48)
     assert adj.shape == (1500, 24) and all(len(set(a[a >= 0])) == (a >= 0).sum() and i not in a for i, a in enumerate(adj))
     found = {(int(a), int(b)) for q, v in flat_graph.range_search(x, adj, 0.98, beam=48) for a, b in zip(q, v)}
+    found |= {(b, a) for a, b in found}
     true = {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.98)) if a != b}
     assert len(found & true) >= 0.99 * len(true) and all(x[a] @ x[b] >= 0.9799 for a, b in found)
 
