@@ -20,7 +20,7 @@ def _graph(spark: SparkSession, sf_dir: str, reduced: bool = True) -> tuple[Data
     return u.select(F.col("read_idx").alias("id"), "seq"), materialize(e, "edges")
 
 
-_DEG = "dg as (select u.read_idx as id, count(x) filter (xs = 0) as s, count(x) filter (xs = 1) as a from u left join irr on u.read_idx = x group by 1)"
+_DEG = "dg as materialized (select u.read_idx as id, count(x) filter (xs = 0) as s, count(x) filter (xs = 1) as a from u left join irr on u.read_idx = x group by 1)"
 
 
 @query(f"""with {_IRR}, {_DEG} select count(*)::bigint as n_vertex, sum(s + a)::bigint as n_edges, count(*) filter (s = 0 and a = 0)::bigint as n_island,
@@ -36,7 +36,7 @@ def graph_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_IRR}, {_DEG}, tip as (select id from dg where s = 0 or a = 0)
-select x, xs, y, ys, lab::int as lab from irr where x not in (select id from tip) and y not in (select id from tip)""")
+select x, xs, y, ys, lab::int as lab from irr anti join tip on x = tip.id anti join tip t2 on y = t2.id""")
 def graph_trim_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trim(*_graph(spark, sf_dir), rounds=1)[1].select("x", "xs", "y", "ys", "lab")
 
@@ -48,7 +48,7 @@ def graph_transitive_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.transitive_reduction(_graph(spark, sf_dir, reduced=False)[1]).select("x", "xs", "y", "ys", "lab")
 
 
-@query(f"""with {_OVL}, p as (select x, xs, max(ov) as best, min(ov) as worst from ov group by all)
+@query(f"""with {_OVL}, p as materialized (select x, xs, max(ov) as best, min(ov) as worst from ov group by all)
 select o.x, o.xs, o.y, o.ys, (100 - ov)::int as lab from ov o join p a on o.x = a.x and o.xs = a.xs join p b on b.x = o.y and b.xs = 1 - o.ys
 where ov = a.worst and ov = b.worst and a.best - ov > 10 and b.best - ov > 10""")
 def graph_small_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,8 +39,8 @@ def index_to_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.in_index_order(R.derive(spark, sf_dir), "read")
 
 
-@query(f"""with {READS}, w as (select '$' || left(seq, 31) as word from reads union select right(seq, 31) || '$' from reads union select substr(seq, 20, 31) from reads),
-o as (select o.*, p = length(seq) - 30 as at_end from {occ('reads', 31)} o join reads using (read_idx)),
+@query(f"""with {READS}, w as materialized (select '$' || left(seq, 31) as word from reads union select right(seq, 31) || '$' from reads union select substr(seq, 20, 31) from reads),
+o as materialized (select o.*, p = length(seq) - 30 as at_end from {occ('reads', 31)} o join reads using (read_idx)),
 n as (select word, count(*) as n from w join o on replace(word, '$', '') = kmer where (not starts_with(word, '$') or p = 1) and (not ends_with(word, '$') or at_end) group by word)
 select word, coalesce(n, 0)::bigint as n from w left join n using (word)""")
 def anchored_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +112,11 @@ hp as (select read_idx from (select read_idx, max(n) as top, min(case when n = b
        from (select *, max(n) over (partition by read_idx) as best from cn) group by read_idx) where short <> 0 and own < 10 and own::double / top < 0.1)"""
 
 
-@query(f"""with {ERR}, {_RUNS.format(t='err')}, {_homopolymer_sql('err', 51)}, dup as (select read_idx from (select read_idx, row_number() over (partition by {canon('seq')} order by read_idx) as r from err) where r > 1),
-c as {_BOTH('err', 27)}, solid as (select read_idx from {occ('err', 27)} o join c on {canon('o.kmer')} = c.kmer group by read_idx having min(n) > 3),
-dg as (select read_idx from err where greatest(length(seq) - length(replace(seq, 'A', '')), length(seq) - length(replace(seq, 'C', '')), length(seq) - length(replace(seq, 'G', '')), length(seq) - length(replace(seq, 'T', ''))) > 0.6 * length(seq))
-select read_idx, case when read_idx in (select read_idx from dup) then 'duplicate' when read_idx not in (select read_idx from solid) then 'kmer'
-when read_idx in (select read_idx from hp) then 'homopolymer' when read_idx in (select read_idx from dg) then 'degenerate' else 'pass' end as verdict from err""")
+@query(f"""with {ERR}, {_RUNS.format(t='err')}, {_homopolymer_sql('err', 51)}, dup as materialized (select read_idx from (select read_idx, row_number() over (partition by {canon('seq')} order by read_idx) as r from err) where r > 1),
+c as materialized {_BOTH('err', 27)}, solid as materialized (select read_idx from {occ('err', 27)} o join c on {canon('o.kmer')} = c.kmer group by read_idx having min(n) > 3),
+dg as materialized (select read_idx from err where greatest(length(seq) - length(replace(seq, 'A', '')), length(seq) - length(replace(seq, 'C', '')), length(seq) - length(replace(seq, 'G', '')), length(seq) - length(replace(seq, 'T', ''))) > 0.6 * length(seq))
+select read_idx, case when dup.read_idx is not null then 'duplicate' when solid.read_idx is null then 'kmer' when hp.read_idx is not null then 'homopolymer' when dg.read_idx is not null then 'degenerate' else 'pass' end as verdict
+from err left join dup using (read_idx) left join solid using (read_idx) left join (select distinct read_idx from hp) hp using (read_idx) left join dg using (read_idx)""")
 def filter_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = materialize(R.with_errors(R.derive(spark, sf_dir)).select("read_idx", "seq"), "error-reads")
     return qc.check(reads, 27, 3, share=0.6)

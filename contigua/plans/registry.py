@@ -23,15 +23,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 #: Common table expressions of the derived sequences, for the SQL side.
 DS = """
-ds as (select doc_id, source, translate(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]', '', 'g'),
+ds as materialized (select doc_id, source, translate(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]', '', 'g'),
        'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents)"""
 READS = DS + """,
-reads as (select doc_id * 1000000 + t as read_idx, doc_id, source, substr(seq, (t * 40 + 1)::bigint, 100) as seq
+reads as materialized (select doc_id * 1000000 + t as read_idx, doc_id, source, substr(seq, (t * 40 + 1)::bigint, 100) as seq
           from (select *, unnest(generate_series(0, (length(seq) - 100) // 40)) as t from ds where length(seq) >= 100))"""
 ERR = READS + """,
 eb as (select read_idx, p, case when (read_idx * 7919 + p * 104729) % 500 = 0 then translate(substr(seq, p, 1), 'ACGT', 'CGTA') else substr(seq, p, 1) end as b,
        chr((33 + (read_idx * 31 + p * 17) % 41)::int) as q from (select *, unnest(generate_series(1, length(seq))) as p from reads)),
-err as (select read_idx, string_agg(b, '' order by p) as seq, string_agg(q, '' order by p) as qual from eb group by read_idx)"""
+err as materialized (select read_idx, string_agg(b, '' order by p) as seq, string_agg(q, '' order by p) as qual from eb group by read_idx)"""
 
 
 def rc(s: str) -> str:
