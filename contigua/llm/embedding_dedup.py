@@ -22,7 +22,7 @@ from contigua.operators.graph import connect
 from contigua.runtime import forget, join_unique, materialize, ship
 
 #: Nodes that a shard is cut down to, nodes of a k-means sample (about), clusters that one round makes at most.
-SHARD, SAMPLE, FAN = 4000, 4096, 64
+SHARD, SAMPLE, FAN = 800, 4096, 256
 #: Shards of a node in every round, rounds of cutting, queries that recall is measured by (about).
 OVERLAP, ROUNDS, AUDIT = 2, 8, 512
 #: Recall below which the search is run again with a wider beam and more shards a node.
@@ -65,11 +65,17 @@ def _matrix(vec: pa.Array, kind: str = "<f8") -> np.ndarray:
     return np.stack([np.frombuffer(v, kind) for v in vec.to_pylist()])
 
 
-def _centroids(t: pa.Table) -> pa.Table:
-    """The centroids of one cell, fitted on its sample (four clusters at least, so that a cell always gets smaller)."""
-    x, n = _matrix(t["vec"]).astype(np.float32), t["n"][0].as_py()
-    c = flat_graph.k_means(x, int(min(FAN, max(4, 2 * n // SHARD))))
-    return pa.table({"shard": [t["shard"][0].as_py()], "centroids": pa.array([c.astype("<f4").tobytes()], pa.binary())})
+def _centroids(overlap: int, limit: int):
+    """Centroids of one cell, fitted on its sample: as many as leave six tenths of ``limit`` to a shard, four at least, so
+    that a cell always gets smaller."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        n = t["n"][0].as_py()
+        c = flat_graph.k_means(_matrix(t["vec"]).astype(np.float32), min(FAN, max(4, -(-10 * overlap * n // (6 * limit)))))
+        return pa.table({"shard": [t["shard"][0].as_py()], "centroids": pa.array([c.astype("<f4").tobytes()], pa.binary())})
+
+    return run
 
 
 def _dealt(overlap: int):
@@ -122,7 +128,7 @@ def shards(nodes: DataFrame, overlap: int = OVERLAP, limit: int = SHARD, rounds:
             part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit)).cast("string")
             return done.unionByName(over.select("node", F.concat_ws("#", "shard", part).alias("shard"), "home", "vec"))
         drawn = F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n")
-        centroids = over.filter(drawn).select("shard", "vec", "n").groupBy("shard").applyInArrow(_centroids, "shard string, centroids binary")
+        centroids = over.filter(drawn).select("shard", "node", "vec", "n").groupBy("shard").applyInArrow(_centroids(overlap, limit), "shard string, centroids binary")
         # a cell is dealt out to as many tasks as it has parts of ``limit`` nodes; its centroids go to each
         parts = F.ceil(F.col("n") / limit).cast("int")
         head = materialize(centroids, "shard-centroids").join(big.hint("merge"), "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("boolean").alias("home"), F.lit(None).cast("binary").alias("vec"), "centroids")
