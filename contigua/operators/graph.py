@@ -178,12 +178,20 @@ def simple_arcs(edges: DataFrame) -> DataFrame:
 
 
 def unitigs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``head``, ``head_st``, ``n_vertices``, ``seq``: maximal chains without branches, one of each pair of strands.
+    """``head``, ``head_st``, ``n_vertices``, ``seq``: maximal chains without branches, one of each pair of strands."""
+    return chains(vertices, edges).select(F.shiftright("head", 1).alias("head"), (F.col("head") % 2).cast("int").alias("head_st"), "n_vertices", "seq")
 
-    Pointer jumping finds for every oriented vertex its chain's head and the bases in between. Rings have no head; they
-    are cut at their smallest oriented vertex.
+
+def chains(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``head`` and ``last`` (oriented: id * 2 + st), ``n_vertices``, ``coverage``, ``seq`` of the maximal chains without branches, one
+    of each pair of strands. The coverage is the sum of that of the vertices (1 each, where they have none).
+
+    Pointer jumping finds for every oriented vertex its chain's head and the bases in between; a head that very many
+    vertices point to is a hot key of ``join_unique``. Rings have no head; they are cut at their smallest oriented vertex.
     """
-    both = vertices.select("id", F.lit(0).alias("st"), "seq").unionByName(vertices.select("id", F.lit(1).alias("st"), S.reverse_complement(F.col("seq")).alias("seq")))
+    cover = F.col("coverage") if "coverage" in vertices.columns else F.lit(1).cast("long")
+    own = vertices.select("id", "seq", cover.alias("coverage"))
+    both = own.withColumn("st", F.lit(0)).unionByName(own.select("id", S.reverse_complement(F.col("seq")).alias("seq"), "coverage", F.lit(1).alias("st")))
     node = lambda i, s: (F.col(i) * 2 + F.col(s)).alias
     arcs = materialize(simple_arcs(edges).select(node("x", "xs")("a"), node("y", "ys")("b"), "lab"), "arcs")
     back = arcs.select(F.col("b").alias("v"), F.col("a").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("a").alias("low"))
@@ -193,7 +201,7 @@ def unitigs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     span = 1
     while span < 2 * total:
         far = state.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
-        new = state.join(far, "up").select("v", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low"), (F.col("steps2") > 0).alias("moved"))
+        new = join_unique(state, far, "up").select("v", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low"), (F.col("steps2") > 0).alias("moved"))
         state = materialize(new, "chain")
         span *= 2
         if state.filter("moved").isEmpty():
@@ -206,26 +214,40 @@ def unitigs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         # the ring of the other strand has the turned vertices: cut the arc into the smallest one, and that arc's twin
         cut = inner.filter("low % 2 = 0").select("low").distinct()
         open_arcs = arcs.join(cut.select(F.col("low").alias("b")), "b", "left_anti").join(cut.select((F.col("low") + 1).alias("a")), "a", "left_anti").select(F.shiftright("a", 1).alias("x"), (F.col("a") % 2).cast("int").alias("xs"), F.shiftright("b", 1).alias("y"), (F.col("b") % 2).cast("int").alias("ys"), "lab")
-        return unitigs(vertices, materialize(open_arcs, "open-arcs"))
-    labelled = placed.join(arcs.select(F.col("b").alias("v"), "lab"), "v", "left").join(both.select((F.col("id") * 2 + F.col("st")).alias("v"), "seq"), "v")
+        return chains(vertices, materialize(open_arcs, "open-arcs"))
+    labelled = placed.join(arcs.select(F.col("b").alias("v"), "lab"), "v", "left").join(both.select((F.col("id") * 2 + F.col("st")).alias("v"), "seq", "coverage"), "v")
     piece = F.when(F.col("steps") == 0, F.col("seq")).otherwise(F.right("seq", F.col("lab").cast("int")))
-    chains = labelled.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("steps", piece.alias("piece")))).alias("p"), F.count("*").alias("n_vertices"), F.max_by("v", "steps").alias("last"))
+    found = labelled.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("steps", piece.alias("piece")))).alias("p"), F.count("*").alias("n_vertices"), F.sum("coverage").alias("coverage"), F.max_by("v", "steps").alias("last"))
     # the other strand's chain starts where this one ends, turned round
     turned = F.when(F.col("last") % 2 == 0, F.col("last") + 1).otherwise(F.col("last") - 1)
-    return chains.filter(F.col("head") <= turned).select(F.shiftright("head", 1).alias("head"), (F.col("head") % 2).cast("int").alias("head_st"), "n_vertices", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq"))
+    return found.filter(F.col("head") <= turned).select("head", "last", "n_vertices", "coverage", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq"))
+
+
+def compact(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with every chain as one vertex (``id`` of its head, ``seq``, ``coverage``) and the edges between chains.
+
+    A chain lies in the orientation of its head; the ring that a chain closes is an edge of it to itself.
+    """
+    found = materialize(chains(vertices, edges), "chains")
+    turn = lambda c: F.when(F.col(c) % 2 == 0, F.col(c) + 1).otherwise(F.col(c) - 1)
+    name, length = F.shiftright("head", 1), F.length("seq").alias("n")
+    # oriented vertices that a chain ends or starts with, on either strand, with the chain and its strand there
+    ends = found.select(F.col("last").alias("a"), name.alias("x2"), F.lit(0).alias("xs2")).unionByName(found.select(turn("head").alias("a"), name.alias("x2"), F.lit(1).alias("xs2")))
+    starts = found.select(F.col("head").alias("b"), name.alias("y2"), F.lit(0).alias("ys2"), length).unionByName(found.select(turn("last").alias("b"), name.alias("y2"), F.lit(1).alias("ys2"), length))
+    sized = edges.join(vertices.select(F.col("id").alias("y"), F.length("seq").alias("own")), "y")
+    cut = sized.select((F.col("x") * 2 + F.col("xs")).alias("a"), (F.col("y") * 2 + F.col("ys")).alias("b"), (F.col("own") - F.col("lab")).alias("ov"))
+    between = cut.join(ends, "a").join(starts, "b").select(F.col("x2").alias("x"), F.col("xs2").alias("xs"), F.col("y2").alias("y"), F.col("ys2").alias("ys"), (F.col("n") - F.col("ov")).alias("lab"))
+    return found.select(name.alias("id"), "seq", "coverage"), materialize(between.distinct(), "chain-edges")
 
 
 def rename_contigs(unitigs_: DataFrame, name: str = "contig") -> DataFrame:
     """Numbered names, longest first, then by sequence; ranks come from range partitions, not from one task."""
     ordered = unitigs_.withColumn("n", F.length("seq")).repartitionByRange(F.desc("n"), F.asc("seq")).sortWithinPartitions(F.desc("n"), "seq")
     ordered = materialize(ordered.withColumn("_part", F.spark_partition_id()), "contigs")
-    sizes = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}
-    start, first = 0, {}
-    for p in sorted(sizes):
-        first[p], start = start, start + sizes[p]
-    offsets = F.create_map(*[F.lit(x) for p, n in first.items() for x in (p, n)]) if first else F.create_map(F.lit(0), F.lit(0))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(F.desc("n"), "seq")) - 1 + offsets[F.col("_part")]
-    return ordered.select(F.concat(F.lit(f"{name}-"), rank.cast("string")).alias("id"), "seq", "n_vertices")
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("size"))  # a row a partition
+    first = sizes.select("_part", (F.sum("size").over(W.orderBy("_part")) - F.col("size")).alias("first"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(F.desc("n"), "seq")) - 1 + F.col("first")
+    return ordered.join(F.broadcast(first), "_part").select(F.concat(F.lit(f"{name}-"), rank.cast("string")).alias("id"), "seq", "n_vertices")
 
 
 def clusters(vertices: DataFrame, edges: DataFrame, min_size: int = 2, max_size: int | None = None) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contigua.functions import sequence as S
-from contigua.operators import correct, dedup, graph, overlap
+from contigua.operators import bubbles, correct, dedup, graph, overlap
 from contigua.operators import reads as R
 from contigua.plans.read_queries import _BOTH, _IRR, _OVL, _unique
-from contigua.plans.registry import ERR, canon, occ, query
+from contigua.plans.registry import ERR, canon, occ, query, rc
 from contigua.runtime import materialize
 
 
@@ -80,17 +80,101 @@ def cluster_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clusters(*_graph(spark, sf_dir), min_size=2)
 
 
-@query()
+#: Chains of an edge table ``irr`` over vertices ``ori`` (v = id * 2 + st, seq): walks along arcs without branches, from heads and, on
+#: rings, from the smallest vertex of each; of both strands the one whose head is not larger than the turned end.
+_CHAINS = """ori as materialized (select read_idx * 2 as v, seq from u union all select read_idx * 2 + 1, {rc} from u),
+arc as materialized (select a, b, lab from (select x * 2 + xs as a, y * 2 + ys as b, lab, x, y, count(*) over (partition by x, xs) as n_out, count(*) over (partition by y, ys) as n_in from irr) where n_out = 1 and n_in = 1 and x <> y),
+up as (select v, v as top, 0 as k from ori anti join arc on arc.b = ori.v union all select arc.b, up.top, k + 1 from up join arc on arc.a = up.v),
+ringed as materialized (select v from ori anti join up using (v)),
+low as (select v, v as here from ringed union select low.v, arc.b from low join arc on arc.a = low.here),
+cut as materialized (select v from (select v, min(here) as m from low group by v) where v = m),
+turned as materialized (select v, xor(v, 1) as w from cut),
+arc2 as materialized (select arc.* from arc anti join (select v from cut where v % 2 = 0) c on arc.b = c.v anti join (select w from turned where v % 2 = 0) t on arc.a = t.w),
+wk as (select v, v as head, 0 as steps, 0::bigint as lab from ori anti join arc2 on arc2.b = ori.v union all select arc2.b, wk.head, steps + 1, arc2.lab from wk join arc2 on arc2.a = wk.v),
+ch as materialized (select head, arg_max(v, steps) as last, count(*) as n_vertices, string_agg(case when steps = 0 then seq else right(seq, lab::int) end, '' order by steps) as seq from wk join ori using (v) group by head),
+chain as materialized (select * from ch where head <= xor(last, 1))""".format(rc=rc("seq"))
+
+
+@query(f"with recursive {_IRR}, {_CHAINS} select (head // 2)::bigint as head, (head % 2)::int as head_st, n_vertices, seq from chain")
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unitigs(*_graph(spark, sf_dir))
 
 
-@query()
+@query(f"""with recursive {_IRR}, {_CHAINS} select 'contig-' || (row_number() over (order by length(seq) desc, seq, head) - 1) as id, n_vertices, length(seq)::int as length, seq from chain""")
 def assemble_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads, duplicates out, overlaps, irreducible edges, chains: contigs by length."""
     return graph.rename_contigs(graph.unitigs(*_graph(spark, sf_dir))).select("id", "n_vertices", F.length("seq").alias("length"), "seq")
 
 
+#: The graph of chains: ``cv`` (id, seq, coverage) and ``ce`` (oriented a, b, lab).
+_COMPACT = f"""{_CHAINS},
+cv as materialized (select head // 2 as id, seq, n_vertices as coverage from chain),
+co as (select last as a, head as c, 0 as st from chain union all select xor(head, 1), head, 1 from chain),
+ci as (select head as b, head as c, 0 as st, length(seq) as n from chain union all select xor(last, 1), head, 1, length(seq) from chain),
+ce as materialized (select distinct co.c // 2 * 2 + co.st as a, ci.c // 2 * 2 + ci.st as b, n - (100 - lab) as lab from irr join co on co.a = x * 2 + xs join ci on ci.b = y * 2 + ys)"""
+
+
+def _chain_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v, e = graph.compact(*_graph(spark, sf_dir))
+    return materialize(v, "chain-vertices"), e
+
+
+@query(f"with recursive {_IRR}, {_COMPACT} select (a // 2)::bigint as x, (a % 2)::int as xs, (b // 2)::bigint as y, (b % 2)::int as ys, lab::bigint as lab from ce")
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the chains of the graph, with the bases that each adds."""
+    return _chain_graph(spark, sf_dir)[1].select("x", "xs", "y", "ys", F.col("lab").cast("long").alias("lab"))
+
+
+#: Walks from forks, all rounds of them; a walk that can't grow stays.
+_VARIANTS = f"""{_COMPACT},
+fork as (select a from ce group by a having count(*) > 1),
+gw as (select a as bubble, [a] as path, []::bigint[] as labels, 0::bigint as dist, 0 as round, true as open from fork
+       union all
+       select gw.bubble, case when b is null then path else list_append(path, b) end, case when b is null then labels else list_append(labels, lab) end, dist + coalesce(lab, 0), round + 1, b is not null
+       from gw left join ce on open and ce.a = path[-1] and dist + ce.lab <= 2000 and not list_contains(list_transform(path, lambda v: v // 2), ce.b // 2) where round < 8),
+sz as (select bubble, round, count(*) as n, count(*) filter (open) as n_open from gw group by all),
+pv as (select bubble, round, v // 2 as v, i from (select bubble, round, unnest(path[2:]) as v, unnest(range(len(path) - 1)) as i from gw)),
+mt as (select bubble, round, v, max(i) as i from pv join sz using (bubble, round) group by bubble, round, v, n having count(*) = n),
+fm as (select bubble, round, meet from (select *, row_number() over (partition by bubble order by round) as nth from (select bubble, round, arg_min(v, row(i, v)) as meet from mt group by bubble, round)) where nth = 1),
+ended as (select bubble, min(round) as r from sz where n > 500 or n_open = 0 group by bubble),
+cw as materialized (select distinct gw.bubble, path[1:list_position(list_transform(path, lambda v: v // 2), meet)] as path, labels[1:list_position(list_transform(path, lambda v: v // 2), meet) - 1] as labels
+       from gw join fm using (bubble, round) left join ended using (bubble) where r is null or fm.round <= r),
+gd as materialized (select bubble, min(path[-1]) as last from cw group by bubble having count(*) between 2 and 10 and min(path[-1]) = max(path[-1])),
+mb as materialized (select distinct bubble, v // 2 as v from (select bubble, unnest(path) as v from cw semi join gd using (bubble))),
+tp as (select bubble, bubble as a from gd union all select bubble, xor(last, 1) from gd union all
+       select bubble, unnest([v * 2, v * 2 + 1]) from mb join gd using (bubble) where v <> bubble // 2 and v <> last // 2),
+bad as (select distinct bubble from (select distinct bubble, b // 2 as v from tp join ce using (a)) anti join mb using (bubble, v)),
+vw as materialized (select cw.* from cw semi join gd using (bubble) anti join bad using (bubble)),
+on_ as materialized (select c.id * 2 as v, seq from cv c union all select c.id * 2 + 1, {rc("seq")} from cv c),
+st as (select bubble, path, labels, string_agg(case when i = 1 then on_.seq else right(on_.seq, labels[i - 1]::int) end, '' order by i) as seq, coalesce(sum(coverage) filter (i > 1 and i < len(path)), 0)::bigint as coverage
+       from (select bubble, path, labels, unnest(path) as v, unnest(generate_series(1, len(path))) as i from vw) join on_ using (v) join cv on cv.id = v // 2 group by bubble, path, labels),
+ln as (select st.bubble, st.path, st.labels, st.seq, st.coverage, length(s.seq) as n_start, length(f.seq) - labels[1] as ov1, length(e.seq) - labels[-1] as ov2, length(e.seq) as n_last from st join on_ s on s.v = path[1] join on_ f on f.v = path[2] join on_ e on e.v = path[-1]),
+rg as (select *, n_start - min(ov1) over (partition by bubble) as lo, length(seq) - (n_last - min(ov2) over (partition by bubble)) as hi, row_number() over (partition by bubble order by coverage desc, path) - 1 as rank from ln)"""
+
+
+@query(f"""with recursive {_IRR}, {_VARIANTS}
+select bubble::bigint as bubble, rank::int as rank, len(path)::int as n_vertices, coverage, seq, case when hi > lo then substr(seq, (lo + 1)::bigint, (hi - lo)::bigint) else '' end as region from rg""")
+def variant_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of the graph of chains that part and meet again, of up to 2000 added bases and 8 edges, and what varies between them."""
+    v, e = _chain_graph(spark, sf_dir)
+    w = bubbles.variant_strings(bubbles.variant_walks(e, 2000, 10, 8), v)
+    return w.select("bubble", F.col("rank").cast("int").alias("rank"), F.size("path").alias("n_vertices"), "coverage", "seq", "region")
+
+
+@query()
+def bubble_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants that one round of smoothing writes, the kept walk and those that differ from it little enough."""
+    return bubbles.smooth_round(*_chain_graph(spark, sf_dir))[2]
+
+
+@query()
+def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole assembly: chains, ten trim rounds, chains, three rounds of smoothing, chains; contigs by length."""
+    v, _, _ = bubbles.assemble(*_graph(spark, sf_dir))
+    named = graph.rename_contigs(v.withColumnRenamed("coverage", "n_vertices"))
+    return named.select("id", F.col("n_vertices").alias("coverage"), F.length("seq").alias("length"), "seq")
+
+
 @query(f"""with {ERR}, c as {_BOTH('err', 31)}, l as (select n from {occ('err', 31)} o join c on {canon('o.kmer')} = c.kmer),
 h as (select n, count(*) as kmers from l where n <= 1000 group by n), d as (select i as n, coalesce(kmers, 0) as kmers from generate_series(0, 1000) t(i) left join h on i = h.n),
 mode as (select n as mode from d where n >= 5 order by kmers desc, n limit 1), x as (select n, kmers, lead(kmers) over (order by n) as after from d)
