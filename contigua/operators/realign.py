@@ -140,20 +140,21 @@ def log_likelihoods(pairs: list[tuple[str, str | None, str]], quality: int = 20)
     return out.tolist()
 
 
-def window_reads(haplotypes: DataFrame, reads: DataFrame, k: int = 31, max_reads: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """``window``, ``read_idx``, ``seq``, ``qual`` (turned to the haplotypes' strand) of the reads that share a k-mer with any haplotype
-    of a window, and ``window``, ``n_reads`` of the windows with more than ``max_reads`` of them, which get none.
-
-    A read that fits both ways comes twice. k-mers meet in an equi-join; only numbers go through it, and the depth of a
-    window is known before any sequence is fetched.
-    """
-    # positions stand for (window, haplotype): their k-mers are taken as those of reads
+def window_hits(haplotypes: DataFrame, reads: DataFrame, k: int = 31) -> DataFrame:
+    """``window``, ``read_idx``, ``turned``: reads that share a k-mer with any haplotype of a window, on its strand or turned; a read
+    that fits both ways comes twice. Only numbers go through the join, whatever the depth."""
+    # (window, haplotype) pairs stand for reads: their k-mers are taken in the same way
     h = haplotypes.select(F.struct("window", "hap").alias("read_idx"), "seq")
     wanted = occurrences(h, k).select(F.col("read_idx.window").alias("window"), "c", (F.col("kmer") == F.col("c")).alias("f")).distinct()
     have = occurrences(reads.select("read_idx", "seq"), k).select("read_idx", "c", (F.col("kmer") == F.col("c")).alias("g"))
-    hits = materialize(wanted.join(have.hint("merge"), "c").select("window", "read_idx", (F.col("f") != F.col("g")).alias("turned")).distinct(), "window-hits")
-    depth = hits.groupBy("window").agg(F.count("*").alias("n_reads"))
-    deep = depth.filter(F.col("n_reads") > max_reads)
+    return wanted.join(have.hint("merge"), "c").select("window", "read_idx", (F.col("f") != F.col("g")).alias("turned")).distinct()
+
+
+def window_reads(haplotypes: DataFrame, reads: DataFrame, k: int = 31, max_reads: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """``window``, ``read_idx``, ``turned``, ``seq``, ``qual`` (on the haplotypes' strand) of the reads of each window, and ``window``,
+    ``n_reads`` of the windows with more than ``max_reads`` of them, which get none. Sequences are fetched for the others only."""
+    hits = materialize(window_hits(haplotypes, reads, k), "window-hits")
+    deep = hits.groupBy("window").agg(F.count("*").alias("n_reads")).filter(F.col("n_reads") > max_reads)
     some = hits.join(deep.select("window"), "window", "left_anti")
     qual = F.col("qual") if "qual" in reads.columns else F.lit(None).cast("string")
     whole = some.join(reads.select("read_idx", "seq", qual.alias("qual")), "read_idx")
