@@ -231,8 +231,8 @@ def _packed(held, parts: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]]), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "keys", "values"])
 
 
-def _unpacked(key: str, value: str):
-    """Sums of values by key over all rows of a bucket; rows come sorted by bucket."""
+def _unpacked(key: str, value: str, keep=None):
+    """Sums of values by key over all rows of a bucket, as far as ``keep`` (of keys and sums) says; rows come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -242,6 +242,9 @@ def _unpacked(key: str, value: str):
         def flush() -> Iterator[pa.RecordBatch]:
             keys, at = np.unique(np.frombuffer(b"".join(held[0]), "<i8"), return_inverse=True)
             values = np.bincount(at, np.frombuffer(b"".join(held[1]), "<f8"))
+            if keep is not None:
+                ok = keep(keys, values)
+                keys, values = keys[ok], values[ok]
             for i in range(0, len(keys), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000]), pa.array(values[i : i + 50_000])], names=[key, value])
 
@@ -259,12 +262,13 @@ def _unpacked(key: str, value: str):
     return run
 
 
-def _summed(packed: DataFrame, key: str, value: str) -> DataFrame:
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_unpacked(key, value)), f"{key} long, {value} double")
+def _summed(packed: DataFrame, key: str, value: str, keep=None) -> DataFrame:
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_unpacked(key, value, keep)), f"{key} long, {value} double")
 
 
 def _count_large(shared, parts: int):
-    """Counts of the cells (large context, next symbol), as far as this task has them."""
+    """Counts of the cells (large context, next symbol), as far as this task has them. What a context has in all stands under the
+    start of a text, which is no place's next symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -277,8 +281,9 @@ def _count_large(shared, parts: int):
                 up = routes.find(d, up, before)
                 at = np.flatnonzero(up >= 0)
                 cell, n = np.unique(up[at] * routes.symbols.base + nexts[at], return_counts=True)
-                held.append((cell, n))
-                size += len(cell)
+                whole, of_all = np.unique(up[at], return_counts=True)
+                held += [(cell, n), (whole * routes.symbols.base + routes.symbols.start, of_all)]
+                size += len(cell) + len(whole)
             if size >= _DEAL:
                 yield from _packed(held, parts)
                 held, size = [], 0
@@ -515,14 +520,18 @@ def score_rows(rows: DataFrame, symbols: Symbols, n_all: int, least: float) -> l
     cells = None
     if len(routes.spans):
         counted = rows.filter("_mine").select("symbols").mapInArrow(lean(_count_large(sc.broadcast(routes), parts)), _PACKED)
-        cells = materialize(_summed(counted, "cell", "n"), "lm-large", tidy=True)
-        for r in cells.groupBy(F.expr(f"cell div {symbols.base}").alias("large")).agg(F.sum("n").alias("n")).collect():
+        base, start = symbols.base, symbols.start
+        # cells of fewer occurrences make no state: they end where they are summed
+        cells = materialize(_summed(counted, "cell", "n", lambda cell, n: (n >= least) | (cell % base == start)), "lm-large", tidy=True)
+        in_all = F.col("cell") % base == start
+        for r in cells.filter(in_all).select(F.expr(f"cell div {base}").alias("large"), "n").toLocalIterator():
             routes.seen[r["large"]] = int(r["n"])
+        few = cells.filter(~in_all)
     shared, out, rounds = sc.broadcast(routes), [], min(_ROUNDS, buckets)
     for turn in range(rounds):
         dealt = rows.select("_row", "_mine", "symbols").mapInArrow(lean(_deal(shared, rounds, turn)), _DEALT)
         if cells is not None:
-            dealt = dealt.unionByName(cells.filter(F.col("n") >= least).mapInArrow(lean(_deliver(shared, rounds, turn)), _DEALT))
+            dealt = dealt.unionByName(few.mapInArrow(lean(_deliver(shared, rounds, turn)), _DEALT))
         summed = dealt.repartition(buckets // rounds // 16 + 1, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sum_rows(shared, least, parts)), _PACKED)
         out.append(materialize(_summed(summed, "_row", "lp"), "lm-sums", tidy=True))
     if cells is not None:
