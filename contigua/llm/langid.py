@@ -135,16 +135,18 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, folds: int = 4, held_fold: int = 2) -> Model:
     """Fit on about ``per_lang`` labelled documents of each language outside the held-out fold, chosen by a hash of the id.
 
-    The sample is bounded by ``per_lang`` and the number of languages; its texts are taken whole.
+    The sample is bounded by ``per_lang`` and the number of languages; its texts are taken whole. Of rows that repeat an id
+    and a language the least text is taken, before any reaches the driver.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang"))
     own = slim.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.coalesce(fold_of("_id", folds) != held_fold, F.lit(False)))
-    counts = {r["_lang"]: r["n"] for r in own.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["_lang"]: r["n"] for r in own.select("_lang", "_id").distinct().groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(["und"])
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])[F.col("_lang")]
     draw = F.pmod(F.xxhash64(F.lit("langid"), "_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = sorted((r["_lang"], r["_id"], r["_text"]) for r in own.filter(draw < share).select("_id", "_text", "_lang").toLocalIterator())
+    drawn = own.filter(draw < share).groupBy("_lang", "_id").agg(F.min("_text").alias("_text"))
+    picked = sorted((r["_lang"], r["_id"], r["_text"]) for r in drawn.toLocalIterator())
     langs = sorted(counts)
     return Model(langs).fit([(t, langs.index(k)) for k, _, t in picked])
 

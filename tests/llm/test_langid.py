@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from contigua.llm import langid
 
@@ -42,6 +43,17 @@ def test_awkward_texts(docs, none, spark):
     assert langid.identify(digits, model).first().lang_pred == "und"
 
 
+def test_a_repeated_id_is_one_text_of_the_sample(spark, monkeypatch):
+    docs, rows = corpus(spark, 60)
+    own = next(r for r in rows if r[2] == "bb" and zlib.crc32(str(r[0]).encode()) % 4 != 2)
+    many = spark.range(100_000).selectExpr(f"{own[0]}L as doc_id", f"concat('{own[1]} ', id) as text", "'bb' as lang")
+    taken = []
+    monkeypatch.setattr(langid.Model, "fit", lambda self, texts: taken.extend(texts) or self)
+    langid.train(docs.unionByName(many))
+    trained = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(taken) == len(trained) and len({t for t, _ in taken}) == len(trained)
+
+
 def test_long_texts_go_by_ranges(spark, monkeypatch):
     """No n-gram is lost or made up where a range ends, whatever stands there."""
     docs, rows = corpus(spark, 60)
