@@ -113,9 +113,14 @@ def structure_errors(edges: DataFrame, irreducible: DataFrame) -> DataFrame:
     return out
 
 
-def small_repeat_edges(edges: DataFrame, seq_length: int, min_diff: int = 20) -> DataFrame:
-    """Edges that are the shortest overlap of both their ends where each has one longer by more than ``min_diff``."""
-    e = edges.withColumn("ov", seq_length - F.col("lab"))
+def small_repeat_edges(edges: DataFrame, seq_length: int | DataFrame, min_diff: int = 20) -> DataFrame:
+    """Edges that are the shortest overlap of both their ends where each has one longer by more than ``min_diff``.
+
+    ``seq_length``: of all vertices, or the table of them (``id``, ``seq``)."""
+    if isinstance(seq_length, int):
+        e = edges.withColumn("ov", seq_length - F.col("lab"))
+    else:
+        e = edges.join(seq_length.select(F.col("id").alias("y"), F.length("seq").alias("_n")), "y").withColumn("ov", F.col("_n") - F.col("lab")).drop("_n")
     per = e.groupBy("x", "xs").agg(F.max("ov").alias("best"), F.min("ov").alias("worst"))
     here = e.join(per, ["x", "xs"])
     there = per.select(F.col("x").alias("y"), (1 - F.col("xs")).alias("ys"), F.col("best").alias("best2"), F.col("worst").alias("worst2"))

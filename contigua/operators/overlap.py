@@ -41,14 +41,21 @@ def one_way(edges: DataFrame) -> DataFrame:
     return edges.filter((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("xs") <= 1 - F.col("ys"))))
 
 
-def irreducible(edges: DataFrame, lengths: int) -> DataFrame:
+def irreducible(edges: DataFrame, lengths: int | DataFrame) -> DataFrame:
     """Edges that no two others make up: x to z goes if there is a y with label(xy) + label(yz) = label(xz).
 
-    ``lengths``: length of the reads; a label is what the second read adds to the first.
+    ``lengths``: length of the reads, or a table ``id``, ``n`` of their lengths; a label is what the second read adds to the
+    first. Paths that lead farther than the longest label of their start are no rows of the shuffle.
     """
-    e = edges.select("x", "xs", "y", "ys", (lengths - F.col("ov")).alias("lab"))
+    if isinstance(lengths, int):
+        e = edges.select("x", "xs", "y", "ys", (lengths - F.col("ov")).alias("lab"))
+    else:
+        e = edges.join(lengths.select(F.col("id").alias("y"), F.col("n").cast("int").alias("_n")), "y").select("x", "xs", "y", "ys", (F.col("_n") - F.col("ov")).alias("lab"))
+    far = e.groupBy("x", "xs").agg(F.max("lab").alias("far"))
+    first = e.join(far, ["x", "xs"])
     second = e.select(F.col("x").alias("y"), F.col("xs").alias("ys"), F.col("y").alias("z"), F.col("ys").alias("zs"), F.col("lab").alias("lab2"))
-    composed = e.join(second, ["y", "ys"]).select("x", "xs", F.col("z").alias("y"), F.col("zs").alias("ys"), (F.col("lab") + F.col("lab2")).alias("lab")).distinct()
+    paths = first.join(second, ["y", "ys"]).filter(F.col("lab") + F.col("lab2") <= F.col("far"))
+    composed = paths.select("x", "xs", F.col("z").alias("y"), F.col("zs").alias("ys"), (F.col("lab") + F.col("lab2")).alias("lab")).distinct()
     return e.join(composed, ["x", "xs", "y", "ys", "lab"], "left_anti")
 
 

@@ -60,6 +60,35 @@ def graph_duplicate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_of_duplicates(_graph(spark, sf_dir, reduced=False)[1])
 
 
+@query(f"""with {_OVL}, e as (select x, xs, y from ov), d as materialized (select x as id from e group by x having count(*) > 6), g as materialized (select id from d union select y from e semi join d on e.x = d.id)
+select x, xs, y, ys, (100 - ov)::int as lab from ov anti join g on x = g.id anti join g g2 on y = g2.id""")
+def graph_without_super_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.without_super_repeats(_graph(spark, sf_dir, reduced=False)[1], 6).select("x", "xs", "y", "ys", "lab")
+
+
+@query(f"with {_OVL} select distinct x as id from (select x, xs from ov group by x, xs having count(*) > 3)")
+def graph_super_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices with more than three edges on a side."""
+    return graph.super_repeats(_graph(spark, sf_dir, reduced=False)[1], 3)
+
+
+@query(f"""with {_IRR}, u2 as (select y as x, 1 - ys as xs, x as y, 1 - xs as ys from e)
+select x, xs, y, ys, 'no twin' as error from e anti join u2 using (x, xs, y, ys) union all select x, xs, y, ys, 'missing' from irr anti join e using (x, xs, y, ys)
+union all select x, xs, y, ys, 'extra' from e anti join irr using (x, xs, y, ys)""")
+def graph_structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All overlaps held against the irreducible ones."""
+    u = materialize(_unique(spark, sf_dir), "unique-reads")
+    o = materialize(overlap.exact_overlaps(u), "overlaps")
+    return graph.structure_errors(o, overlap.irreducible(o, 100))
+
+
+@query(f"""with {_OVL}, r as (select x, xs, ov, row_number() over (partition by x, xs order by ov desc, y, ys) as n from ov)
+select x, xs, max(ov)::int as longest, (max(ov) - coalesce(max(ov) filter (n = 2), 0))::int as ahead from r where n <= 2 group by x, xs""")
+def graph_longest_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = overlap.exact_overlaps(materialize(_unique(spark, sf_dir), "unique-reads"))
+    return graph.longest_overlaps(o).select("x", "xs", F.col("longest").cast("int").alias("longest"), F.col("ahead").cast("int").alias("ahead"))
+
+
 @query(f"""with recursive {_IRR}, hops as (select 0::bigint as id, 0 as hop union select y, hop + 1 from hops join irr on x = id where hop < 5)
 select id, min(hop)::int as hop from hops group by id""")
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:

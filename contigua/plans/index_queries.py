@@ -10,7 +10,7 @@ from contigua.functions import statistics as D
 from contigua.operators import dedup, index, kmers, pileup, preqc, qc
 from contigua.operators import reads as R
 from contigua.plans.read_queries import _BOTH
-from contigua.plans.registry import DS, ERR, READS, canon, occ, query, rc
+from contigua.plans.registry import DS, ERR, ORACLES, READS, canon, occ, query, rc
 from contigua.runtime import materialize
 
 
@@ -122,6 +122,15 @@ def filter_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.check(reads, 27, 3, share=0.6)
 
 
+@query(f"""with {ERR}, v as ({ORACLES['filter_reads']}) select verdict, count(*) as reads, sum(length(seq))::bigint as bases from v join err using (read_idx) group by verdict""")
+def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the read filter keeps and drops: its two outputs, counted."""
+    reads = materialize(R.with_errors(R.derive(spark, sf_dir)).select("read_idx", "seq"), "error-reads")
+    kept, dropped = qc.split(reads, materialize(filter_reads(spark, sf_dir), "verdicts"))
+    both = kept.select(F.lit("pass").alias("verdict"), "seq").unionByName(dropped.select("verdict", "seq"))
+    return both.groupBy("verdict").agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"))
+
+
 @query(f"with {ERR}, {_RUNS.format(t='err')}, {_homopolymer_sql('err', 51)} select read_idx from hp")
 def filter_homopolymer(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = materialize(R.with_errors(R.derive(spark, sf_dir)).select("read_idx", "seq"), "error-reads")

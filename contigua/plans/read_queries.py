@@ -55,6 +55,25 @@ def preprocess_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _preprocessed(spark, sf_dir).select("read_idx", "seq", "qual")
 
 
+@query(f"with {ERR} select read_idx, substr(seq, 1, 60) as seq, substr(qual, 1, 60) as qual from err")
+def hard_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads cut down to their first 60 bases."""
+    r = R.with_errors(R.derive(spark, sf_dir))
+    return R.preprocess(r, hard_clip=60, dust_threshold=None, primer_check=False).select("read_idx", "seq", "qual")
+
+
+@query(f"""with {ERR} select a.read_idx, levenshtein(a.seq, b.seq)::int as to_next from err a join err b on b.read_idx = a.read_idx + 1""")
+def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits between every read and the next tile of its document."""
+    from contigua.operators import align
+    from contigua.runtime import ship
+
+    ship(spark)
+    r = R.with_errors(R.derive(spark, sf_dir)).select("read_idx", "seq")
+    then = r.select((F.col("read_idx") - 1).alias("read_idx"), F.col("seq").alias("then"))
+    return r.join(then, "read_idx").select("read_idx", align.edit_distance_udf("seq", "then").alias("to_next"))
+
+
 @query(f"""with {ERR}, {_TRIM},
 m as (select r.read_idx, r.read_idx // 2 as pair_id, (pp.read_idx is not null)::int as kept from reads r left join pp using (read_idx)),
 b as (select pair_id, sum(kept) as n, count(*) as of_all from m group by pair_id)
@@ -197,6 +216,23 @@ def overlap_irreducible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.irreducible(overlap.exact_overlaps(_unique(spark, sf_dir)), 100)
 
 
+@query(f"""with {ERR}, {_TRIM}, u1 as materialized (select read_idx, seq from (select *, row_number() over (partition by {canon('seq')} order by read_idx) as r from pp) where r = 1),
+w1 as materialized (select seq, p, substr(seq, p, 31) as k from (select seq, unnest(generate_series(1, length(seq) - 30)) as p from u1)), h1 as materialized (select read_idx, seq as o from u1 union all select read_idx, {rc('seq')} from u1),
+ct as materialized (select distinct read_idx from h1 join w1 on left(o, 31) = k and length(w1.seq) > length(o) and substr(w1.seq, p, length(o)) = o), u as materialized (select * from u1 anti join ct using (read_idx)),
+o as materialized (select read_idx as id, 0 as st, seq from u union all select read_idx, 1, {rc('seq')} from u),
+hd as materialized (select id as y, st as ys, seq as t, left(seq, 45) as w from o where length(seq) >= 45),
+tl as materialized (select id as x, st as xs, substr(seq, p) as tail, substr(seq, p, 45) as w from (select *, unnest(generate_series(2, length(seq) - 44)) as p from o where length(seq) > 45)),
+e as materialized (select x, xs, y, ys, any_value(length(t)) - max(length(tail)) as lab from tl join hd using (w) where x <> y and length(t) > length(tail) and left(t, length(tail)) = tail group by x, xs, y, ys),
+cmp as materialized (select distinct c.x, c.xs, c.y, c.ys from e a join e b on a.y = b.x and a.ys = b.xs join e c on c.x = a.x and c.xs = a.xs and c.y = b.y and c.ys = b.ys and c.lab = a.lab + b.lab)
+select x, xs, y, ys, lab::int as lab from e anti join cmp using (x, xs, y, ys)""")
+def overlap_irreducible_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Irreducible overlaps of trimmed reads, whose lengths differ."""
+    from contigua.runtime import materialize
+
+    reads = materialize(dedup.remove_duplicates(_preprocessed(spark, sf_dir).select("read_idx", "seq")), "trimmed-reads")
+    return overlap.irreducible(overlap.exact_overlaps(reads), reads.select(F.col("read_idx").alias("id"), F.length("seq").alias("n")))
+
+
 @query(f"""with {_UNIQ}, occs as (select distinct read_idx, {canon('kmer')} as c from {occ('u', 61)}),
 cold as (select c from occs group by c having count(*) between 2 and 200), w as (select * from occs semi join cold using (c))
 select a.read_idx as x, b.read_idx as y, count(*)::bigint as shared from w a join w b on a.c = b.c and a.read_idx < b.read_idx group by all""")
