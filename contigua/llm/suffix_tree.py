@@ -1,6 +1,6 @@
 """LM scoring with a probabilistic suffix tree over tokens.
 
-Symbols are the tokens that have ``least_share`` of all tokens, and one for all others, which are too rare for any context
+Symbols are the tokens that occur twice and have ``least_share`` of all tokens, and one for all others, which are too rare for any context
 with them to be frequent; contexts are runs of up to ``depth`` symbols before a token, the start of the text included. A
 context is a candidate when it has ``least_share`` too, and is retained when what follows it diverges from what its next
 shorter retained suffix gives. It keeps the counts of those next symbols that follow it with ``least_share``; the mass of
@@ -8,9 +8,10 @@ all others, and one count for each kept symbol (Witten and Bell), is spread as t
 in the longest retained suffix of what comes before it. Among the other tokens the root's distribution holds: counts, and
 one symbol for all that training hasn't seen, with the mass of what training has seen once (Good and Turing).
 
-``least_share`` is the method's least probability. Whatever has it can't be more than ``1 / least_share`` in number, which
-bounds the alphabet, the contexts and the kept cells (context, next symbol) of a level at every size of the corpus: they
-go to every task. Counts below it, of all documents, are gathered in tables of the shared folder and grow with them.
+Two occurrences are the least at every size; ``least_share`` is a further bound, 0 unless asked for. So symbols, contexts
+and kept cells (context, next symbol) grow with the corpus: trees of a bounded number of them go to every task, larger
+ones are learned and read in buckets (``suffix_buckets``), with the same scores. With a share above 0 no level can have more
+than ``1 / least_share`` of them. Counts of all documents are gathered in tables of the shared folder and grow with them.
 """
 
 from __future__ import annotations
