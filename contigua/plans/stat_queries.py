@@ -127,7 +127,15 @@ def scaffold_best_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaffold.best_next(scaffold.twins(_links(_contigs(spark, sf_dir))))
 
 
-@query()
+#: The error function's complement, for z >= 0, as a rational approximation of fixed coefficients.
+_TAIL = """0.5 * (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))) * exp(-w * w)"""
+
+
+@query(f"""with {DS}, {_LINKS}, {_ASTAT}, wd as materialized (select x, xs, y, dist, sd * 20 as sd from tw),
+pr as (select a.y as a, b.y as b, (b.dist - a.dist) / sqrt(a.sd * a.sd + b.sd * b.sd) / sqrt(2) as w from wd a join wd b on a.x = b.x and a.xs = b.xs and (a.dist < b.dist or (a.dist = b.dist and a.y < b.y))),
+am as (select a, b from (select *, 1 / (1 + 0.3275911 * w) as t from pr) where {_TAIL} > 0.01)
+select distinct case when ca.copy_number < cb.copy_number or (ca.copy_number = cb.copy_number and a > b) then a else b end as id
+from am join ast ca on a = ca.id join ast cb on b = cb.id where ca.copy_number + cb.copy_number < 3.0""")
 def scaffold_polymorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _contigs(spark, sf_dir)
     wide = _links(c).withColumn("sd", F.col("sd") * 20)
