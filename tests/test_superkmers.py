@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from contigua.operators import kmers, preqc, superkmers
+from contigua.operators import index, kmers, preqc, superkmers
 
 SWAP = str.maketrans("ACGT", "TGCA")
 
@@ -93,3 +93,21 @@ def test_windows_travel_together(spark):
     reads = table(spark, ["".join(r.choice("ACGT") for _ in range(100)) for _ in range(5000)])
     held = superkmers.pieces(reads, 27).agg(F.sum(F.length("blob"))).first()[0]
     assert held < 2 * 5000 * 74
+
+
+def test_reads_holding(spark, seqs):
+    k = 30
+    words = [seqs[4][1:31], rc(seqs[6][:30]), "ACGT", seqs[10][:30], "G" * 30]
+    held = {canon(w) for w in words}
+    want = [i for i, s in enumerate(seqs) if any(canon(w) in held for w in windows(s or "", k))]
+    got = superkmers.reads_holding(table(spark, seqs), spark.createDataFrame([(w,) for w in words], "word string"), k)
+    assert sorted(r.read_idx for r in got.collect()) == want
+
+
+def test_best_neighbour(spark, seqs):
+    k, n = 4, strands(seqs[:6], 4)
+    words = ["ACGA", "TTTT", "ACGT", "ACG", seqs[5][:4]]
+    level = lambda w: sum(n.get(canon(w), (0, 0))) * (1 + (w == rc(w)))
+    want = {w: max(level(w[:i] + b + w[i + 1 :]) for i in range(k) for b in "ACGT" if b != w[i]) if len(w) == k else 0 for w in words}
+    got = index.best_neighbour(spark.createDataFrame([(w,) for w in words], "word string"), table(spark, seqs[:6]), k)
+    assert {r.word: r.most for r in got.collect()} == want
