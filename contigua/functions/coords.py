@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contigua.functions import batches as B
 from contigua.functions import sequence as S
 
 
@@ -72,4 +73,4 @@ def part(seq: Column, c: Column) -> Column:
 def differences(a: Column, b: Column, first: Column, second: Column, is_rc: Column) -> Column:
     """Differing bases of the matched parts."""
     other = part(b, second)
-    return S.hamming(part(a, first), F.when(is_rc, S.reverse_complement(other)).otherwise(other))
+    return B.differing_udf(part(a, first), F.when(is_rc, S.reverse_complement(other)).otherwise(other))
