@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contigua.runtime import write_in_order
+
 #: Flag bits of the format.
 UNMAPPED, REVERSE, SECONDARY, SUPPLEMENTARY = 4, 16, 256, 2048
 
@@ -35,6 +37,5 @@ def sam_lines(alignments: DataFrame) -> DataFrame:
 
 def write_sam(alignments: DataFrame, references: DataFrame, path: str) -> None:
     """Header (``references``: ref, ref_length) and alignments as files whose names sort in that order."""
-    head = references.select(F.lit(0).alias("part"), F.concat(F.lit("@SQ\tSN:"), "ref", F.lit("\tLN:"), F.col("ref_length").cast("string")).alias("value"))
-    rows = head.unionByName(sam_lines(alignments).select(F.lit(1).alias("part"), "value"))
-    rows.repartitionByRange("part").sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)
+    head = references.select(F.concat(F.lit("@SQ\tSN:"), "ref", F.lit("\tLN:"), F.col("ref_length").cast("string")).alias("value"))
+    write_in_order([head, sam_lines(alignments)], path)
