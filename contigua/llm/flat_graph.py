@@ -14,6 +14,8 @@ import numpy as np
 BLOCK, WIDTH = 256, 4
 #: Squared distances below this can't be told apart in single precision: such vectors don't cover each other.
 NOISE = 2e-6
+#: Up to so many vectors the cosines of all of them are held at once.
+DENSE = 2048
 
 
 def medoid(x: np.ndarray) -> int:
@@ -63,16 +65,20 @@ def beam_search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, start: int,
         ids[live], sims[live], done[live] = all_ids[here, best], all_sims[here, best], all_done[here, best]
 
 
-def robust_prune(x: np.ndarray, at: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def robust_prune(x: np.ndarray, at: np.ndarray, cand: np.ndarray, degree: int, alpha: float, cos: np.ndarray | None = None) -> np.ndarray:
     """Out-neighbours of the vectors ``at``, one row each, of the candidates ``cand`` (-1: none): the nearest one is taken
-    and all that lie nearer to it, by ``alpha``, than to the vector are passed over, until ``degree`` are taken."""
+    and all that lie nearer to it, by ``alpha``, than to the vector are passed over, until ``degree`` are taken. ``cos``:
+    cosines of all vectors, where they are few enough."""
     q = len(at)
     cand = np.sort(cand, axis=1)
     cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
     cand[cand == at[:, None]] = -1
-    v = x[cand]
-    own = np.where(cand >= 0, 2 - 2 * np.einsum("qkd,qd->qk", v, x[at]), np.inf)
-    between = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))
+    if cos is None:
+        v = x[cand]
+        own = np.where(cand >= 0, 2 - 2 * np.einsum("qkd,qd->qk", v, x[at]), np.inf)
+        between = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))
+    else:
+        own = np.where(cand >= 0, 2 - 2 * cos[at[:, None], cand], np.inf)
     out, rows = np.full((q, degree), -1), np.arange(q)
     for i in range(degree):
         best = np.argmin(own, axis=1)
@@ -80,7 +86,8 @@ def robust_prune(x: np.ndarray, at: np.ndarray, cand: np.ndarray, degree: int, a
         if not ok.any():
             break
         out[ok, i] = cand[rows, best][ok]
-        covered = alpha * alpha * between[rows, best] + NOISE <= own
+        apart = between[rows, best] if cos is None else 2 - 2 * cos[cand[rows, best][:, None], cand]
+        covered = alpha * alpha * apart + NOISE <= own
         covered[rows, best] = True
         own[covered] = np.inf
     return out
@@ -97,11 +104,11 @@ def _packed(heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, out
 
 
-def _adopt(x: np.ndarray, adj: np.ndarray, at: np.ndarray, cand: np.ndarray, alpha: float) -> None:
+def _adopt(x: np.ndarray, adj: np.ndarray, at: np.ndarray, cand: np.ndarray, alpha: float, cos: np.ndarray | None = None) -> None:
     """Give the vectors ``at`` neighbours out of ``cand`` and add the edges back, pruned where they are too many."""
     degree = adj.shape[1]
     for i in range(0, len(at), BLOCK):
-        adj[at[i : i + BLOCK]] = robust_prune(x, at[i : i + BLOCK], cand[i : i + BLOCK], degree, alpha)
+        adj[at[i : i + BLOCK]] = robust_prune(x, at[i : i + BLOCK], cand[i : i + BLOCK], degree, alpha, cos)
     heads, tails = adj[at].ravel(), np.repeat(at, degree)
     heads, back = _packed(heads[heads >= 0], tails[heads >= 0])
     wide = 4 * degree
@@ -115,19 +122,27 @@ def _adopt(x: np.ndarray, adj: np.ndarray, at: np.ndarray, cand: np.ndarray, alp
             both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
             full = (both >= 0).sum(1) > degree
             if full.any():
-                adj[m[full]] = robust_prune(x, m[full], both[full], degree, alpha)
+                adj[m[full]] = robust_prune(x, m[full], both[full], degree, alpha, cos)
             if (~full).any():
                 adj[m[~full]] = np.sort(both[~full], axis=1)[:, ::-1][:, :degree]
 
 
 def build(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: int = 1) -> np.ndarray:
-    """The adjacency of all vectors: inserted in batches of doubling size, then every vector searched and pruned once more."""
+    """The adjacency of all vectors. Up to ``DENSE`` of them are pruned once, of the ``beam`` nearest of each; more are inserted in
+    batches of doubling size, then every vector is searched and pruned once more."""
     n = len(x)
     adj = np.full((n, degree), -1)
     if n <= degree + 1:
         for i in range(n):
             adj[i, : n - 1] = np.delete(np.arange(n), i)
         return adj
+    if n <= DENSE:
+        cos = x @ x.T
+        others = cos.copy()
+        np.fill_diagonal(others, -np.inf)
+        beam = min(beam, n - 1)
+        _adopt(x, adj, np.arange(n), np.argpartition(-others, beam - 1, axis=1)[:, :beam], alpha, cos)
+        return adj
     start = medoid(x)
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[start], order[order != start]])
@@ -149,10 +164,14 @@ def range_search(x: np.ndarray, adj: np.ndarray, least: float, slack: float = 0.
     """Blocks of (query, vector) positions whose cosine is ``least`` or more, as far as the search finds them.
 
     Every vector is a query: a greedy search from the medoid fills its beam; then all vectors found within ``least`` less
-    ``slack`` are expanded, and what is found within that in turn, until nothing new is.
+    ``slack`` are expanded, and what is found within that in turn, until nothing new is. Up to ``DENSE`` vectors are
+    expanded from the query itself, whose place in the graph is known, all of a block in step.
     """
     if len(x) < 2:
         return
+    if len(x) <= DENSE:
+        yield from _expanded(x, adj, least, slack)
+        return
     start, n = medoid(x), len(x)
     for i in range(0, n, BLOCK):
         queries = x[i : i + BLOCK]
@@ -180,6 +199,25 @@ def range_search(x: np.ndarray, adj: np.ndarray, least: float, slack: float = 0.
             q, v, s = np.concatenate(new_q), np.concatenate(new_v), np.concatenate(new_s)
 
 
+def _expanded(x: np.ndarray, adj: np.ndarray, least: float, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n = len(x)
+    edge = np.zeros((n, n), np.float32)
+    edge[np.repeat(np.arange(n), adj.shape[1])[adj.ravel() >= 0], adj[adj >= 0]] = 1
+    for i in range(0, n, BLOCK):
+        cos = x[i : i + BLOCK] @ x.T
+        near = cos >= least - slack
+        front = np.zeros(cos.shape, bool)
+        front[np.arange(len(cos)), np.arange(i, i + len(cos))] = True
+        seen = front.copy()
+        while front.any():
+            q = np.flatnonzero(front.any(1))
+            front[q] = (front[q].astype(np.float32) @ edge > 0) & near[q] & ~seen[q]
+            seen |= front
+        seen[np.arange(len(cos)), np.arange(i, i + len(cos))] = False
+        q, v = np.nonzero(seen & (cos >= least - 1e-5))
+        yield q + i, v
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     """Unit centroids of at most ``k`` clusters of directions."""
     rng = np.random.default_rng(seed)

@@ -112,3 +112,19 @@ def test_prune_keeps_the_nearest_and_passes_over_what_it_covers():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     out = flat_graph.robust_prune(x, np.array([0]), np.array([[0, 1, 2, 3, 4, -1, 2]]), 3, 1.2)
     assert out.tolist() == [[1, 3, -1]] or out.tolist() == [[1, 3, 4]]
+
+
+def test_a_dense_shard_is_pruned_once_and_keeps_its_links(monkeypatch):
+    import numpy as np
+
+    from contigua.llm import flat_graph
+
+    monkeypatch.setattr(flat_graph, "beam_search", None)  # searches a vector at a time took most of the time
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(6, 32))
+    x = np.concatenate([c[rng.integers(0, 6, 240)] + 0.1 * rng.normal(size=(240, 32)), rng.normal(size=(160, 32))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    adj = flat_graph.build(x, degree=16)
+    got = {(int(a), int(b)) for q, v in flat_graph.range_search(x, adj, 0.97) for a, b in zip(q, v, strict=True)}
+    true = set(zip(*[i.tolist() for i in np.nonzero((x @ x.T >= 0.97) & ~np.eye(len(x), dtype=bool))], strict=True))
+    assert (adj >= 0).sum(1).max() <= 16 and len(got & true) >= 0.99 * len(true) > 0
