@@ -115,3 +115,16 @@ def test_ranks_move_rows_once_and_pairs_are_one_pass(spark):
     assert "Union" not in plan(sequences.unjoin_pairs(sequences.join_pairs(r)))
     reads = spark.createDataFrame([(1, "ACGG"), (2, "CCGT"), (3, "TTTT")], "read_idx long, seq string")
     assert {tuple(x) for x in dedup.firsts(reads).collect()} == {(1, 2), (3, 1)}
+
+
+def test_suffixes_travel_packed_in_the_order_of_their_texts(spark, monkeypatch):
+    kept, before = [], index.materialize
+    monkeypatch.setattr(index, "materialize", lambda df, *a, **k: kept.append(df.columns) or before(df, *a, **k))
+    rng = random.Random(8)
+    for letters in ("ACGT", "ACGTN"):
+        rows = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(12)))) for i in range(60)] + [(90, "AAAAAAAAA"), (91, "AAAA"), (92, "CAAAA" + letters[-1])]
+        got = index.suffix_order(spark.createDataFrame(rows, "read_idx long, seq string"), 1).orderBy("rank").collect()
+        want = sorted((s[p:], i, p + 1, s[p - 1] if p else "$") for i, s in rows for p in range(len(s)))
+        text = dict(rows)
+        assert [(text[r.read_idx][r.pos - 1 :], r.read_idx, r.pos, r.before) for r in got] == want and [r["rank"] for r in got] == list(range(len(want)))
+    assert all("suffix" not in c and "key" not in c for c in kept)
