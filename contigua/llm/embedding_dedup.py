@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: a robust-pruned flat graph over overlapping shards, searched by range from medoids, verified.
+"""Near-duplicate vectors: a robust-pruned flat graph over overlapping shards, searched by range from every vector, verified.
 
 Equal vectors of a label are one node. Nodes are dealt to shards by rounds of k-means on bounded samples, each node to
 its nearest centroid and its next ones too; every shard builds a graph of its own; a node's neighbours from all its shards
