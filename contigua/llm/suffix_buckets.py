@@ -1,10 +1,11 @@
 """The suffix tree of a corpus that is too large for the tree to go to every task: learned and read in buckets.
 
 All contexts of a place end with the token before it, so places dealt out by that token hold everything that the states of
-their contexts are made of: a bucket counts, tests and scores level by level, as the tree in memory does. Contexts of more
-than ``_BUCKET`` places, as a sample has it, are dealt out by the token before, so that no bucket grows with the corpus;
-their cells are counted ahead, over all texts, and come to each of the buckets. The sample only says what is dealt out how:
-the scores don't depend on it. Nothing but sums of texts leaves the buckets.
+their contexts are made of: a bucket counts, tests and scores level by level, as the tree in memory does. Contexts with
+more than ``_SHARE`` of all places, as a sample has it, are dealt out by the token before; their cells are counted ahead,
+over all texts, and come to each of the buckets. As it is a share, a larger corpus has no more of them, and their cells grow
+with its vocabulary; only beyond ``_MOST`` places, which a bucket must hold, a number counts. The sample only says what is
+dealt out how: the scores don't depend on it. Nothing but sums of texts leaves the buckets.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from contigua.llm.common import lean
 from contigua.llm.suffix_tree import END, Alphabet, _chunks, _diverge, _find
 from contigua.runtime import forget, materialize
 
-#: Places from which on a context is dealt out over several buckets; a bucket holds half as many, about.
+#: Twice the places of a bucket, about.
 _BUCKET = 300_000
+#: Share of all places from which on a context is dealt out over buckets of its own, and the places from which on it always is.
+_SHARE, _MOST = 1 / 500, 2_000_000
 #: Places that a task deals out at once, and sums that it holds.
 _DEAL = 1_000_000
 #: Places to a bucket of sums, about.
@@ -153,10 +156,11 @@ class Routes:
         import numpy as np
 
         up, base = np.full(len(before[0]), -1), self.symbols.base
+        most = min(len(up) * scale * _SHARE, _MOST)
         for d in range(1, self.symbols.depth + 1):
             ok = (up >= 0 if d > 1 else np.ones(len(up), bool)) & self.symbols.valid(before, d)
             keys, at, n = np.unique(np.maximum(up[ok], 0) * base + before[d - 1][ok], return_index=True, return_counts=True)
-            big = n * scale > _BUCKET
+            big = n * scale > most
             self.large[d], self.firsts[d + 1] = keys[big], self.firsts[d] + int(big.sum())
             places = np.flatnonzero(ok)[at[big]]
             whole = np.stack([x[places] if e < d else np.full(len(places), self.symbols.start) for e, x in enumerate(before)], axis=1).reshape(-1, len(before))

@@ -116,6 +116,26 @@ def test_buckets_leave_no_shuffles_and_name_rows_in_parts(spark, docs, monkeypat
     assert len(named) == 2 and max(named) < 0.7 * sum(named)
 
 
+def test_cells_counted_ahead_keep_their_share(docs, monkeypatch):
+    """Five times the texts have the same contexts counted ahead: these are told by their share, not by a number of places."""
+    write, ahead = suffix_buckets.materialize, []
+
+    def materialize(df, name, **how):
+        out = write(df, name, **how)
+        if name == "lm-large":
+            ahead.append(out.count())
+        return out
+
+    monkeypatch.setattr(st, "_SENT", 0)
+    monkeypatch.setattr(suffix_buckets, "_BUCKET", 300)
+    monkeypatch.setattr(suffix_buckets, "materialize", materialize)
+    five = docs
+    for _ in range(4):
+        five = five.unionByName(docs)
+    assert [st.score(x, **HOW).count() for x in (docs, five)] == [len(rows()), 5 * len(rows())]
+    assert len(ahead) == 2 and ahead[0] == ahead[1]
+
+
 def test_no_context_is_too_rare_in_a_large_corpus(spark, monkeypatch):
     """A passage that occurs twice is known however large the corpus is, by default: its contexts aren't a share of it."""
     rng = np.random.default_rng(5)
