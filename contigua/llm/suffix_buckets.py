@@ -14,17 +14,19 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contigua.llm.common import lean
-from contigua.llm.suffix_tree import END, Alphabet, _chunks, _diverge, _find
+from contigua.llm.suffix_tree import END, Alphabet, _chunks, _diverge, _find, listed_tokens
 from contigua.runtime import forget, materialize
 
 #: Twice the places of a bucket, about.
 _BUCKET = 300_000
 #: Share of all places from which on a context is dealt out over buckets of its own, and the places from which on it always is.
 _SHARE, _MOST = 1 / 500, 2_000_000
+#: Tokens in lists of chunks to a partition that ranks them, about.
+_RANKED = 400_000
 #: Places that a task deals out at once, and sums that it holds.
 _DEAL = 1_000_000
 #: Places to a bucket of sums, about.
@@ -72,51 +74,115 @@ class Symbols:
         return ok & (before[d - 2] != self.start) if d > 1 else ok
 
 
-def number(tokens: DataFrame, least: float, hot_least: int, first: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """``token``, ``n_train``, ``id`` (null: no symbol) of the tokens outside the alphabet, and the levels of their counts."""
-    cold = tokens.filter((F.col("n_train") < hot_least) & (F.col("token") != F.lit(bytes(END)))).select("token", "n_train")
-    order = [F.desc("n_train"), F.col("token")]
-    at = materialize(cold.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "lm-symbol-order", tidy=True)
-    part = F.shiftright("_at", 33).alias("_part")
+def _rank(least: float):
+    """Of the tokens of a partition, all lists' entries together: ``n``, the count in training, -1 for the end, and ``r``, the
+    rank among those of the same count, for every entry whose chunk can't tell them by itself. Rows without a chunk say
+    how many tokens (``k``) have a count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part, names = TaskContext.get().partitionId(), ["part", "chunk", "k", "n", "r"]
+        token = pa.chunked_array([b.column(2) for b in held]).combine_chunks().dictionary_encode()
+        chunk, k, own = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1, 3))
+        of, distinct = token.indices.to_numpy(), token.dictionary
+        n = np.bincount(of, own, len(distinct)).astype(np.int64)
+        end = pc.index(distinct, pa.scalar(bytes(END), distinct.type)).as_py()
+        if end >= 0:
+            n[end] = -1
+        order = np.argsort(n, kind="stable")
+        level, first, many = np.unique(n[order], return_index=True, return_counts=True)
+        r = np.empty(len(n), np.int64)
+        r[order] = np.arange(len(n)) - np.repeat(first, many)
+        ok = level >= 0
+        level, many = level[ok], many[ok]
+        told = np.flatnonzero((n[of] != own) | (n[of] >= least))
+        columns = [np.concatenate(x) for x in ((np.full(len(level), -1), chunk[told]), (many, k[told]), (level, n[of[told]]), (np.zeros_like(level), r[of[told]]))]
+        columns = [np.full(len(columns[0]), part, np.int32), columns[0], columns[1].astype(np.int32), *columns[2:]]
+        for i in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in columns], names=names)
+
+    return run
+
+
+def rank(spelled: DataFrame, listed: int, least: float) -> DataFrame:
+    """What ``_rank`` says of all ``listed`` tokens of chunks, as a written table."""
+    each = listed_tokens(spelled).select("chunk", "k", "token", "n_train").repartition(listed // _RANKED + 1, "token")
+    return materialize(each.mapInArrow(lean(_rank(least)), "part int, chunk long, k int, n long, r long"), "lm-tokens", tidy=True)
+
+
+def number(ranks: DataFrame, least: float, first: int) -> tuple[DataFrame, list[tuple[int, int]], DataFrame]:
+    """``chunk``, ``k``, ``n``, ``id`` (null: no symbol) of tokens in lists, numbered by falling count, the levels of all counts,
+    and the table of where the numbers of a partition's tokens of one count begin."""
+    each = ranks.filter("chunk < 0").select("part", "n", "k")
+    levels = sorted(map(tuple, each.groupBy("n").agg(F.sum("k")).collect()), reverse=True)
     begin, starts = first, []
-    for r in sorted(at.groupBy(part).count().collect()):
-        starts.append((r[0], begin))
-        begin += r[1]
-    starts = tokens.sparkSession.createDataFrame(starts, "_part long, _begin long")
-    symbol = F.col("n_train") >= least
-    ids = at.withColumn("_part", part).join(F.broadcast(starts), "_part").select("token", "n_train", F.when(symbol, F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
-    ids._scratch = at._scratch
-    levels = sorted(map(tuple, at.filter(symbol).groupBy("n_train").count().collect()), reverse=True)
-    return ids, levels
+    for n, many in levels:
+        if n >= least:
+            starts.append((n, begin))
+            begin += many
+    starts = ranks.sparkSession.createDataFrame(starts, "n long, _begin long")
+    before = F.sum("k").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    order = materialize(each.join(F.broadcast(starts), "n").select("part", "n", (F.col("_begin") + F.coalesce(before, F.lit(0))).alias("begin")), "lm-symbol-order", tidy=True)
+    ids = ranks.filter("chunk >= 0").join(order.hint("merge"), ["part", "n"], "left")
+    return ids.select("chunk", "k", "n", F.when(F.col("n") < 0, 0).otherwise(F.col("begin") + F.col("r")).alias("id")), levels, order
 
 
-def _name(other: int):
-    """Symbols of the tokens listed with a row put where their places in the list, negative, stand for them."""
+_LISTS, _TOLD, _ROWS = range(3)
+
+
+def _name(symbols: Symbols, fresh: int):
+    """Rows with symbols in place of the places in their chunk's list, and sums over their tokens. A chunk's list comes first, then
+    what else is told about its tokens, then its rows."""
+    other, ends, rest = symbols.other, int(symbols.hot[0]), math.log10(symbols.rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def flat(x):
-            return np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())), x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        now, lists, told, table = None, [], [], None
+
+        def learn():
+            n = np.concatenate([x for _, x in sorted(lists, key=lambda x: x[0])])
+            ids = np.full(len(n), other, np.int32)
+            for k, count, i in told:
+                n[k], ids[k] = np.where(count < 0, ends, count), i
+            share = np.where(ids == other, np.log10(np.where(n > 0, n, fresh)) - rest, 0.0)
+            return ids, (n > 0).astype(np.int64), np.log10(n + 1), share
 
         for b in batches:
-            symbols, at, ids = (b.column(i) for i in range(b.num_columns - 3, b.num_columns))
-            row, k = flat(at)
-            key = row << 32 | k
-            order = np.argsort(key)
-            key, named = key[order], flat(ids)[1][order]
-            row, s = flat(symbols)
-            late = np.flatnonzero(s < 0)
-            found = _find(key, row[late] << 32 | -1 - s[late])
-            s[late] = np.where(found >= 0, named[found] if len(named) else other, other)
-            offsets = np.concatenate([[0], np.cumsum(np.diff(symbols.offsets.to_numpy()))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.astype(np.int32)))
-            out = pa.RecordBatch.from_arrays([*b.columns[:-3], lists], names=b.schema.names[:-2])
-            yield from (out.slice(i, 1000) for i in range(0, out.num_rows, 1000))
+            key = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                chunk, what, part = key[low] >> 2, key[low] & 3, b.slice(low, high - low)
+                if chunk != now:
+                    now, lists, told, table = chunk, [], [], None
+                k, n, i, own = (part.column(j) for j in range(1, 5))
+                if what == _LISTS:
+                    lists += zip(k.to_pylist(), (x.values.to_numpy().copy() for x in own), strict=True)
+                elif what == _TOLD:
+                    told.append((k.to_numpy(), n.to_numpy(), i.fill_null(other).to_numpy()))
+                else:
+                    ids, *per = table = table or learn()
+                    at = part.column(9).flatten().to_numpy()
+                    offsets = np.concatenate([[0], np.cumsum(np.diff(part.column(9).offsets.to_numpy()))]).astype(np.int32)
+                    # no text is without a token: the end
+                    sums = [pa.array(np.add.reduceat(x[at], offsets[:-1])) for x in per]
+                    out = pa.RecordBatch.from_arrays([*(part.column(j) for j in range(5, 9)), *sums, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[at]))], names=_NAMED)
+                    yield from (out.slice(j, 1000) for j in range(0, out.num_rows, 1000))
 
     return run
 
 
+_NAMED = ["_row", "_id", "_mine", "n_tokens", "n_known", "base", "share", "symbols"]
+
+
 def _mix(x, y):
     """Hashes of pairs of 64-bit numbers."""
     import numpy as np
@@ -480,36 +546,35 @@ def _sum_rows(shared, least: float, parts_out: int):
     return run
 
 
-def name(rows: DataFrame, ids: DataFrame, symbols: Symbols, fresh: int) -> DataFrame:
-    """The rows with the symbols and sums of the tokens that were listed with them, as written tables."""
-    weighed = rows.select(F.explode(F.array_repeat("_row", (F.col("n_tokens") / 256 + 1).cast("int"))).alias("_row"))
-    cuts = sorted(set(weighed.agg(F.percentile_approx("_row", [i / _PARTS for i in range(1, _PARTS)])).first()[0] or ()))
+def name(spelled: DataFrame, ids: DataFrame, symbols: Symbols, fresh: int) -> DataFrame:
+    """The rows with symbols and sums over their tokens, as written tables."""
+    weighed = spelled.filter("k is null").select(F.explode(F.array_repeat("chunk", (F.col("n_tokens") / 256 + 1).cast("int"))).alias("chunk"))
+    cuts = sorted(set(weighed.agg(F.percentile_approx("chunk", [i / _PARTS for i in range(1, _PARTS)])).first()[0] or ()))
+    kind = spelled.schema["_id"].dataType.simpleString()
+    types = {"k": "int", "n": "long", "id": "long", "n_train": "array<long>", "_row": "long", "_id": kind, "_mine": "boolean", "n_tokens": "long", "symbols": "array<int>"}
     parts = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if low is None else rows.filter(F.col("_row") > low)
-        parts.append(_name_rows(part if high is None else part.filter(F.col("_row") <= high), ids, symbols, fresh))
+
+        def some(rows: DataFrame, what: int, *columns: str) -> DataFrame:
+            for bound, within in ((low, F.col("chunk") > F.lit(low)), (high, F.col("chunk") <= F.lit(high))):  # noqa: B023
+                rows = rows if bound is None else rows.filter(within)
+            key = F.shiftleft("chunk", 2).bitwiseOR(F.lit(what).cast("long")).alias("key")
+            # lists that a row hasn't are empty, not null: Arrow's writer goes over all nulls of a batch anew with every row
+            none = {c: F.array() if t.startswith("array") else F.lit(None) for c, t in types.items()}
+            return rows.select(key, *[(F.col(c) if c in columns else none[c]).cast(t).alias(c) for c, t in types.items()])
+
+        lists = some(spelled.filter("k is not null"), _LISTS, "k", "n_train")
+        told = some(ids, _TOLD, "k", "n", "id")
+        rows = some(spelled.filter("k is null"), _ROWS, "_row", "_id", "_mine", "n_tokens", "symbols")
+        met = lists.unionByName(told).unionByName(rows).repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
+        named = met.mapInArrow(lean(_name(symbols, fresh)), f"_row long, _id {kind}, _mine boolean, n_tokens long, n_known long, base double, share double, symbols array<int>")
+        parts.append(materialize(named, "lm-named", tidy=True))
     named, *more = parts
     for x in more:
         named = named.unionByName(x)
     return named
 
 
-def _name_rows(rows: DataFrame, ids: DataFrame, symbols: Symbols, fresh: int) -> DataFrame:
-    listed = rows.filter(F.size("cold") > 0).select("_row", F.posexplode(F.arrays_zip("cold", "cold_n")).alias("k", "c")).select("_row", "k", F.col("c.cold").alias("token"), F.col("c.cold_n").alias("n"))
-    known, symbol = F.col("n_train") > 0, F.col("id").isNotNull()
-    met = listed.join(ids.hint("merge"), "token").select(
-        "_row", F.when(symbol, F.struct("k", "id")).alias("named"), F.when(known, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("n_train") + 1)).alias("base"),
-        F.when(symbol, F.lit(0.0)).otherwise(F.col("n") * (F.log10(F.when(known, F.col("n_train")).otherwise(F.lit(fresh))) - math.log10(symbols.rest))).alias("share"),
-    )
-    sums = ["n_known", "base", "share"]
-    per = met.groupBy("_row").agg(*[F.sum(c).alias(f"_{c}") for c in sums], F.collect_list("named").alias("named"))
-    named = rows.select("_row", "_id", "_mine", "n_tokens", *sums, "symbols").join(per.hint("merge"), "_row", "left")
-    lists = [F.coalesce(F.col(f"named.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("k", "int"), ("id", "bigint"))]
-    named = named.select("_row", "_id", "_mine", "n_tokens", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums], "symbols", *lists)
-    kind = rows.schema["_id"].dataType.simpleString()
-    return materialize(named.mapInArrow(lean(_name(symbols.other)), f"_row long, _id {kind}, _mine boolean, n_tokens long, n_known long, base double, share double, symbols array<int>"), "lm-named", tidy=True)
-
-
 def score_rows(rows: DataFrame, symbols: Symbols, n_all: int, least: float) -> list[DataFrame]:
     """Tables of ``_row``, ``lp`` (natural log) from named rows; a row's sum over all of them is its text's."""
     import numpy as np

@@ -17,9 +17,9 @@ than ``1 / least_share`` of them. Counts of all documents are gathered in tables
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +29,8 @@ from contigua.llm.common import fold_of, id_and_text, lean
 from contigua.runtime import forget, materialize
 
 END = b"\n"
-#: Distinct tokens that a task gathers before it hands them over.
-_GATHER = 200_000
+#: Distinct tokens to a chunk of texts, about.
+_GATHER = 400_000
 #: Cells that a task gathers before it hands their counts over.
 _GATHER_CELLS = 2_000_000
 #: Tokens that numpy works on at once (a longer document: all of its own).
@@ -164,27 +164,50 @@ class Tree:
         self.cells[d], self.gain[d] = (number[at] * self.width + nexts)[own], gain[own]
 
 
-def _gather(flush_at: int):
-    """Partial counts of tokens: in all documents, and in those to learn from."""
+def _spell(most: int):
+    """Texts as places in a list of the tokens of their chunk, a run of rows of one task, and these lists with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = [Counter(), Counter()]
+        import numpy as np
+        from pyspark import TaskContext
+
+        chunk, at, kind = TaskContext.get().partitionId() << 24, defaultdict(count().__next__), pa.null()
+        counts = [np.empty(0, np.int64)] * 2
+        names = ["chunk", "_id", "_mine", "n_tokens", "symbols", "k", "tokens", "n_all", "n_train"]
+        ints, longs, texts = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for mine, counts in enumerate(both):
-                keys = list(counts)
-                for at in range(0, len(keys), 50_000):
-                    k = keys[at : at + 50_000]
-                    n = [counts[x] for x in k]
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(n if mine else [0] * len(n), pa.int64())], names=["token", "n_all", "n_train"])
-                counts.clear()
+            tokens = list(at)
+            for i in range(0, len(tokens), 20_000):
+                part = [pa.array([x[i : i + 20_000]], t) for x, t in zip([tokens, *counts], [texts, longs, longs], strict=True)]
+                none = [pa.nulls(1, t) for t in (kind, pa.bool_(), pa.int64(), ints)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *none, pa.array([i], pa.int32()), *part], names=names)
 
         for b in batches:
-            for mine, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                both[mine].update(tokens_of(x.as_py()))
-            if sum(map(len, both)) >= flush_at:
-                yield from flush()
-        yield from flush()
+            kind, mine = b.column(0).type, b.column(1).to_numpy(zero_copy_only=False)
+            first, held, size = 0, [], 0
+            for i, x in enumerate(b.column(2)):
+                tokens = tokens_of(x.as_py())
+                held.append(np.fromiter(map(at.__getitem__, tokens), np.int32, len(tokens)))
+                size += len(tokens)
+                if size < _CHUNK and len(at) < most and i + 1 < b.num_rows:
+                    continue
+                values, sizes = np.concatenate(held), np.array([len(x) for x in held])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+                rows = b.slice(first, len(sizes))
+                none = [pa.nulls(len(sizes), t) for t in (pa.int32(), texts, longs, longs)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), chunk)), rows.column(0), rows.column(1), pa.array(sizes), lists, *none], names=names)
+                own = values, values[np.repeat(mine[first : i + 1], sizes).astype(bool)]
+                for j, v in enumerate(own):
+                    n = np.bincount(v, minlength=len(at))
+                    n[: len(counts[j])] += counts[j]
+                    counts[j] = n
+                first, held, size = i + 1, [], 0
+                if len(at) >= most:
+                    yield from flush()
+                    chunk, at, counts = chunk + 1, defaultdict(count().__next__), [np.empty(0, np.int64)] * 2
+        if at:
+            yield from flush()
 
     return run
 
@@ -194,10 +217,30 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fold:
     return id_and_text(docs, id_col, text_col).select("_id", mine.alias("_mine"), "_text")
 
 
+def spell(marked: DataFrame) -> DataFrame:
+    """Every row with its tokens, numbered, and the lists of tokens that ``symbols`` are places in, ``k`` being the place of a
+    list's first, as a written table. Texts are read once for it."""
+    kind = marked.schema["_id"].dataType.simpleString()
+    rows = marked.select("_id", "_mine", "_text").mapInArrow(
+        lean(_spell(_GATHER)), f"chunk long, _id {kind}, _mine boolean, n_tokens long, symbols array<int>, k int, tokens array<binary>, n_all array<long>, n_train array<long>"
+    )
+    return materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-symbols", tidy=True)
+
+
+def listed_tokens(spelled: DataFrame) -> DataFrame:
+    """``chunk``, place ``k``, ``token``, ``n_all``, ``n_train`` of every token in the list of a chunk."""
+    each = spelled.filter("k is not null").select("chunk", "k", F.posexplode(F.arrays_zip("tokens", "n_all", "n_train")).alias("j", "c"))
+    return each.select("chunk", (F.col("k") + F.col("j")).alias("k"), F.col("c.tokens").alias("token"), F.col("c.n_all").alias("n_all"), F.col("c.n_train").alias("n_train"))
+
+
+def _tokens(spelled: DataFrame) -> DataFrame:
+    part = listed_tokens(spelled)
+    return materialize(part.groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train")), "lm-tokens", tidy=True)
+
+
 def token_table(marked: DataFrame) -> DataFrame:
     """``token``, ``n_all``, ``n_train`` of every distinct token, written to the shared folder."""
-    part = marked.select("_mine", "_text").mapInArrow(lean(_gather(_GATHER)), "token binary, n_all long, n_train long")
-    return materialize(part.groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train")), "lm-tokens", tidy=True)
+    return _tokens(spell(marked))
 
 
 def alphabet_of(tokens: DataFrame, n_train: int, depth: int, least: float) -> Alphabet:
@@ -210,15 +253,12 @@ def alphabet_of(tokens: DataFrame, n_train: int, depth: int, least: float) -> Al
 
 
 def _encode(shared):
-    """Symbols of every text; sums over its tokens; those tokens that aren't shared, with their counts.
-
-    With ``late``, tokens that aren't shared are symbols, too: -1 less their place in the list.
-    """
+    """Symbols of every text; sums over its tokens; those tokens that aren't shared, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        at, other, base_log, share_log, known, late = shared.value
+        at, other, base_log, share_log, known = shared.value
         get = at.get
         for b in batches:
             symbols, sizes, sums, cold, cold_n = [], [], [], [], []
@@ -227,12 +267,7 @@ def _encode(shared):
                 number = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
                 hot = number[number >= 0]
                 rare = Counter([tokens[i] for i in np.flatnonzero(number < 0).tolist()]) if len(hot) < len(tokens) else {}
-                if late and rare:
-                    place, at_rare = {t: -1 - i for i, t in enumerate(rare)}, np.flatnonzero(number < 0)
-                    number[at_rare] = [place[tokens[i]] for i in at_rare.tolist()]
-                    symbols.append(number.astype(np.int32))
-                else:
-                    symbols.append(np.where((number >= 0) & (number < other), number, other).astype(np.int32))
+                symbols.append(np.where((number >= 0) & (number < other), number, other).astype(np.int32))
                 sizes.append(len(tokens))
                 sums.append((base_log[hot].sum(), share_log[hot].sum(), known[hot].sum()))
                 cold.append(list(rare))
@@ -249,7 +284,7 @@ def _encode(shared):
     return run
 
 
-def encode(marked: DataFrame, tokens: DataFrame, alphabet: Alphabet, n_train: int, fresh: int, hot_tokens: int, late: bool = False) -> DataFrame:
+def encode(marked: DataFrame, tokens: DataFrame, alphabet: Alphabet, n_train: int, fresh: int, hot_tokens: int) -> DataFrame:
     """Every row with its symbols and sums over its tokens, numbered, as a written table.
 
     The tokens of the alphabet and the ``hot_tokens`` most frequent others at most are known to every task; the rest of a
@@ -268,7 +303,7 @@ def encode(marked: DataFrame, tokens: DataFrame, alphabet: Alphabet, n_train: in
     n = np.array(counts, float)
     share = np.log10(np.where(n > 0, n, fresh)) - rest
     share[: alphabet.other] = 0
-    shared = marked.sparkSession.sparkContext.broadcast((at, alphabet.other, np.log10(n + 1), share, (n > 0).astype(np.int64), late))
+    shared = marked.sparkSession.sparkContext.broadcast((at, alphabet.other, np.log10(n + 1), share, (n > 0).astype(np.int64)))
     kind = marked.schema["_id"].dataType.simpleString()
     rows = marked.select("_id", "_mine", "_text").mapInArrow(lean(_encode(shared)), f"_id {kind}, _mine boolean, symbols array<int>, n_tokens long, n_known long, base double, share double, cold array<binary>, cold_n array<long>")
     return materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-symbols", tidy=True)
@@ -400,53 +435,60 @@ def _score(shared):
     return run
 
 
-def _by_buckets(marked: DataFrame, tokens: DataFrame, facts, fresh: int, least: float, depth: int, hot_tokens: int) -> DataFrame:
-    """``_row``, ``_id``, ``n_tokens`` and sums of every row by a tree of any size."""
+def _by_buckets(spelled: DataFrame, sizes, least: float, depth: int) -> tuple[DataFrame, int]:
+    """``_row``, ``_id``, ``n_tokens`` and sums of every row by a tree of any size, and how many tokens training has."""
     from contigua.llm import suffix_buckets as buckets
 
-    hot_least = max(math.ceil(least), _hot(tokens.filter("n_train > 0"), "n_train", hot_tokens))
-    alphabet = alphabet_of(tokens, facts["n"], depth, hot_least)
-    ids, levels = buckets.number(tokens, least, hot_least, alphabet.other)
-    symbols = buckets.Symbols(alphabet, levels, facts["n"], fresh)
-    listed = encode(marked, tokens, alphabet, facts["n"], fresh, 0, late=True)
-    forget(tokens)
-    rows = buckets.name(listed, ids, symbols, fresh)
-    forget(listed)
-    forget(ids)
-    lp, *more = buckets.score_rows(rows, symbols, facts["n_all"], least)
+    ranks = buckets.rank(spelled, sizes["listed"], least)
+    ids, levels, order = buckets.number(ranks, least, 1)
+    # the end is no token of a level, it is the first symbol
+    vocabulary, once = 1 + sum(m for n, m in levels if n > 0), (sizes["texts"] == 1) + sum(m for n, m in levels if n == 1)
+    fresh = max(1, once)
+    symbols = buckets.Symbols(Alphabet({END: sizes["texts"]}, depth), [x for x in levels if x[0] >= least], sizes["n"], fresh)
+    rows = buckets.name(spelled, ids, symbols, fresh)
+    for x in (spelled, ranks, order):
+        forget(x)
+    lp, *more = buckets.score_rows(rows, symbols, sizes["n_all"], least)
     for x in more:
         lp = lp.unionByName(x)
     sums = lp.groupBy("_row").agg((F.sum("lp") / math.log(10)).alias("lp"))
-    return rows.select("_row", "_id", "n_tokens", "n_known", "base", "share").join(sums.hint("merge"), "_row").withColumn("share", F.col("share") + F.col("lp"))
+    return rows.select("_row", "_id", "n_tokens", "n_known", "base", "share").join(sums.hint("merge"), "_row").withColumn("share", F.col("share") + F.col("lp")), vocabulary
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, hot_tokens: int = 250_000, depth: int = 3, least_share: float = 0.0) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every document.
 
-    Counts come from all documents outside the held-out fold (a null id belongs to no fold and is learned from). Texts are
-    read twice: to count tokens, and to write their symbols, which all levels of the tree and the scores are read from.
-    The ``hot_tokens`` most frequent tokens at most go to every task with their counts; all other tokens are joined. So
-    does the tree where it has ``_SENT`` contexts and cells a level at most; a larger one, the same otherwise, is learned
-    and read in buckets of places. Null counts as empty: only the end. Repeated rows come out repeated; an empty table
-    gives an empty one; other columns are ignored.
+    Counts come from all documents outside the held-out fold (a null id belongs to no fold and is learned from). A tree of
+    ``_SENT`` contexts and cells a level at most goes to every task, with the ``hot_tokens`` most frequent tokens at most and
+    their counts; all other tokens are joined, and texts are read twice: to count tokens, and to write their symbols. A
+    larger one, the same otherwise, is learned and read in buckets of places; texts are read once for it, and their tokens
+    numbered chunk by chunk. Null counts as empty: only the end. Repeated rows come out repeated; an empty table gives an empty one;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     marked = _marked(docs, id_col, text_col, folds, held_fold)
-    tokens = token_table(marked)
-    facts = tokens.agg(F.sum("n_train").alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v"), F.count(F.when(F.col("n_train") == 1, 1)).alias("once"), F.sum("n_all").alias("n_all")).first()
-    n_train, vocabulary, fresh = facts["n"] or 0, facts["v"], max(1, facts["once"])
+    spelled = spell(marked)
+    sizes = spelled.agg(
+        F.sum(F.when(F.col("_mine"), F.col("n_tokens"))).alias("n"), F.sum("n_tokens").alias("n_all"), F.count(F.when(F.col("_mine"), 1)).alias("texts"),
+        F.sum(F.when(F.col("k").isNotNull(), F.size("tokens"))).alias("listed"),
+    ).first()
+    n_train = sizes["n"] or 0
     least = max(2.0, least_share * n_train)
-    low = math.log10(n_train + vocabulary + 1) if n_train + vocabulary else 0.0
 
-    def result(whole: DataFrame) -> DataFrame:
+    def result(whole: DataFrame, vocabulary: int) -> DataFrame:
         # base: log10((c + 1) / (N + 1 * (V + 1))) of every token
+        low = math.log10(n_train + vocabulary + 1) if n_train + vocabulary else 0.0
         return whole.select(
             F.col("_id").alias("doc_id"), F.coalesce(fold_of("_id", folds) == held_fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
             F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(low)).alias("base_score"), F.col("share").alias("score"),
         )
 
     if n_train / least > _SENT:
-        return result(_by_buckets(marked, tokens, facts, fresh, least, depth, hot_tokens))
+        return result(*_by_buckets(spelled, sizes, least, depth))
+    tokens = _tokens(spelled)
+    forget(spelled)
+    facts = tokens.agg(F.count(F.when(F.col("n_train") > 0, 1)).alias("v"), F.count(F.when(F.col("n_train") == 1, 1)).alias("once")).first()
+    fresh = max(1, facts["once"])
     alphabet = alphabet_of(tokens, n_train, depth, least)
     rows = encode(marked, tokens, alphabet, n_train, fresh, hot_tokens)
     tree = learn(rows, alphabet, n_train, fresh, least)
@@ -463,4 +505,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     zero = F.lit(0.0)
     parts = rows.select("_row", "n_known", "base", "share").unionByName(met).unionByName(scored.select("_row", F.lit(0).cast("long").alias("n_known"), zero.alias("base"), F.col("lp").alias("share")))
     sums = parts.groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base", "share")])
-    return result(rows.select("_row", "_id", "n_tokens").join(sums.hint("merge"), "_row"))
+    return result(rows.select("_row", "_id", "n_tokens").join(sums.hint("merge"), "_row"), facts["v"])
