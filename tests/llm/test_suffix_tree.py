@@ -136,6 +136,18 @@ def test_cells_counted_ahead_keep_their_share(docs, monkeypatch):
     assert len(ahead) == 2 and ahead[0] == ahead[1]
 
 
+def test_texts_are_read_once_for_buckets(docs, monkeypatch):
+    """Tokens are named chunk by chunk, however small the chunks, and no text is read to be encoded again."""
+    monkeypatch.setattr(st, "_SENT", 0)
+    for module, name, size in ((st, "_GATHER", 20), (st, "_CHUNK", 200), (suffix_buckets, "_RANKED", 100)):
+        monkeypatch.setattr(module, name, size)
+    monkeypatch.setattr(st, "encode", None)
+    want, _ = brute()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in st.score(docs, **HOW).collect())
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w, abs=2e-5)
+
+
 def test_no_context_is_too_rare_in_a_large_corpus(spark, monkeypatch):
     """A passage that occurs twice is known however large the corpus is, by default: its contexts aren't a share of it."""
     rng = np.random.default_rng(5)
