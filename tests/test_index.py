@@ -1,3 +1,5 @@
+import collections
+import itertools
 import random
 
 import pytest
@@ -138,3 +140,17 @@ def test_walks_are_complete_or_absent(spark):
     e = spark.createDataFrame([(0, 0, 9, 0, 1), (0, 0, 1, 0, 1), (1, 0, 2, 0, 1), (2, 0, 3, 0, 1), (3, 0, 9, 0, 1)], "x long, xs int, y long, ys int, lab int")
     starts = spark.createDataFrame([(1, 0, 0, 9)], "pair long, x long, xs int, y long")
     assert [walks.find_walks(e, starts, 20, n).count() for n in (2, 3, 4, 5)] == [0, 0, 2, 2]
+
+
+def test_run_lengths_query_takes_all_suffixes(spark, tmp_path):
+    from contigua.operators import reads as R
+    from contigua.plans import catalog
+
+    rng = random.Random(8)
+    docs = [(i, "s", "".join(rng.choice("acgt") for _ in range(rng.choice([99, 100, 150, 190])))) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.seq, r.read_idx) for r in R.derive(spark, str(tmp_path)).collect()]
+    order = sorted((s[p:], i, "$" if p == 0 else s[p - 1]) for s, i in rows for p in range(len(s)))
+    lengths = [len(list(g)) for _, g in itertools.groupby(b for *_, b in order)]
+    got = {r.length: r.runs for r in catalog.queries()["suffix_run_lengths"](spark, str(tmp_path)).collect()}
+    assert got == collections.Counter(lengths) and sum(n * c for n, c in got.items()) == 100 * len(rows)
