@@ -70,6 +70,26 @@ def test_overlaps_equal_brute_force(spark, genome):
     assert near == got
 
 
+@pytest.mark.parametrize("least", [8, 13, 32, 45, 70])
+def test_packed_overlaps_equal_brute_force(spark, monkeypatch, least):
+    from contigua.operators import meets
+
+    rng = random.Random(least)
+    line = dna(rng, 90)
+    reads = [line[rng.randrange(40) :][: rng.randrange(30, 80)] for _ in range(25)] + [rc(line)[i : i + 75] for i in range(0, 15, 3)]
+    half = dna(rng, 40)
+    reads += [half + rc(half), "ACGT" * 25, "CGTA" * 20 + "C", "A" * 90, "A" * 81, "T" * 60 + dna(rng, 30), dna(rng, 500), "", line[:least], line[:least] + "A", rc(line)]
+    want = brute_overlaps(reads, least)
+    assert len(want) > 20
+    monkeypatch.setattr(meets, "PAIRS", 50)
+    e = overlap.exact_overlaps(reads_df(spark, reads).repartition(3), least)
+    assert {(r.x, r.xs, r.y, r.ys): r.ov for r in e.collect()} == want and e.count() == len(want)
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no row a window
+    other = [*reads, line[:60] + "N" + dna(rng, 20), dna(rng, 10) + "N" + line[:75]]
+    assert {(r.x, r.xs, r.y, r.ys): r.ov for r in overlap.exact_overlaps(reads_df(spark, other), least).collect()} == brute_overlaps(other, least)
+
+
 def test_inexact_overlaps_of_hot_seeds_are_all_found(spark):
     rng = random.Random(9)
     shared = dna(rng, 24)
