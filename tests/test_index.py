@@ -154,3 +154,17 @@ def test_run_lengths_query_takes_all_suffixes(spark, tmp_path):
     lengths = [len(list(g)) for _, g in itertools.groupby(b for *_, b in order)]
     got = {r.length: r.runs for r in catalog.queries()["suffix_run_lengths"](spark, str(tmp_path)).collect()}
     assert got == collections.Counter(lengths) and sum(n * c for n, c in got.items()) == 100 * len(rows)
+
+
+@pytest.mark.parametrize("most", [150, 1_000_000])
+def test_runs_of_suffixes_in_turns(spark, monkeypatch, most):
+    monkeypatch.setattr(index, "AT_ONCE", most)
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 5, 20]))) for _ in range(60)] + ["A" * 30] * 9 + ["AC" * 9]
+    r = spark.createDataFrame(list(enumerate(seqs)), "read_idx long, seq string").repartition(3)
+    for shortest in (1, 4):
+        order = sorted((s[p:], i, "$" if p == 0 else s[p - 1]) for i, s in enumerate(seqs) for p in range(len(s) - shortest + 1))
+        want = collections.Counter(len(list(g)) for _, g in itertools.groupby(b for *_, b in order))
+        assert {x.length: x.runs for x in index.suffix_runs(r, shortest).collect()} == want
+    plan = index.suffix_runs(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and index.suffix_runs(r.limit(0)).count() == 0
